@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 # --- Fixed values: characters removed by the three kinds of stripping, and line breaks -----------------------
 _CONTROL = "".join(map(chr, range(0x00, 0x21)))
-_COMMON_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f               　"
-UNICODE_SPACE = _COMMON_SPACE + "\x85\xa0  "   # every Unicode white space
-BREAKING_SPACE = _COMMON_SPACE                           # the same without no-break spaces and NEL
+BREAKING_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f            "
+                  "   　")
+UNICODE_SPACE = BREAKING_SPACE + "\x85\xa0  "     # with no-break spaces and NEL
 ANY_LINE_BREAK = r"\r\n|[\n\r\x{0B}\f\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
 PLAIN_LINE_BREAK = r"\r\n|[\n\r]"
 HEADER_START = "package import public class interface enum @interface".split()
@@ -85,7 +85,7 @@ def draw(key: Column, seed: int, label: str, bound: Column) -> Column:
 
 def fill_in_the_middle(content: Column, key: Column, seed: int = 0) -> Column:
     """``<PRE>``, ``<MID>``, ``<SUF>`` around three line ranges; texts under three lines stay as they are."""
-    lines = F.split(F.regexp_replace(content, r"(?<=[\s\S])\n+\z", ""), "\n")
+    lines = F.split(F.regexp_replace(content, r"\n+\z", ""), "\n")
     n = F.size(lines)
     start = draw(key, seed, "start", F.floor(n / 2)) + F.floor(n / 4).cast("int")
     length = F.least(draw(key, seed, "length", F.floor(n / 4)), n - start)
