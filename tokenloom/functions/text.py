@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 # --- Fixed values: characters removed by the three kinds of stripping, and line breaks -----------------------
 _CONTROL = "".join(map(chr, range(0x00, 0x21)))
-BREAKING_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f            "
-                  "   　")
-UNICODE_SPACE = BREAKING_SPACE + "\x85\xa0  "     # with no-break spaces and NEL
+_SPACES = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x1680, 0x2000, 0x2001, 0x2002, 0x2003, 0x2004,
+           0x2005, 0x2006, 0x2008, 0x2009, 0x200A, 0x2028, 0x2029, 0x205F, 0x3000]
+BREAKING_SPACE = "".join(map(chr, _SPACES))
+UNICODE_SPACE = BREAKING_SPACE + "".join(map(chr, [0x85, 0xA0, 0x2007, 0x202F]))     # with no-break spaces and NEL
 ANY_LINE_BREAK = r"\r\n|[\n\r\x{0B}\f\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
 PLAIN_LINE_BREAK = r"\r\n|[\n\r]"
 HEADER_START = "package import public class interface enum @interface".split()

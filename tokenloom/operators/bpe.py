@@ -86,7 +86,7 @@ def word_counts(lines: DataFrame, column: str = "unicode") -> DataFrame:
     return lines.select(stripped.alias("word")).where(F.col("word") != "").groupBy("word").agg(F.count("*").alias("n"))
 
 
-def adjacent(word: Column, characters: Column) -> Column:
+def adjacent(characters: Column) -> Column:
     """array<string> of neighbouring characters as two-character strings; the last entry is NULL."""
     return F.zip_with(characters, F.slice(characters, F.lit(2), F.greatest(F.size(characters), F.lit(1))),
                       lambda a, b: F.concat(a, b))
@@ -95,7 +95,7 @@ def adjacent(word: Column, characters: Column) -> Column:
 def pair_counts(words: DataFrame) -> DataFrame:
     """(pair, cnt): neighbouring characters weighted by how often their word occurs; overlaps count."""
     cut = words.withColumn("chars", cd.characters(F.col("word")))
-    pairs = cut.select(F.explode(adjacent(F.col("word"), F.col("chars"))).alias("pair"), "n")
+    pairs = cut.select(F.explode(adjacent(F.col("chars"))).alias("pair"), "n")
     return pairs.where(F.col("pair").isNotNull()).groupBy("pair").agg(F.sum("n").alias("cnt"))
 
 
@@ -125,9 +125,11 @@ def to_symbols(text: Column, model: BpeModel) -> Column:
 
 
 def _merge_all(word: Column, merges: Sequence[tuple[int, int, int]]) -> Column:
-    for left, right, new in merges:
-        word = F.replace(word, F.lit(symbol(left) + symbol(right)), F.lit(symbol(new)))
-    return word
+    """Replace pair after pair.  The list is one constant, so plans keep their shape from round to round."""
+    if not merges:
+        return word
+    steps = F.split(F.lit(",".join("".join(map(symbol, m)) for m in merges)), ",")
+    return F.aggregate(steps, word, lambda w, m: F.replace(w, F.left(m, F.lit(2)), F.right(m, F.lit(1))))
 
 
 # --- Training ---------------------------------------------------------------------------------------------------
@@ -150,64 +152,82 @@ def _certain_merges(ranking: Sequence, model: BpeModel, known: dict[str, int], r
 
 
 def train(words: DataFrame, vocab_size: int = TARGET_SIZE, initial_alphabet: Sequence[str] = tuple(cd.ALPHABET),
-          min_frequency: int = MIN_FREQUENCY, look_ahead: int = 128, keep_steps: int = 48) -> BpeModel:
+          min_frequency: int = MIN_FREQUENCY, look_ahead: int = 128, rounds_in_memory: int = 12) -> BpeModel:
     """Learn merges until the vocabulary is full or no pair occurs ``min_frequency`` times.
 
-    ``words`` is (word, n).  ``look_ahead`` bounds the ranking rows per round; ``keep_steps`` is how many merges may
-    pile up as pending replacements before the words are written to the checkpoint folder again.
+    ``words`` is (word, n).  ``look_ahead`` bounds the ranking rows per round.  The words stay cached from round to
+    round and are written to the checkpoint folder every ``rounds_in_memory`` rounds, the pair counts every round,
+    so a lost executor costs the replay of a few replacements.
     """
     if vocab_size > MAX_SYMBOLS:
         raise ValueError(f"at most {MAX_SYMBOLS} entries fit the symbol range")
     model = BpeModel([*SPECIAL_TOKENS, *corpus_alphabet(words, initial_alphabet)])
     known = {t: i for i, t in enumerate(model.tokens)}
-    base = cut_lineage(words.select(to_symbols(F.col("word"), model).alias("word"), "n")).persist()
-    pairs = pair_counts(base).persist()
-    pending: list[tuple[int, int, int]] = []
-    since_cut = 0
+    # A fixed number of partitions: left to itself a small table would be packed into one task.
+    partitions = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = words.select(to_symbols(F.col("word"), model).alias("word"), "n").repartition(partitions)
+    current = cut_lineage(spread).persist()
+    pairs = cut_lineage(pair_counts(current))
+    rounds, stale = 0, []
     while len(model.tokens) < vocab_size:
         ranking = best_pairs(frequent(pairs, min_frequency), look_ahead).collect()
         batch = _certain_merges(ranking, model, known, vocab_size - len(model.tokens))
         if not batch:
             break
+        reused = any(new < len(model.tokens) for _, _, new in batch)
         for left, right, new in batch:
             if new == len(model.tokens):
                 model.tokens.append(model.tokens[left] + model.tokens[right])
             model.merges.append((left, right, new))
-        changes = _count_changes(base, pending, batch)
-        updated = (pairs.unionByName(changes).groupBy("pair").agg(F.sum("cnt").alias("cnt"))
-                   .where(F.col("cnt") > 0)).persist()
-        pending += batch
-        since_cut += 1
-        if len(pending) >= keep_steps or since_cut >= keep_steps:
-            # The new pair counts depend on the old words, so they are written first.
-            written_pairs = cut_lineage(updated).persist()
-            written = cut_lineage(base.withColumn("word", _merge_all(F.col("word"), pending))).persist()
-            for old in (updated, base, pairs):
-                old.unpersist()
-            base, pairs, pending, since_cut = written, written_pairs, [], 0
-        else:
-            updated.count()
-            pairs.unpersist()
-            pairs = updated
-    base.unpersist()
-    pairs.unpersist()
+        changed = pairs.unionByName((_recount if reused else _changes)(current, batch))
+        pairs = cut_lineage(changed.groupBy("pair").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") > 0))
+        while stale:
+            stale.pop().unpersist()
+        stale.append(current)
+        current = current.select(_merge_all(F.col("word"), batch).alias("word"), "n")
+        rounds += 1
+        current = (cut_lineage(current) if rounds % rounds_in_memory == 0 else current).persist()
+    for table in (current, *stale):
+        table.unpersist()
     return model
 
 
-def _count_changes(base: DataFrame, pending: Sequence[tuple[int, int, int]], batch: Sequence[tuple[int, int, int]]) -> DataFrame:
-    """(pair, cnt): what the batch takes from and adds to the pair counts, from the touched words alone."""
-    now = base.select(_merge_all(F.col("word"), pending).alias("word"), "n")
-    touched = F.lit(False)
-    for left, right, _ in batch:
-        touched |= F.contains("word", F.lit(symbol(left) + symbol(right)))
-    hit = now.where(touched)
-    cut = hit.select("word", "n", cd.characters(F.col("word")).alias("before"),
-                     cd.characters(_merge_all(F.col("word"), batch)).alias("after"))
-    signed = lambda column, sign: F.transform(adjacent(F.col("word"), F.col(column)),
+def _touched(words: DataFrame, batch: Sequence[tuple[int, int, int]]) -> DataFrame:
+    """(word, merged, n) of the words the batch changes."""
+    return words.select("word", _merge_all(F.col("word"), batch).alias("merged"), "n").where("merged <> word")
+
+
+def _changes(words: DataFrame, batch: Sequence[tuple[int, int, int]]) -> DataFrame:
+    """(pair, cnt) rows the batch takes from and adds to the pair counts.
+
+    Only neighbours of a new symbol change.  Undoing the merge on their facing sides gives the pair each of them
+    replaces; besides, every new symbol replaces one pair of its own.
+    """
+    merged, new = F.col("merged"), "".join(symbol(c) for _, _, c in batch)
+    found = []
+    for _, _, number in batch:
+        c = symbol(number)
+        every = lambda pattern, group=0: F.regexp_extract_all(merged, F.lit(pattern), F.lit(group))
+        found += [F.transform(every(f"([^{c}]){c}", 1), lambda x, c=c: F.concat(x, F.lit(c))),
+                  every(f"{c}[^{new}]"), F.transform(every(f"{c}(?={c})"), lambda x: F.concat(x, x)), every(c)]
+    rows = _touched(words, batch).select("n", F.explode(F.concat(*found)).alias("p"))
+    first, last = ("".join(symbol(m[side]) for m in batch) for side in (0, 1))
+    head, tail, own = F.left("p", F.lit(1)), F.substr("p", F.lit(2)), F.length("p") == 1
+    replaced = F.when(own, F.concat(F.translate("p", new, first), F.translate("p", new, last))).otherwise(
+        F.concat(F.translate(head, new, last), F.translate(tail, new, first)))
+    both = F.array(F.struct(F.when(~own, F.col("p")).alias("pair"), F.col("n").alias("cnt")),
+                   F.struct(replaced.alias("pair"), (-F.col("n")).alias("cnt")))
+    return rows.select(F.inline(both)).where("pair is not null")
+
+
+def _recount(words: DataFrame, batch: Sequence[tuple[int, int, int]]) -> DataFrame:
+    """The same for a merge into a symbol that words may already hold: all pairs before and after."""
+    whole = _touched(words, batch).select("n", cd.characters(F.col("word")).alias("before"),
+                                          cd.characters(F.col("merged")).alias("after"))
+    signed = lambda column, sign: F.transform(adjacent(F.col(column)),
                                               lambda p: F.struct(p.alias("pair"), F.lit(sign).alias("sign")))
-    rows = cut.select(F.explode(F.concat(signed("before", -1), signed("after", 1))).alias("p"), "n")
-    return (rows.where(F.col("p.pair").isNotNull()).groupBy(F.col("p.pair").alias("pair"))
-            .agg(F.sum(F.col("n") * F.col("p.sign")).alias("cnt")))
+    rows = whole.select(F.explode(F.concat(signed("before", -1), signed("after", 1))).alias("p"), "n")
+    return rows.where("p.pair is not null").select("p.pair", (F.col("n") * F.col("p.sign")).alias("cnt"))
 
 
 # --- Application ------------------------------------------------------------------------------------------------

@@ -19,7 +19,7 @@ SUMS = ["total_tokens", *(c.lower() for c in CATEGORIES), "string_literals", "li
 MAXIMA = ["max_literal_chars", "max_identifier_chars"]
 
 
-def _measured(files: DataFrame) -> DataFrame:
+def measured(files: DataFrame) -> DataFrame:
     """One row per piece with its contribution.  A whitespace run counts as one token per line end and one per
     other blank."""
     text = F.col("text")
@@ -53,12 +53,12 @@ def _aggregates() -> list[Column]:
 
 def file_stats(files: DataFrame) -> DataFrame:
     """One row per file that has a token."""
-    return _measured(files).groupBy("file_id").agg(*_aggregates())
+    return measured(files).groupBy("file_id").agg(*_aggregates())
 
 
 def corpus_stats(files: DataFrame) -> DataFrame:
     """One row for the whole corpus, straight from the tokens."""
-    return _measured(files).agg(*_aggregates())
+    return measured(files).agg(*_aggregates())
 
 
 def merged_stats(per_file: DataFrame) -> DataFrame:

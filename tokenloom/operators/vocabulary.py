@@ -26,8 +26,7 @@ def extended(vocabulary: DataFrame, freq: DataFrame, how_many: int) -> DataFrame
     """Append the most frequent identifiers that are not keys yet, with the next free ids."""
     if cd.BASE_SIZE + how_many > cd.MAX_VOCABULARY:
         raise ValueError(f"at most {cd.MAX_VOCABULARY} ids fit one character each")
-    top = ranking.top(ranking.frequencies_of(freq, "identifiers"), how_many)
-    new = missing_identifiers(top, vocabulary)
+    new = ranking.top(missing_identifiers(freq, vocabulary), how_many)
     # At most how_many rows reach this window and this maximum.
     rank = F.row_number().over(Window.orderBy(*ranking.by_count()))
     last = vocabulary.agg(F.max("token_id")).scalar()
