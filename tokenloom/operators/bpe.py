@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions import codec as cd
-from tokenloom.session import cut_lineage
+from tokenloom.session import Tables
 
 # --- Fixed values ---------------------------------------------------------------------------------------------
 SPECIAL_TOKENS = ("<UNK>", "<PAD>")
@@ -152,65 +152,63 @@ def _certain_merges(ranking: Sequence, model: BpeModel, known: dict[str, int], r
 
 
 def train(words: DataFrame, vocab_size: int = TARGET_SIZE, initial_alphabet: Sequence[str] = tuple(cd.ALPHABET),
-          min_frequency: int = MIN_FREQUENCY, look_ahead: int = 128, rounds_in_memory: int = 12) -> BpeModel:
+          min_frequency: int = MIN_FREQUENCY, look_ahead: int = 128, keep_steps: int = 12) -> BpeModel:
     """Learn merges until the vocabulary is full or no pair occurs ``min_frequency`` times.
 
-    ``words`` is (word, n).  ``look_ahead`` bounds the ranking rows per round.  The words stay cached from round to
-    round and are written to the checkpoint folder every ``rounds_in_memory`` rounds, the pair counts every round,
-    so a lost executor costs the replay of a few replacements.
+    ``words`` is (word, n).  ``look_ahead`` bounds the ranking rows per round; ``keep_steps`` is how many merges may
+    be pending before the words are written again with them applied.  Pair counts are written every round.
     """
     if vocab_size > MAX_SYMBOLS:
         raise ValueError(f"at most {MAX_SYMBOLS} entries fit the symbol range")
     model = BpeModel([*SPECIAL_TOKENS, *corpus_alphabet(words, initial_alphabet)])
     known = {t: i for i, t in enumerate(model.tokens)}
+    tables = Tables(words.sparkSession)
     # A fixed number of partitions: left to itself a small table would be packed into one task.
     partitions = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = words.select(to_symbols(F.col("word"), model).alias("word"), "n").repartition(partitions)
-    current = cut_lineage(spread).persist()
-    pairs = cut_lineage(pair_counts(current))
-    rounds, stale = 0, []
+    base = tables.replace("words", spread)
+    pairs = tables.replace("pairs", pair_counts(base))
+    pending: list[tuple[int, int, int]] = []
     while len(model.tokens) < vocab_size:
         ranking = best_pairs(frequent(pairs, min_frequency), look_ahead).collect()
         batch = _certain_merges(ranking, model, known, vocab_size - len(model.tokens))
         if not batch:
             break
+        if batch[0] in model.merges[-look_ahead:]:
+            raise RuntimeError("pair counts do not shrink: the words changed between two reads")
         reused = any(new < len(model.tokens) for _, _, new in batch)
         for left, right, new in batch:
             if new == len(model.tokens):
                 model.tokens.append(model.tokens[left] + model.tokens[right])
             model.merges.append((left, right, new))
-        changed = pairs.unionByName((_recount if reused else _changes)(current, batch))
-        pairs = cut_lineage(changed.groupBy("pair").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") > 0))
-        while stale:
-            stale.pop().unpersist()
-        stale.append(current)
-        current = current.select(_merge_all(F.col("word"), batch).alias("word"), "n")
-        rounds += 1
-        current = (cut_lineage(current) if rounds % rounds_in_memory == 0 else current).persist()
-    for table in (current, *stale):
-        table.unpersist()
+        changes = (_recount if reused else _changes)(base, pending, batch)
+        updated = pairs.unionByName(changes).groupBy("pair").agg(F.sum("cnt").alias("cnt")).where("cnt > 0")
+        pairs = tables.replace("pairs", updated)
+        pending += batch
+        if len(pending) >= keep_steps:
+            base = tables.replace("words", base.select(_merge_all(F.col("word"), pending).alias("word"), "n"))
+            pending = []
     return model
 
 
-def _touched(words: DataFrame, batch: Sequence[tuple[int, int, int]]) -> DataFrame:
-    """(word, merged, n) of the words the batch changes."""
-    return words.select("word", _merge_all(F.col("word"), batch).alias("merged"), "n").where("merged <> word")
-
-
-def _changes(words: DataFrame, batch: Sequence[tuple[int, int, int]]) -> DataFrame:
+def _changes(words: DataFrame, pending: Sequence[tuple[int, int, int]], batch: Sequence[tuple[int, int, int]]) -> DataFrame:
     """(pair, cnt) rows the batch takes from and adds to the pair counts.
 
-    Only neighbours of a new symbol change.  Undoing the merge on their facing sides gives the pair each of them
-    replaces; besides, every new symbol replaces one pair of its own.
+    Only neighbours of a new symbol change, so the merged words tell everything: undoing the merge on the facing
+    sides of a pair gives the pair it replaces; besides, every new symbol replaces one pair of its own.
     """
     merged, new = F.col("merged"), "".join(symbol(c) for _, _, c in batch)
-    found = []
-    for _, _, number in batch:
-        c = symbol(number)
-        every = lambda pattern, group=0: F.regexp_extract_all(merged, F.lit(pattern), F.lit(group))
-        found += [F.transform(every(f"([^{c}]){c}", 1), lambda x, c=c: F.concat(x, F.lit(c))),
-                  every(f"{c}[^{new}]"), F.transform(every(f"{c}(?={c})"), lambda x: F.concat(x, x)), every(c)]
-    rows = _touched(words, batch).select("n", F.explode(F.concat(*found)).alias("p"))
+    every = lambda pattern, group=0: F.regexp_extract_all(merged, F.lit(pattern), F.lit(group))
+
+    def around(c: str) -> list[Column]:
+        before = F.transform(every(f"([^{c}]){c}", 1), lambda x: F.concat(x, F.lit(c)))
+        twice = F.transform(every(f"{c}(?={c})"), lambda x: F.concat(x, x))
+        return [before, every(f"{c}[^{new}]"), twice, every(c)]
+
+    found = [column for _, _, number in batch for column in around(symbol(number))]
+    touched = (words.select(_merge_all(F.col("word"), [*pending, *batch]).alias("merged"), "n")
+               .where(F.col("merged").rlike(f"[{new}]")))
+    rows = touched.select("n", F.explode(F.concat(*found)).alias("p"))
     first, last = ("".join(symbol(m[side]) for m in batch) for side in (0, 1))
     head, tail, own = F.left("p", F.lit(1)), F.substr("p", F.lit(2)), F.length("p") == 1
     replaced = F.when(own, F.concat(F.translate("p", new, first), F.translate("p", new, last))).otherwise(
@@ -220,10 +218,11 @@ def _changes(words: DataFrame, batch: Sequence[tuple[int, int, int]]) -> DataFra
     return rows.select(F.inline(both)).where("pair is not null")
 
 
-def _recount(words: DataFrame, batch: Sequence[tuple[int, int, int]]) -> DataFrame:
+def _recount(words: DataFrame, pending: Sequence[tuple[int, int, int]], batch: Sequence[tuple[int, int, int]]) -> DataFrame:
     """The same for a merge into a symbol that words may already hold: all pairs before and after."""
-    whole = _touched(words, batch).select("n", cd.characters(F.col("word")).alias("before"),
-                                          cd.characters(F.col("merged")).alias("after"))
+    word = F.col("word")
+    whole = words.select("n", cd.characters(_merge_all(word, pending)).alias("before"),
+                         cd.characters(_merge_all(word, [*pending, *batch])).alias("after")).where("before <> after")
     signed = lambda column, sign: F.transform(adjacent(F.col(column)),
                                               lambda p: F.struct(p.alias("pair"), F.lit(sign).alias("sign")))
     rows = whole.select(F.explode(F.concat(signed("before", -1), signed("after", 1))).alias("p"), "n")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,20 +20,30 @@ def build_session(app: str = "tokenloom", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; on a local master without one, take a fresh temporary folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
-    context.setCheckpointDir(folder)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder and continue from there; survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; on a local master without one, a fresh temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+class Tables:
+    """Intermediate tables of an iterative job, written to the shared folder: they cut lineage and survive the loss
+    of executors.  Each name alternates between two places, so a table may be replaced by one computed from it and
+    the space used does not grow with the number of rounds."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._folder = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+        self._turn: dict[str, int] = {}
+
+    def replace(self, name: str, df: DataFrame) -> DataFrame:
+        turn = self._turn[name] = 1 - self._turn.get(name, 1)
+        path = f"{self._folder}/{name}-{turn}"
+        df.write.mode("overwrite").parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
