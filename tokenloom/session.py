@@ -42,6 +42,9 @@ class Tables:
         self._folder = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
         self._turn: dict[str, int] = {}
 
+    def folder(self, name: str) -> str:
+        return f"{self._folder}/{name}"
+
     def replace(self, name: str, df: DataFrame) -> DataFrame:
         turn = self._turn[name] = 1 - self._turn.get(name, 1)
         path = f"{self._folder}/{name}-{turn}"
