@@ -47,24 +47,33 @@ def _type_char(type_no: int) -> str:
     return id_char(FIRST_TYPE_ID - 1 + type_no)
 
 
-def spell(word: Column) -> Column:
-    """The characters of a word as model tokens; anything outside printable ASCII becomes an underscore,
-    a character above U+FFFF two of them (it is two UTF-16 units)."""
-    plain = F.regexp_replace(F.regexp_replace(word, r"[\x{10000}-\x{10FFFF}]", SUBSTITUTE * 2), r"[^ -~]", SUBSTITUTE)
-    return F.translate(plain, PRINTABLE, _LETTERS)
+def spell(text: Column) -> Column:
+    """Printable ASCII as model tokens, anything else an underscore; a character above U+FFFF two of them (it is two
+    UTF-16 units).  Model tokens and newlines already in the text stay, so one call can finish a whole file."""
+    other = F.regexp_replace(F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", SUBSTITUTE * 2),
+                             f"[^ -~\n{ALPHABET[0]}-{ALPHABET[-1]}]", SUBSTITUTE)
+    return F.translate(F.when(F.length(text) == F.octet_length(text), text).otherwise(other), PRINTABLE, _LETTERS)
 
 
-def encode_identifier(word: Column, mark_single_char: bool = False) -> Column:
-    """Marker plus spelling.  A one-letter ASCII name equals a character key and so gets no marker, unless
-    ``mark_single_char`` asks for one."""
-    marked = F.concat(F.lit(MARKER), spell(word))
+def without_model_tokens(content: Column) -> Column:
+    """Source text may hold private-use characters itself; they are letters outside ASCII like any other."""
+    return F.regexp_replace(content, f"[{ALPHABET[0]}-{ALPHABET[-1]}]", "\ufffd")
+
+
+def mark_identifier(word: Column, mark_single_char: bool = False) -> Column:
+    """Marker and the word, to be spelled later.  A one-letter ASCII name equals a character key and so gets no
+    marker, unless ``mark_single_char`` asks for one."""
+    marked = F.concat(F.lit(MARKER), word)
     if mark_single_char:
         return marked
-    return F.when((F.length(word) == 1) & (F.ascii(word) < 128), spell(word)).otherwise(marked)
+    return F.when((F.length(word) == 1) & (F.ascii(word) < 128), word).otherwise(marked)
 
 
-def encode_token(token: Column, mark_single_char: bool = False) -> Column:
-    """The encoded form of one token text: empty for comments, errors and blanks without a newline."""
+def encode_identifier(word: Column, mark_single_char: bool = False) -> Column:
+    return spell(mark_identifier(without_model_tokens(word), mark_single_char))
+
+
+def _unspelled(token: Column, mark_single_char: bool) -> Column:
     lookup = lambda table: lx._lookup(table, token)
     words = {w: _type_char(t) for w, t in lx.WORD_TYPES.items()} | {"true": id_char(TRUE_ID), "false": id_char(FALSE_ID)}
     symbols = {s: _type_char(t) for s, t in lx.SYMBOL_TYPES.items()}
@@ -73,15 +82,22 @@ def encode_token(token: Column, mark_single_char: bool = False) -> Column:
     return lx.by_class(
         token,
         space=F.when(F.instr(token, "\n") > 0, newlines).otherwise(F.lit("")),
-        word=F.when(token.isin(*words), lookup(words)).otherwise(encode_identifier(token, mark_single_char)),
+        word=F.when(token.isin(*words), lookup(words)).otherwise(mark_identifier(token, mark_single_char)),
         number=F.element_at(by_type, lx.number_type(token) + 1),
         quoted=F.element_at(by_type, lx.quoted_type(token) + 1),
         comment=F.lit(""),
         symbol=F.coalesce(lookup(symbols), F.lit("")))
 
 
+def encode_token(token: Column, mark_single_char: bool = False) -> Column:
+    """The encoded form of one token text: empty for comments, errors and blanks without a newline."""
+    return spell(_unspelled(without_model_tokens(token), mark_single_char))
+
+
 def encode(content: Column, mark_single_char: bool = False) -> Column:
-    return F.array_join(F.transform(lx.lex(content), lambda t: encode_token(t, mark_single_char)), "")
+    """Token by token, the spelling of all names in one go at the end."""
+    tokens = lx.lex(without_model_tokens(content))
+    return spell(F.array_join(F.transform(tokens, lambda t: _unspelled(t, mark_single_char)), ""))
 
 
 def encode_file(content: Column, mark_single_char: bool = False) -> Column:

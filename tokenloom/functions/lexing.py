@@ -215,20 +215,37 @@ DECLARATION_SHAPE = (
     f"|(?:^|[^{shape_char('DOT')}{shape_char('AT')}]){shape_char('INTERFACE')}[{NAME_SHAPES}]")
 
 
-def declares_type(content: Column) -> Column:
-    """True if the text declares a class, an interface or an enum anywhere."""
-    return shape(content).rlike(DECLARATION_SHAPE)
+BRACKETS = {shape_char(a): shape_char(b) for a, b in (("LPAREN", "RPAREN"), ("LBRACK", "RBRACK"), ("LBRACE", "RBRACE"))}
 
 
-def balanced(content: Column) -> Column:
-    """True if every bracket outside literals and comments closes the one opened last."""
-    brackets = F.filter(lex(content), lambda t: t.isin("(", ")", "[", "]", "{", "}"))
-    closer = lambda t: F.when(t == "(", ")").when(t == "[", "]").when(t == "{", "}")
+def _balanced_shape(shaped: Column) -> Column:
+    found = F.regexp_extract_all(shaped, F.lit(f"[{''.join([*BRACKETS, *BRACKETS.values()])}]"), F.lit(0))
+
+    def closer(t: Column) -> Column:
+        branches = F
+        for opening, closing in BRACKETS.items():
+            branches = branches.when(t == opening, closing)
+        return branches
 
     def step(stack: Column, token: Column) -> Column:
         # The stack holds the closers still expected; "!" marks a mismatch and never leaves the bottom.
-        opened = F.concat(stack, closer(token))
         closed = F.when(F.endswith(stack, token), F.left(stack, F.length(stack) - 1)).otherwise(F.lit("!"))
-        return F.when(stack.startswith("!"), F.lit("!")).when(closer(token).isNotNull(), opened).otherwise(closed)
+        return (F.when(stack.startswith("!"), F.lit("!")).when(closer(token).isNotNull(), F.concat(stack, closer(token)))
+                .otherwise(closed))
+
+    return F.aggregate(found, F.lit(""), step) == ""
+
+
+def judge(content: Column, rule) -> Column:
+    """``rule(declares, balanced)`` of a text, lexed once: whether it declares a class, an interface or an enum
+    anywhere, and whether every bracket outside literals and comments closes the one opened last."""
+    verdict = F.transform(F.array(shape(content)), lambda s: rule(s.rlike(DECLARATION_SHAPE), _balanced_shape(s)))
+    return F.element_at(verdict, 1)
 
-    return F.aggregate(brackets, F.lit(""), step) == ""
+
+def declares_type(content: Column) -> Column:
+    return judge(content, lambda declares, _: declares)
+
+
+def balanced(content: Column) -> Column:
+    return judge(content, lambda _, closes: closes)

@@ -30,17 +30,15 @@ def normalize_newlines(content: Column) -> Column:
     return F.regexp_replace(content, r"\r\n?", "\n")
 
 
-def header_pattern() -> str:
-    return (r"(?:\A|\n)([\x{00}-\x{09}\x{0B}-\x{20}]*(?:" + "|".join(HEADER_START)
-            + r")[^\n\x{85}\x{2028}\x{2029}]*(?:\n[\s\S]*)?)\z")
-
-
 def strip_header(content: Column) -> Column:
     """Drop the lines before the first one that starts like Java code; no such line leaves an empty text.
 
-    Expects ``\\n`` line ends.  Empty lines at the end go too.
+    Expects ``\\n`` line ends.  Empty lines at the end go too.  The text is cut at the first such line, so nothing
+    after it is searched.
     """
-    return F.regexp_replace(F.regexp_extract(content, header_pattern(), 1), r"\n+\z", "")
+    starts = r"\n(?=[\x{00}-\x{09}\x{0B}-\x{20}]*(?:" + "|".join(HEADER_START) + r")[^\n\x{85}\x{2028}\x{2029}]*(?:\n|\z))"
+    parts = F.split(F.concat(F.lit("\n"), content), starts, 2)
+    return F.rtrim(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), F.lit("\n"))
 
 
 def stripped_lines(content: Column, line_break: str = ANY_LINE_BREAK, characters: str = UNICODE_SPACE) -> Column:

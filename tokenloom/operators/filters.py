@@ -27,14 +27,20 @@ def body() -> Column:
     return tx.strip_header(tx.normalize_newlines(F.col("content")))
 
 
+def where_once(files: DataFrame, condition: Column) -> DataFrame:
+    """Filter by a costly condition exactly where it is written: as a generated column it is evaluated once per row
+    and not moved below an exchange that spreads the rows."""
+    return files.select("*", F.explode(F.array(condition)).alias("_keep")).where("_keep").drop("_keep")
+
+
 def drop_undeclared(files: DataFrame) -> DataFrame:
     """Drop files that declare no class, interface or enum; a file whose brackets do not close stays."""
-    return files.where(lx.declares_type(body()) | ~lx.balanced(body()))
+    return where_once(files, lx.judge(body(), lambda declares, balanced: declares | ~balanced))
 
 
 def drop_unbalanced(files: DataFrame) -> DataFrame:
     """Drop files whose brackets do not close: a weaker condition than parsing."""
-    return files.where(lx.balanced(body()))
+    return where_once(files, lx.balanced(body()))
 
 
 def drop_garbage(files: DataFrame) -> DataFrame:
@@ -42,6 +48,12 @@ def drop_garbage(files: DataFrame) -> DataFrame:
     return files.transform(named_files).transform(drop_hash_names).transform(drop_undeclared)
 
 
+def keep_usable(files: DataFrame) -> DataFrame:
+    """What both garbage filters and the bracket check leave, with one look at each text."""
+    named = files.transform(named_files).transform(drop_hash_names)
+    return where_once(named, lx.judge(body(), lambda declares, balanced: declares & balanced))
+
+
 def drop_empty(files: DataFrame) -> DataFrame:
     return files.withColumn("content", tx.compact_text(F.col("content"))).where(F.col("content") != "")
 

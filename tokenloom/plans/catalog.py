@@ -33,12 +33,17 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     return tb.from_documents(tb.read_table(spark, folder, "documents"))
 
 
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for work on the texts themselves."""
+    return tb.from_documents(tb.spread(tb.read_table(spark, folder, "documents")))
+
+
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return tb.from_pages(tb.read_table(spark, folder, "pages"))
+    return tb.from_pages(tb.spread(tb.read_table(spark, folder, "pages")))
 
 
 def java(spark: SparkSession, folder: str) -> DataFrame:
-    return tb.java_files(tb.read_table(spark, folder, "documents"))
+    return tb.java_files(tb.spread(tb.read_table(spark, folder, "documents")))
 
 
 def over(source: Callable[[SparkSession, str], DataFrame]):
@@ -63,7 +68,7 @@ def with_model(merges: int = MERGES):
     """Register ``fn(encoded files, model)`` under its name."""
     def register(fn: Callable[[DataFrame, bpe.BpeModel], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            encoded = pipeline.encoded_files(files(spark, folder))
+            encoded = pipeline.encoded_files(texts(spark, folder))
             return fn(encoded, model_for(encoded, folder, merges))
         _QUERIES[fn.__name__] = run
         return fn
@@ -175,27 +180,27 @@ def strip_header(df):
     return df.transform(cleaning.normalize).transform(cleaning.strip_headers).select("file_id", "content")
 
 
-@over(files)
+@over(texts)
 def corpus_lines(df):
     return corpus.lines(df)
 
 
-@over(files)
+@over(texts)
 def corpus_text(df):
     return corpus.joined(df).select("file_id", "content")
 
 
-@over(files)
+@over(texts)
 def non_blank_files(df):
     return filters.drop_empty(df).select("file_id", "content")
 
 
-@over(files)
+@over(texts)
 def line_counts(df):
     return corpus.line_counts(corpus.lines(df))
 
 
-@over(files)
+@over(texts)
 def fill_in_the_middle(df):
     return corpus.fill_in_the_middle(df).select("file_id", "content")
 
@@ -329,25 +334,25 @@ def weighted_ranking(df):
             .orderBy(F.col("weight").desc(), "item", "kind").limit(TOP))
 
 
-@over(files)
+@over(texts)
 def top_identifiers(df):
     freq = ranking.frequencies(ranking.values(df))
     return ranking.top(ranking.frequencies_of(freq, "identifiers"), TOP).select("item", "cnt")
 
 
-@over(files)
+@over(texts)
 def missing_identifiers(df):
     freq = ranking.frequencies(ranking.values(df))
     return vocabulary.missing_identifiers(freq, vocabulary.base_vocabulary(df.sparkSession)).select("item", "cnt")
 
 
-@over(files)
+@over(texts)
 def extended_vocabulary(df):
     return vocabulary.extended(vocabulary.base_vocabulary(df.sparkSession), ranking.frequencies(ranking.values(df)), EXTRA_IDS)
 
 
 # --- Codec -----------------------------------------------------------------------------------------------------------
-@over(files)
+@over(texts)
 def encode_files(df):
     return pipeline.encoded_files(df).select("file_id", "shard", "unicode")
 
@@ -374,24 +379,24 @@ def token_ids(df):
     return keyed.join(vocab, "key").select("file_id", "pos", "token_id")
 
 
-@over(files)
+@over(texts)
 def identifier_ids(df):
     vocab = vocabulary.extended(vocabulary.base_vocabulary(df.sparkSession), ranking.frequencies(ranking.values(df)), EXTRA_IDS)
     return vocabulary.encode_identifiers(df, vocab).select("file_id", "pos", spaced(F.col("ids")).alias("ids"))
 
 
-@over(files)
+@over(texts)
 def ids_to_characters(df):
     id_lines = tk.encoded_lines(df).withColumn("ids", cd.char_line_to_ids(F.col("unicode")))
     return id_lines.select("file_id", "line_no", cd.id_line_to_chars(F.col("ids")).alias("unicode"))
 
 
-@over(files)
+@over(texts)
 def characters_to_ids(df):
     return tk.encoded_lines(df).select("file_id", "line_no", cd.char_line_to_ids(F.col("unicode")).alias("ids"))
 
 
-@over(files)
+@over(texts)
 def alphabet_filter(df):
     mixed = pipeline.encoded_files(df).withColumn("unicode", F.concat("unicode", "path"))
     return filters.in_alphabet(mixed).select("file_id", "unicode")
@@ -402,13 +407,13 @@ def decode_characters(df):
     return pipeline.encoded_files(df).select("file_id", cd.decode(F.col("unicode")).alias("code"))
 
 
-@over(files)
+@over(texts)
 def decode_ids(df):
     ids = pipeline.encoded_files(df).withColumn("ids", cd.char_line_to_ids(F.col("unicode")))
     return ids.select("file_id", cd.decode_id_text(F.col("ids")).alias("code"))
 
 
-@over(files)
+@over(texts)
 def looked_up_ids(df):
     """Every second id is outside the vocabulary, so both outcomes of the lookup occur."""
     ids = pipeline.encoded_files(df).select(F.explode(cd.to_ids(F.col("unicode"))).alias("id"))
@@ -416,7 +421,7 @@ def looked_up_ids(df):
     return vocabulary.looked_up(counted, vocabulary.base_vocabulary(df.sparkSession)).select("token_id", "value", "n")
 
 
-@over(files)
+@over(texts)
 def cut_at_line_end(df):
     return pipeline.encoded_files(df).select("file_id", cd.cut_at_line_end(F.col("unicode")).alias("unicode"))
 
@@ -426,22 +431,22 @@ def _words(df: DataFrame) -> DataFrame:
     return bpe.word_counts(pipeline.unicode_lines(pipeline.encoded_files(df)))
 
 
-@over(files)
+@over(texts)
 def line_multiset(df):
     return _words(df)
 
 
-@over(files)
+@over(texts)
 def pair_counts(df):
     return bpe.pair_counts(_words(df))
 
 
-@over(files)
+@over(texts)
 def frequent_pairs(df):
     return bpe.frequent(bpe.pair_counts(_words(df)))
 
 
-@over(files)
+@over(texts)
 def best_pairs(df):
     return bpe.best_pairs(bpe.pair_counts(_words(df)), TOP)
 
@@ -473,7 +478,7 @@ def running_token_rate(encoded, model):
     return progress.running_rate(encoded, model, REPORT_EVERY)
 
 
-@over(files)
+@over(texts)
 def baseline_token_count(df):
     return compare.baseline_totals(df, "words")
 

@@ -151,7 +151,9 @@ def char_rows(source: str, column: str) -> str:
 
 # --- Cleaning -----------------------------------------------------------------------------------------------------
 NORMAL = r"regexp_replace(content, '\r\n?', chr(10), 'g')"
-HEADLESS = rf"regexp_replace(regexp_extract({NORMAL}, {text(tx.header_pattern())}, 1), '\n+\z', '')"
+_HEADER = (r"(?:\A|\n)([\x{00}-\x{09}\x{0B}-\x{20}]*(?:" + "|".join(tx.HEADER_START)
+           + r")[^\n\x{85}\x{2028}\x{2029}]*(?:\n[\s\S]*)?)\z")
+HEADLESS = rf"regexp_replace(regexp_extract({NORMAL}, {text(_HEADER)}, 1), '\n+\z', '')"
 
 
 def headless(source: str) -> str:

@@ -16,7 +16,7 @@ def cleaned_files(files: DataFrame) -> DataFrame:
 
     The text is dropped and rebuilt by file; only shard and path ride along through a join on the unique file_id.
     """
-    kept = files.transform(filters.drop_garbage).transform(filters.drop_unbalanced)
+    kept = files.transform(filters.keep_usable)
     return kept.select("file_id", "shard", "path").join(cleaning.clean(kept), "file_id")
 
 

@@ -12,6 +12,13 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table with fewer partitions than cores one partition per core, for work that is heavy per row (lexing
+    a text costs far more than moving it).  A table with enough partitions, as any large one has, is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def from_source_rows(rows: DataFrame) -> DataFrame:
     """(file_id, path, content) of a wide source table with id, repository path and content; other columns are
     never read."""

@@ -22,7 +22,7 @@ def new_files(spark: SparkSession, folder: str, files_per_trigger: int | None =
 
 def encoded_stream(files: DataFrame) -> DataFrame:
     """Garbage filter, header and comment removal, encoding: row by row, so nothing is kept between batches."""
-    kept = files.transform(filters.drop_garbage).transform(filters.drop_unbalanced)
+    kept = files.transform(filters.keep_usable)
     body = tx.strip_header(tx.normalize_newlines(F.col("content")))
     return (kept.select("file_id", "shard", "path", cd.encode_file(body).alias("unicode"))
             .where(F.col("unicode") != ""))
