@@ -184,6 +184,14 @@ def category(token: Column) -> Column:
                     quoted=F.when(quoted_type(token) > 0, "LITERAL"), comment=F.lit("COMMENT"), symbol=symbol)
 
 
+def is_identifier(token: Column) -> Column:
+    return _starts_word(F.ascii(token)) & ~token.isin(*WORD_TYPES)
+
+
+def is_string(token: Column) -> Column:
+    return token.startswith('"') & ~token.startswith('"""') & (quoted_type(token) > 0)
+
+
 # --- Shapes: one character per significant token, so questions about neighbours become regular expressions ---
 SHAPE_BASE = 0xE000 + 97
 

@@ -301,15 +301,18 @@ def _guarded(text: Column) -> Column:
     return F.regexp_replace(text, rf"[\x{{{SYMBOL_START:X}}}-\x{{10FFFF}}]", "�")
 
 
-def encode_ids(spark: SparkSession, text: Column, model: BpeModel, built_in: bool | None = None) -> Column:
-    """array<int> of ids.  Characters outside the alphabet, line ends included, give the unknown id and no merge
-    crosses them."""
+def encode_ids(spark: SparkSession, text: Column, model: BpeModel, built_in: bool | None = None,
+               limit: int | None = None) -> Column:
+    """array<int> of ids, the first ``limit`` of them if given.  Characters outside the alphabet, line ends included,
+    give the unknown id and no merge crosses them."""
     symbols = to_symbols(_guarded(text), model)
     if built_in is None:
         built_in = len(model.merges) <= BUILT_IN_MERGES
     if built_in and not model.reuses_ids:
-        return _ids_of(_merge_all(symbols, model.merges))
-    return _python_encoder(spark, model)(symbols)
+        merged = _merge_all(symbols, model.merges)
+        return _ids_of(F.left(merged, F.lit(limit)) if limit else merged)
+    ids = _python_encoder(spark, model)(symbols)
+    return F.slice(ids, 1, limit) if limit else ids
 
 
 def token_totals(lines: DataFrame, model: BpeModel, column: str = "unicode", count_blank: bool = True) -> DataFrame:
@@ -339,8 +342,10 @@ def folder_totals(lines: DataFrame, model: BpeModel, column: str = "unicode") ->
 
     Needs (shard, file_id) next to the line.
     """
-    where = lines.agg(F.count_distinct("shard").alias("folders"), F.count_distinct("shard", "file_id").alias("files"))
-    return where.join(F.broadcast(token_totals(lines, model, column, count_blank=False)))   # one row each
+    seen = lines.select("shard", "file_id").distinct()
+    where = seen.agg(F.count_distinct("shard").alias("folders"), F.count("*").alias("files"))
+    parts = where.unionByName(token_totals(lines, model, column, count_blank=False), allowMissingColumns=True)
+    return parts.agg(*(F.max(c).alias(c) for c in parts.columns))      # one row from each side
 
 
 def size_sweep(words: DataFrame, model: BpeModel, sizes: Sequence[int]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions import text as tx
+from tokenloom.operators.filters import where_once
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -22,8 +23,8 @@ def line_counts(lines_df: DataFrame) -> DataFrame:
 def joined(files: DataFrame) -> DataFrame:
     """(file_id, content): the stripped lines of a file, each ended by a newline; empty files vanish."""
     text = F.array_join(tx.stripped_lines(F.col("content")), "\n")
-    return files.withColumn("content", text).where(F.col("content") != "").withColumn(
-        "content", F.concat("content", F.lit("\n")))
+    kept = where_once(files.withColumn("content", text), F.col("content") != "")
+    return kept.withColumn("content", F.concat("content", F.lit("\n")))
 
 
 def fill_in_the_middle(files: DataFrame, seed: int = 0) -> DataFrame:

@@ -14,7 +14,8 @@ IGNORED_LABEL = -100
 # --------------------
 
 
-def encoded_files(files: DataFrame, model: bpe.BpeModel, column: str = "unicode", keep_newlines: bool = True) -> DataFrame:
+def encoded_files(files: DataFrame, model: bpe.BpeModel, column: str = "unicode", keep_newlines: bool = True,
+                  limit: int | None = None) -> DataFrame:
     """(file_id, ids) of each encoded file that is not empty after stripping.
 
     A file's text still has a newline after each end-of-line token.  With ``keep_newlines`` each of them becomes an
@@ -23,7 +24,7 @@ def encoded_files(files: DataFrame, model: bpe.BpeModel, column: str = "unicode"
     text = tx.strip(F.col(column))
     shown = text if keep_newlines else F.replace(text, F.lit("\n"), F.lit(""))
     kept = files.where(text != "")
-    return kept.select("file_id", bpe.encode_ids(files.sparkSession, shown, model).alias("ids"))
+    return kept.select("file_id", bpe.encode_ids(files.sparkSession, shown, model, limit=limit).alias("ids"))
 
 
 def padded(encoded: DataFrame, max_length: int = MAX_LENGTH, pad_id: int = bpe.PAD_ID) -> DataFrame:
@@ -43,5 +44,5 @@ def with_labels(examples: DataFrame, pad_id: int = bpe.PAD_ID) -> DataFrame:
 def build(files: DataFrame, model: bpe.BpeModel, max_length: int = MAX_LENGTH, column: str = "unicode",
           keep_newlines: bool = True) -> DataFrame:
     """(file_id, input_ids, attention_mask, labels).  Each file is one row throughout: no exchange."""
-    return (encoded_files(files, model, column, keep_newlines)
+    return (encoded_files(files, model, column, keep_newlines, max_length)
             .transform(padded, max_length).transform(with_labels))

@@ -55,7 +55,7 @@ def keep_usable(files: DataFrame) -> DataFrame:
 
 
 def drop_empty(files: DataFrame) -> DataFrame:
-    return files.withColumn("content", tx.compact_text(F.col("content"))).where(F.col("content") != "")
+    return where_once(files.withColumn("content", tx.compact_text(F.col("content"))), F.col("content") != "")
 
 
 def readable(files: DataFrame) -> DataFrame:

@@ -12,9 +12,7 @@ from tokenloom.operators import tokens as tk
 def values(files: DataFrame) -> DataFrame:
     """(kind, item): one row per identifier and string literal of the corpus."""
     text = F.col("text")
-    category = lx.category(text)
-    is_string = text.startswith('"') & ~text.startswith('"""')
-    kind = F.when(category == "IDENTIFIER", "identifiers").when((category == "LITERAL") & is_string, "literals")
+    kind = F.when(lx.is_identifier(text), "identifiers").when(lx.is_string(text), "literals")
     return tk.pieces(files).select(kind.alias("kind"), text.alias("item")).where(F.col("kind").isNotNull())
 
 

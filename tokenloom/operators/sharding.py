@@ -11,13 +11,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+ROWS_PER_RANGE = 100_000     # whole rows are sorted within a range, so ranges stay small
+MAX_RANGES = 50_000          # bounds the cut points held by the driver and the table of range totals
+
+
 def _ranges(df: DataFrame, key: str, count: int | None) -> DataFrame:
     """Add ``range_no``: ranges of a unique numeric key with about the same number of rows each.
 
     The cut points are approximate quantiles and travel as constants, so any rerun of a task sees the same ranges;
     where they fall does not change the result.
     """
-    count = count or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not count:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        count = max(partitions, min(df.count() // ROWS_PER_RANGE, MAX_RANGES))
     points = [i / count for i in range(1, count)]
     cuts = []
     if points:

@@ -36,7 +36,7 @@ def extended(vocabulary: DataFrame, freq: DataFrame, how_many: int) -> DataFrame
 
 def encode_identifiers(files: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(file_id, pos, text, ids): each identifier as its own id if it has one, else marker and spelling."""
-    identifiers = tk.pieces(files).where(lx.category(F.col("text")) == "IDENTIFIER")
+    identifiers = tk.pieces(files).where(lx.is_identifier(F.col("text")))
     known = F.broadcast(vocabulary.where(~F.col("key").startswith("!LEX_"))
                         .select(F.col("key").alias("text"), "token_id"))     # at most cd.MAX_VOCABULARY rows
     spelled = cd.to_ids(cd.encode_identifier(F.col("text"), mark_single_char=True))
@@ -52,7 +52,7 @@ def encode_with(files: DataFrame, vocabulary: DataFrame) -> DataFrame:
                         .select(F.col("key").alias("text"), "token_id"))     # at most cd.MAX_VOCABULARY rows
     found = tk.pieces(compact, ordered=True).join(known, "text", "left")
     plain = cd.to_ids(cd.encode_token(F.col("text")))
-    ids = F.when(F.col("token_id").isNotNull() & (lx.category(F.col("text")) == "IDENTIFIER"),
+    ids = F.when(F.col("token_id").isNotNull() & lx.is_identifier(F.col("text")),
                  F.array(F.col("token_id"))).otherwise(plain)
     rows = found.select("file_id", "pos", ids.alias("ids")).where(F.size("ids") > 0)
     ordered = F.array_sort(F.collect_list(F.struct("pos", "ids")))

@@ -22,8 +22,8 @@ def cleaned_files(files: DataFrame) -> DataFrame:
 
 def encoded_files(files: DataFrame) -> DataFrame:
     """(file_id, shard, path, unicode): files with at least one model token."""
-    return (files.select("file_id", "shard", "path", cd.encode_file(F.col("content")).alias("unicode"))
-            .where(F.col("unicode") != ""))
+    encoded = files.select("file_id", "shard", "path", cd.encode_file(F.col("content")).alias("unicode"))
+    return filters.where_once(encoded, F.col("unicode") != "")
 
 
 def unicode_lines(encoded: DataFrame) -> DataFrame:

@@ -11,10 +11,9 @@ from tokenloom.operators import corpus, ranking, sharding, stats
 
 
 def _spread(files: DataFrame) -> DataFrame:
-    """Rows of a shard go to several tasks, so one huge shard does not end up in one task; the writers then put
-    them into the same folder."""
-    spread = F.pmod(F.xxhash64("file_id"), F.lit(16)).cast("int")
-    return files.withColumn("_spread", spread).repartition("shard", "_spread").drop("_spread")
+    """Rows of a shard come together, so that few files are written per folder; adaptive execution splits a shard
+    that is far larger than the others over several tasks."""
+    return files.hint("rebalance", "shard")
 
 
 def write_shards(files: DataFrame, path: str, rows_per_shard: int = 10_000) -> None:

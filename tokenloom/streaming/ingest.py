@@ -24,8 +24,8 @@ def encoded_stream(files: DataFrame) -> DataFrame:
     """Garbage filter, header and comment removal, encoding: row by row, so nothing is kept between batches."""
     kept = files.transform(filters.keep_usable)
     body = tx.strip_header(tx.normalize_newlines(F.col("content")))
-    return (kept.select("file_id", "shard", "path", cd.encode_file(body).alias("unicode"))
-            .where(F.col("unicode") != ""))
+    encoded = kept.select("file_id", "shard", "path", cd.encode_file(body).alias("unicode"))
+    return filters.where_once(encoded, F.col("unicode") != "")
 
 
 def ingest(spark: SparkSession, folder: str, output: str, checkpoint: str, files_per_trigger: int | None = None) -> StreamingQuery:
