@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.llm.graph import components
+from tokenloom.llm.skew import join_groups
 from tokenloom.llm.words import WordHasher, hashed_words, space_words, windows
 from tokenloom.session import Tables
 
@@ -300,10 +301,26 @@ def shingle_components(spark: SparkSession, docs: DataFrame, id_column: str = "d
         f"_id {kind}, node binary, n bigint, shingles array<bigint>, places array<int>, members binary"))
     order.unpersist()
     labels = linked_nodes(tables, sets, percent).select(F.col("a").alias("node"), F.col("b").alias("label"))
-    nodes = sets.where("node is not null").groupBy("node").agg(F.min("_id").alias("_least"))
+    nodes = sets.where("node is not null").groupBy("node").agg(F.min("_id").alias("_least"), F.count("*").alias("_copies"))
     nodes = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = nodes.groupBy("label").agg(F.min("_least").alias("component_id"))
-    found = nodes.join(groups, "label").select("node", "component_id")
+    found = tables.replace("found", nodes.join(groups, "label").select("node", "component_id", "_copies"))
     empty = sets.where("node is null").select("_id", F.col("n").alias("n_shingles"), F.col("_id").alias("component_id"))
-    return sets.where("node is not null").select("_id", "node", F.col("n").alias("n_shingles")).join(found, "node").select(
-        "_id", "n_shingles", "component_id").unionAll(empty)
+    rows = sets.where("node is not null").select("_id", "node", F.col("n").alias("n_shingles"))
+    return join_groups(rows, found, "node", "_copies").select("_id", "n_shingles", "component_id").unionAll(empty)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+                      words: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without near copies: of each group of linked ones the row with the smallest id (null first, then
+    by a digest of the text) stays, and one of rows that agree in both.  Texts without words are linked with nothing
+    and stay."""
+    key = F.struct(F.col(id_column).alias("id"), F.md5(F.coalesce(F.col(text_column).cast("string"), F.lit(""))).alias("digest"))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key"), F.col(text_column).alias("_text"))
+    found = shingle_components(spark, keyed, "_key", "_text", words, percent)
+    counted = found.groupBy("_id").agg(F.max(F.col("component_id") != F.col("_id")).alias("drop"), F.count("*").alias("_c"),
+                                       F.max("n_shingles").alias("n"))
+    notes = counted.where("drop or (_c > 1 and n > 0)").select(F.col("_id").alias("_key"), "drop")
+    joined = keyed.drop("_text").join(notes, "_key", "left")
+    repeated = joined.where("drop = false").groupBy("_key").agg(F.first("_row").alias("_row")).select("_row")
+    return joined.where("drop is null").select("_row").unionAll(repeated).select("_row.*")
