@@ -6,19 +6,40 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tokenloom.llm import jaccard
+from tokenloom.llm import decontaminate, jaccard, language, mixing, sharding
+from tokenloom.llm.queries import SHARDS
 from tokenloom.session import shared_folder
 
 
+def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without a letter, or mostly in letters that no labelled text has, go."""
+    return language.in_known_languages(spark, docs)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group of linked documents the one with the smallest id stays."""
     return jaccard.one_of_each_group(spark, docs)
 
 
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold a window of a test item go."""
+    return decontaminate.decontaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing sources to target weights: each document as often as the mix takes it."""
+    return mixing.mixture(spark, docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sharding: the columns of documents, ``slot`` and ``shard``."""
+    return sharding.placed(spark, docs, SHARDS)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("ngram_jaccard_join", near_copies),
+    ("language_id", known_languages), ("ngram_jaccard_join", near_copies), ("decontamination", without_benchmark),
+    ("source_mix", mixed), ("sharding", sharded),
 ]
 
 #: Language identification rests on learned automata, which SQL cannot express; tests compare with brute force.
