@@ -90,7 +90,8 @@ SQL: dict[str, str] = {
             FROM sources
             WINDOW earlier AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         targets AS (
-            SELECT source, source_size, least(cap::DOUBLE, weight * first(level ORDER BY full_at) FILTER (full_at >= level) OVER ()) AS target
+            SELECT source, source_size, least(cap::DOUBLE, weight * (
+                SELECT level FROM levels WHERE full_at >= level ORDER BY full_at, source NULLS LAST LIMIT 1)) AS target
             FROM levels),
         copies AS (
             SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::INT AS whole FROM targets),
