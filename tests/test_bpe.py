@@ -50,13 +50,34 @@ def test_tiny_alphabets(spark):
         assert {t: i for i, t in enumerate(model.tokens)} == library(lines, 13, alphabet).get_vocab()
 
 
-def test_both_encoders_agree_and_mark_unknown(trained, spark):
+def test_encoder_agrees_with_replacements_and_marks_unknown(trained, spark):
+    """Merges of new symbols alone may as well be replaced one after another."""
     alphabet, lines, _, model = trained
     df = spark.createDataFrame([("\n".join(lines[i:i + 3]) + "z",) for i in range(len(lines))], "t string")
-    columns = [bpe.encode_ids(spark, F.col("t"), model, built_in=b).alias(f"c{b}") for b in (True, False)]
-    rows = df.select("t", *columns).collect()
-    for r in rows:
-        assert r.cTrue == r.cFalse and r.cTrue.count(bpe.UNKNOWN_ID) == r.t.count("\n") + 1
+    columns = [bpe.encode_ids(spark, F.col("t"), model).alias("ids"), bpe.encode_ids(spark, F.col("t"), model, limit=7).alias("cut"),
+               bpe.line_sizes(spark, F.split("t", "\n"), model).alias("sizes")]
+    assert not model.reuses_ids
+    for r in df.select("t", *columns).collect():
+        text = "".join(bpe.symbol(2 + alphabet.index(c)) if c in alphabet else c for c in r.t)
+        for left, right, new in model.merges:
+            text = text.replace(bpe.symbol(left) + bpe.symbol(right), bpe.symbol(new))
+        assert r.ids == [max(ord(c) - bpe.SYMBOL_START, bpe.UNKNOWN_ID) for c in text]
+        assert r.cut == r.ids[:7] and sum(r.sizes) + r.t.count("\n") == len(r.ids)
+
+
+def test_tables_that_are_too_long_are_refused(trained, spark, monkeypatch):
+    model = trained[3]
+    tables = model.vocabulary(spark), model.merge_table(spark)
+    monkeypatch.setattr(bpe, "MAX_SYMBOLS", len(model.tokens) - 1)
+    with pytest.raises(ValueError):
+        bpe.BpeModel.from_tables(*tables)
+    id_map = spark.range(cd.MAX_VOCABULARY + 1).select(F.col("id").cast("string").alias("token_id"), F.lit("x").alias("text"))
+    with pytest.raises(ValueError):
+        vocabulary.readable_lines(tables[0], id_map)
+    long = spark.range(cd.MAX_VOCABULARY + 5).select(F.col("id").cast("smallint").alias("token_id"), F.col("id").cast("string").alias("key"))
+    ids = spark.createDataFrame([(cd.MAX_VOCABULARY + 4,)], "token_id smallint")
+    found = vocabulary.looked_up(ids, long.withColumn("value", F.col("key")))
+    assert found.first()["value"] == str(cd.MAX_VOCABULARY + 4)                    # joined whole, not cut
 
 
 def test_changes_equal_a_recount(trained, spark):

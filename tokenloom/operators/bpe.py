@@ -1,9 +1,10 @@
 """Byte-pair vocabulary learned exactly on distributed lines, and its application.
 
-Training state is two tables: distinct words with their counts, and adjacent-pair counts.  A symbol is one code
-point, U+F0000 + id, so a merge is the built-in string replacement.  Each round brings the top of the pair ranking
-to the driver, takes as many merges from it as are certain, and updates the pair counts from the words that
-contain one of them; no other word is exploded again.
+Training state is a table of distinct words with their counts, and the counts of adjacent pairs, which the driver
+holds: their number depends on the vocabulary, not on the corpus, and is checked.  A symbol is one code point,
+U+F0000 + id, so a merge is the built-in string replacement.  Each round takes as many merges from the pair ranking as
+are certain, and is one job: the words that contain one of them give the changes of the pair counts; no other word is
+exploded again, and no table of pairs is written.
 
 Why several merges per round are certain: take the longest head of the ranking in which no pair shares a symbol
 with an earlier one.  A pair created by one of these merges occurs at most as often as an old pair that shares a
@@ -31,7 +32,8 @@ MIN_FREQUENCY = 2
 # ---------------------------------------------------------------------------------------------------------------
 SYMBOL_START = 0xF0000
 MAX_SYMBOLS = 0x10FFFF - SYMBOL_START + 1
-BUILT_IN_MERGES = 256      # up to here a chain of built-in replacements beats moving rows to Python
+MAX_PAIRS = 1 << 23        # distinct pairs held by the driver while training; more are an error
+REMEMBERED = 1 << 24       # characters of pieces that a task remembers while encoding
 
 
 def symbol(token_id: int) -> str:
@@ -73,8 +75,11 @@ class BpeModel:
 
     @classmethod
     def from_tables(cls, vocabulary: DataFrame, merges: DataFrame) -> BpeModel:
-        tokens = [r.token for r in vocabulary.orderBy("bpe_id").limit(MAX_SYMBOLS).collect()]
-        rows = merges.orderBy("rank").limit(MAX_SYMBOLS).collect()
+        """Fails for a table that is longer than symbol ids allow; it is never cut."""
+        tokens = [r.token for r in vocabulary.orderBy("bpe_id").limit(MAX_SYMBOLS + 1).collect()]
+        rows = merges.orderBy("rank").limit(MAX_SYMBOLS + 1).collect()
+        if max(len(tokens), len(rows)) > MAX_SYMBOLS:
+            raise ValueError(f"at most {MAX_SYMBOLS} entries fit the symbol range")
         return cls(tokens, [(r.left_id, r.right_id, r.new_id) for r in rows])
 
 
@@ -133,14 +138,50 @@ def _merge_all(word: Column, merges: Sequence[tuple[int, int, int]]) -> Column:
 
 
 # --- Training ---------------------------------------------------------------------------------------------------
-def _certain_merges(ranking: Sequence, model: BpeModel, known: dict[str, int], room: int) -> list[tuple[int, int, int]]:
+class _Ranking:
+    """Pair counts, best first: count descending, then code point order.  Outdated heap entries are skipped."""
+
+    def __init__(self, pairs: DataFrame):
+        rows = pairs.limit(MAX_PAIRS + 1).collect()
+        self.counts = {r["pair"]: r["cnt"] for r in rows}
+        self._check()
+        self._heap = [(-n, pair) for pair, n in self.counts.items()]
+        heapq.heapify(self._heap)
+
+    def _check(self) -> None:
+        if len(self.counts) > MAX_PAIRS:
+            raise ValueError(f"more than {MAX_PAIRS} distinct pairs")
+
+    def pop(self, min_frequency: int) -> tuple[int, str] | None:
+        while self._heap and -self._heap[0][0] >= min_frequency:
+            negative, pair = heapq.heappop(self._heap)
+            if self.counts.get(pair) == -negative:
+                return -negative, pair
+        return None
+
+    def push(self, count: int, pair: str) -> None:
+        heapq.heappush(self._heap, (-count, pair))
+
+    def update(self, changes: DataFrame) -> None:
+        """Add the changes; their number is at most twice the symbols for each merge of the round."""
+        for row in changes.groupBy("pair").agg(F.sum("cnt").alias("cnt")).where("cnt != 0").collect():
+            count = self.counts.pop(row["pair"], 0) + row["cnt"]
+            if count > 0:
+                self.counts[row["pair"]] = count
+                self.push(count, row["pair"])
+        self._check()
+
+
+def _certain_merges(ranking: _Ranking, min_frequency: int, model: BpeModel, known: dict[str, int],
+                    room: int) -> list[tuple[int, int, int]]:
     """The head of the ranking that can be merged without counting again."""
     batch, used, size = [], set(), len(model.tokens)
-    for row in ranking:
-        left, right = (ord(c) - SYMBOL_START for c in row.pair)
+    while found := ranking.pop(min_frequency):
+        left, right = (ord(c) - SYMBOL_START for c in found[1])
         text = model.tokens[left] + model.tokens[right]
         alone = left == right or text in known
         if batch and (alone or left in used or right in used or len(batch) >= room):
+            ranking.push(*found)
             break
         new = known.get(text, size + len(batch))
         batch.append((left, right, new))
@@ -152,38 +193,32 @@ def _certain_merges(ranking: Sequence, model: BpeModel, known: dict[str, int], r
 
 
 def train(words: DataFrame, vocab_size: int = TARGET_SIZE, initial_alphabet: Sequence[str] = tuple(cd.ALPHABET),
-          min_frequency: int = MIN_FREQUENCY, look_ahead: int = 128, keep_steps: int = 12) -> BpeModel:
+          min_frequency: int = MIN_FREQUENCY, keep_steps: int = 24) -> BpeModel:
     """Learn merges until the vocabulary is full or no pair occurs ``min_frequency`` times.
 
-    ``words`` is (word, n).  ``look_ahead`` bounds the ranking rows per round; ``keep_steps`` is how many merges may
-    be pending before the words are written again with them applied.  Pair counts are written every round.
+    ``words`` is (word, n).  ``keep_steps`` is how many merges may be pending before the words are written again with
+    them applied.
     """
     if vocab_size > MAX_SYMBOLS:
         raise ValueError(f"at most {MAX_SYMBOLS} entries fit the symbol range")
     model = BpeModel([*SPECIAL_TOKENS, *corpus_alphabet(words, initial_alphabet)])
     known = {t: i for i, t in enumerate(model.tokens)}
     tables = Tables(words.sparkSession)
-    # A fixed number of partitions: left to itself a small table would be packed into one task.
-    partitions = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = words.select(to_symbols(F.col("word"), model).alias("word"), "n").repartition(partitions)
-    base = tables.replace("words", spread)
-    pairs = tables.replace("pairs", pair_counts(base))
+    base = tables.replace("words", words.select(to_symbols(F.col("word"), model).alias("word"), "n").hint("rebalance"))
+    ranking = _Ranking(pair_counts(base))
     pending: list[tuple[int, int, int]] = []
     while len(model.tokens) < vocab_size:
-        ranking = best_pairs(frequent(pairs, min_frequency), look_ahead).collect()
-        batch = _certain_merges(ranking, model, known, vocab_size - len(model.tokens))
+        batch = _certain_merges(ranking, min_frequency, model, known, vocab_size - len(model.tokens))
         if not batch:
             break
-        if batch[0] in model.merges[-look_ahead:]:
-            raise RuntimeError("pair counts do not shrink: the words changed between two reads")
         reused = any(new < len(model.tokens) for _, _, new in batch)
         for left, right, new in batch:
             if new == len(model.tokens):
                 model.tokens.append(model.tokens[left] + model.tokens[right])
             model.merges.append((left, right, new))
-        changes = (_recount if reused else _changes)(base, pending, batch)
-        updated = pairs.unionByName(changes).groupBy("pair").agg(F.sum("cnt").alias("cnt")).where("cnt > 0")
-        pairs = tables.replace("pairs", updated)
+        ranking.update((_recount if reused else _changes)(base, pending, batch))
+        if any(symbol(left) + symbol(right) in ranking.counts for left, right, _ in batch if left != right) and not reused:
+            raise RuntimeError("pair counts do not shrink: the words changed between two reads")
         pending += batch
         if len(pending) >= keep_steps:
             base = tables.replace("words", base.select(_merge_all(F.col("word"), pending).alias("word"), "n"))
@@ -252,23 +287,18 @@ def apply_merges(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]])
     return [i for i in ids if i >= 0]
 
 
-def _ids_of(symbols: Column) -> Column:
-    code = F.ascii
-    return F.transform(cd.characters(symbols), lambda c: F.when(code(c) >= SYMBOL_START, code(c) - SYMBOL_START)
-                       .otherwise(F.lit(UNKNOWN_ID)).cast("int"))
-
+def _encoder(spark: SparkSession, model: BpeModel, kind: str, sizes: Sequence[int] | None = None, limit: int | None = None):
+    """Arrow function from symbol strings: to ids (``ids``), to token counts per vocabulary size (``counts``), or from
+    arrays of strings to token counts (``sizes``).
 
-def _python_encoder(spark: SparkSession, model: BpeModel, sizes: Sequence[int] | None = None):
-    """Arrow function from symbol strings to ids (or to token counts per vocabulary size).
-
-    Pieces between unknown characters are merged on their own, and a task remembers the pieces it has seen, so
-    the lines that fill much of a corpus cost one lookup.
+    Pieces between unknown characters are merged on their own, and a task remembers pieces it has seen, up to
+    ``REMEMBERED`` characters, so the lines that fill much of a corpus cost one lookup.
     """
     stages = [model.first(s) for s in sizes] if sizes else [model]
     tables = spark.sparkContext.broadcast(
         [{(a, b): (rank, new) for rank, (a, b, new) in reversed(list(enumerate(m.merges)))} for m in stages])
 
-    def encode_text(text: str, ranks: dict, seen: dict) -> list[int]:
+    def encode_text(text: str, ranks: dict, seen: dict, limit: int | None = None) -> list[int]:
         out: list[int] = []
         start = 0
         codes = [ord(c) - SYMBOL_START for c in text]
@@ -276,43 +306,46 @@ def _python_encoder(spark: SparkSession, model: BpeModel, sizes: Sequence[int] |
             piece = text[start:end]
             if piece:
                 if piece not in seen:
-                    if len(seen) > 100_000:
+                    if seen[""] + len(piece) > REMEMBERED:
                         seen.clear()
+                        seen[""] = 0
+                    seen[""] += len(piece)
                     seen[piece] = apply_merges(codes[start:end], ranks)
                 out += seen[piece]
             if end < len(codes):
                 out.append(UNKNOWN_ID)
             start = end + 1
+            if limit and len(out) >= limit:           # pieces end where merges end, so the rest changes nothing
+                return out[:limit]
         return out
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ranks, memory = tables.value, [{} for _ in tables.value]
+        ranks, memory = tables.value, [{"": 0} for _ in tables.value]
         for texts in batches:
-            if sizes:
+            if kind == "counts":
                 yield pd.Series([[len(encode_text(t, r, s)) for r, s in zip(ranks, memory)] for t in texts])
+            elif kind == "sizes":
+                yield pd.Series([[len(encode_text(t, ranks[0], memory[0])) for t in row] for row in texts])
             else:
-                yield pd.Series([encode_text(t, ranks[0], memory[0]) for t in texts])
+                yield pd.Series([encode_text(t, ranks[0], memory[0], limit) for t in texts])
 
     return F.pandas_udf(run, "array<int>")
 
 
 def _guarded(text: Column) -> Column:
     """Characters from the symbol range cannot belong to the alphabet; make them plainly unknown."""
-    return F.regexp_replace(text, rf"[\x{{{SYMBOL_START:X}}}-\x{{10FFFF}}]", "�")
+    return F.regexp_replace(text, rf"[\x{{{SYMBOL_START:X}}}-\x{{10FFFF}}]", "\N{REPLACEMENT CHARACTER}")
 
 
-def encode_ids(spark: SparkSession, text: Column, model: BpeModel, built_in: bool | None = None,
-               limit: int | None = None) -> Column:
+def encode_ids(spark: SparkSession, text: Column, model: BpeModel, limit: int | None = None) -> Column:
     """array<int> of ids, the first ``limit`` of them if given.  Characters outside the alphabet, line ends included,
     give the unknown id and no merge crosses them."""
-    symbols = to_symbols(_guarded(text), model)
-    if built_in is None:
-        built_in = len(model.merges) <= BUILT_IN_MERGES
-    if built_in and not model.reuses_ids:
-        merged = _merge_all(symbols, model.merges)
-        return _ids_of(F.left(merged, F.lit(limit)) if limit else merged)
-    ids = _python_encoder(spark, model)(symbols)
-    return F.slice(ids, 1, limit) if limit else ids
+    return _encoder(spark, model, "ids", limit=limit)(to_symbols(_guarded(text), model))
+
+
+def line_sizes(spark: SparkSession, lines: Column, model: BpeModel) -> Column:
+    """array<int>: the number of ids of each line of an array."""
+    return _encoder(spark, model, "sizes")(F.transform(lines, lambda line: to_symbols(_guarded(line), model)))
 
 
 def token_totals(lines: DataFrame, model: BpeModel, column: str = "unicode", count_blank: bool = True) -> DataFrame:
@@ -352,17 +385,7 @@ def size_sweep(words: DataFrame, model: BpeModel, sizes: Sequence[int]) -> DataF
     """(vocab_size, total_tokens): the corpus under each prefix of the merge list, in one pass over the words."""
     sizes = sorted(sizes)
     word = to_symbols(_guarded(F.col("word")), model)
-    longest = model.first(sizes[-1]).merges
-    if len(longest) <= BUILT_IN_MERGES and not model.reuses_ids:
-        steps, columns, done = words.select("n", word.alias("w0")), [], 0
-        for i, size in enumerate(sizes):
-            merges = model.first(size).merges
-            steps = steps.withColumn(f"w{i + 1}", _merge_all(F.col(f"w{i}"), merges[done:]))
-            columns.append(F.length(f"w{i + 1}").alias(str(size)))
-            done = len(merges)
-        counted = steps.select("n", F.array(*columns).alias("counts"))
-    else:
-        counted = words.select("n", _python_encoder(words.sparkSession, model, sizes)(word).alias("counts"))
+    counted = words.select("n", _encoder(words.sparkSession, model, "counts", sizes)(word).alias("counts"))
     rows = counted.select("n", F.posexplode("counts").alias("i", "size"))
     size_of = F.element_at(F.array(*(F.lit(s) for s in sizes)), F.col("i") + 1)
     return rows.groupBy(size_of.alias("vocab_size")).agg(F.sum(F.col("n") * F.col("size")).alias("total_tokens"))

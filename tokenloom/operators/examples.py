@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions import text as tx
-from tokenloom.operators import bpe
+from tokenloom.operators import bpe, filters
 
 # --- Fixed values ---
 MAX_LENGTH = 1536
@@ -23,7 +23,7 @@ def encoded_files(files: DataFrame, model: bpe.BpeModel, column: str = "unicode"
     """
     text = tx.strip(F.col(column))
     shown = text if keep_newlines else F.replace(text, F.lit("\n"), F.lit(""))
-    kept = files.where(text != "")
+    kept = filters.where_once(files, text != "")
     return kept.select("file_id", bpe.encode_ids(files.sparkSession, shown, model, limit=limit).alias("ids"))
 
 

@@ -1,60 +1,45 @@
 """Row numbers, shards, samples and splits.
 
-Numbering rows of the whole corpus in order is the one place that looks serial.  It is split into ranges of the
-key: range totals are summed up first (one row per range), then each range numbers its own rows.
+Numbering rows of the whole corpus in order is the one place that looks serial.  The keys alone are range-partitioned and
+written; range totals are summed up first (one row per range), then each range numbers its own keys.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenloom.session import Tables
 
-ROWS_PER_RANGE = 100_000     # whole rows are sorted within a range, so ranges stay small
-MAX_RANGES = 50_000          # bounds the cut points held by the driver and the table of range totals
 
+def totals_before(df: DataFrame, key: str, values: dict[str, Column], ranges: int | None = None) -> DataFrame:
+    """(key, names): for each name the sum of the value over all rows with a smaller key; ``key`` is unique and not null.
 
-def _ranges(df: DataFrame, key: str, count: int | None) -> DataFrame:
-    """Add ``range_no``: ranges of a unique numeric key with about the same number of rows each.
-
-    The cut points are approximate quantiles and travel as constants, so any rerun of a task sees the same ranges;
-    where they fall does not change the result.
+    The engine samples the cut points of the ranges; the written table keeps which row fell into which, so reruns of a
+    task see the same ranges.  Where the cuts fall does not change the result.
     """
-    if not count:
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        count = max(partitions, min(df.count() // ROWS_PER_RANGE, MAX_RANGES))
-    points = [i / count for i in range(1, count)]
-    cuts = []
-    if points:
-        found = df.select(F.percentile_approx(F.col(key).cast("double"), points, max(10000, 10 * count))).first()[0]
-        cuts = sorted(set(found or []))
-    splits = [-float("inf"), *cuts, float("inf")]
-    number = F.col(key).cast("double").alias("_key")
-    if len(splits) < 3:
-        return df.withColumn("range_no", F.lit(0.0))
-    bucketizer = Bucketizer(splits=splits, inputCol="_key", outputCol="range_no")
-    return bucketizer.transform(df.select("*", number)).drop("_key")
+    numbers = df.select(key, *(v.alias(f"_{n}") for n, v in values.items()))
+    ranged = numbers.repartitionByRange(*([ranges] if ranges else []), key).withColumn("_range", F.spark_partition_id())
+    ranged = Tables(df.sparkSession).replace("ranges", ranged)
+    totals = ranged.groupBy("_range").agg(*(F.sum(f"_{n}").alias(f"_{n}_range") for n in values))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)      # one row per partition
+    offsets = totals.select("_range", *(F.coalesce(F.sum(f"_{n}_range").over(earlier), F.lit(0)).alias(f"_{n}_offset")
+                                        for n in values))
+    inside = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(offsets), "_range")         # as many rows as partitions
+    return out.select(key, *((F.coalesce(F.sum(f"_{n}").over(inside), F.lit(0)) + F.col(f"_{n}_offset")).cast("bigint").alias(n)
+                             for n in values))
 
 
 def with_totals_before(df: DataFrame, key: str, values: dict[str, Column], ranges: int | None = None) -> DataFrame:
-    """Add, for each name, the sum of the value over all rows with a smaller key."""
-    ranged = _ranges(df, key, ranges)
-    named = ranged.withColumns({f"_{n}": v for n, v in values.items()})
-    totals = named.groupBy("range_no").agg(*(F.sum(f"_{n}").alias(f"_{n}_range") for n in values))
-    earlier = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)   # one row per range
-    offsets = totals.select("range_no", *(F.coalesce(F.sum(f"_{n}_range").over(earlier), F.lit(0)).alias(f"_{n}_offset")
-                                          for n in values))
-    inside = Window.partitionBy("range_no").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    out = named.join(F.broadcast(offsets), "range_no")    # as many rows as ranges
-    for n in values:
-        before = F.coalesce(F.sum(f"_{n}").over(inside), F.lit(0)) + F.col(f"_{n}_offset")
-        out = out.withColumn(n, before.cast("bigint"))
-    return out.drop("range_no", *(f"_{n}" for n in values), *(f"_{n}_offset" for n in values))
+    """Add those sums to the rows; whole rows are joined to their numbers, not sorted."""
+    return df.join(totals_before(df, key, values, ranges), key)
 
 
 def with_row_index(df: DataFrame, key: str = "file_id", ranges: int | None = None) -> DataFrame:
-    """Add row_index, counted from 0 in the order of a unique numeric key."""
+    """Add row_index, counted from 0 in the order of a unique key of any type."""
+    if df.columns == [key]:
+        return totals_before(df, key, {"row_index": F.lit(1)}, ranges)
     return with_totals_before(df, key, {"row_index": F.lit(1)}, ranges)
 
 

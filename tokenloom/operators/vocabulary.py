@@ -16,15 +16,21 @@ def base_vocabulary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(cd.BASE_VOCABULARY, "token_id smallint, key string, value string")
 
 
+def bounded(vocabulary: DataFrame) -> DataFrame:
+    """To be broadcast if it has no more rows than ids fit one character; a longer table of the caller is shuffled."""
+    fits = vocabulary.limit(cd.MAX_VOCABULARY + 1).count() <= cd.MAX_VOCABULARY
+    return F.broadcast(vocabulary) if fits else vocabulary
+
+
 def missing_identifiers(freq: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Identifier frequencies whose text is no key of the vocabulary."""
-    keys = F.broadcast(vocabulary.select(F.col("key").alias("item")))     # at most cd.MAX_VOCABULARY rows
+    keys = bounded(vocabulary.select(F.col("key").alias("item")))
     return freq.where(F.col("kind") == "identifiers").join(keys, "item", "left_anti")
 
 
 def extended(vocabulary: DataFrame, freq: DataFrame, how_many: int) -> DataFrame:
     """Append the most frequent identifiers that are not keys yet, with the next free ids."""
-    if cd.BASE_SIZE + how_many > cd.MAX_VOCABULARY:
+    if vocabulary.limit(cd.MAX_VOCABULARY + 1).count() + how_many > cd.MAX_VOCABULARY:
         raise ValueError(f"at most {cd.MAX_VOCABULARY} ids fit one character each")
     new = ranking.top(missing_identifiers(freq, vocabulary), how_many)
     # At most how_many rows reach this window and this maximum.
@@ -37,8 +43,7 @@ def extended(vocabulary: DataFrame, freq: DataFrame, how_many: int) -> DataFrame
 def encode_identifiers(files: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(file_id, pos, text, ids): each identifier as its own id if it has one, else marker and spelling."""
     identifiers = tk.pieces(files).where(lx.is_identifier(F.col("text")))
-    known = F.broadcast(vocabulary.where(~F.col("key").startswith("!LEX_"))
-                        .select(F.col("key").alias("text"), "token_id"))     # at most cd.MAX_VOCABULARY rows
+    known = bounded(vocabulary.where(~F.col("key").startswith("!LEX_")).select(F.col("key").alias("text"), "token_id"))
     spelled = cd.to_ids(cd.encode_identifier(F.col("text"), mark_single_char=True))
     ids = F.when(F.col("token_id").isNotNull(), F.array(F.col("token_id"))).otherwise(spelled)
     return identifiers.join(known, "text", "left").select("file_id", "pos", "text", ids.alias("ids"))
@@ -48,8 +53,7 @@ def encode_with(files: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(file_id, ids): files encoded with an extended vocabulary, stripped non-empty lines first."""
     from tokenloom.functions.text import compact_text
     compact = files.withColumn("content", compact_text(F.col("content"))).where(F.col("content") != "")
-    known = F.broadcast(vocabulary.where((F.col("token_id") >= cd.BASE_SIZE))
-                        .select(F.col("key").alias("text"), "token_id"))     # at most cd.MAX_VOCABULARY rows
+    known = bounded(vocabulary.where((F.col("token_id") >= cd.BASE_SIZE)).select(F.col("key").alias("text"), "token_id"))
     found = tk.pieces(compact, ordered=True).join(known, "text", "left")
     plain = cd.to_ids(cd.encode_token(F.col("text")))
     ids = F.when(F.col("token_id").isNotNull() & lx.is_identifier(F.col("text")),
@@ -61,7 +65,7 @@ def encode_with(files: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def looked_up(ids: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Add key and value to (token_id); an unknown id has the value ``<?>``."""
-    joined = ids.join(F.broadcast(vocabulary), "token_id", "left")           # at most cd.MAX_VOCABULARY rows
+    joined = ids.join(bounded(vocabulary), "token_id", "left")
     return joined.withColumn("value", F.coalesce("value", F.lit("<?>")))
 
 
@@ -96,7 +100,10 @@ def readable_lines(bpe_vocabulary: DataFrame, id_map: DataFrame) -> DataFrame:
 
     ``id_map`` is (token_id STRING, text): at most cd.MAX_VOCABULARY rows, read into a constant.
     """
-    table = {r.token_id: r.text for r in id_map.limit(cd.MAX_VOCABULARY).collect()}
+    rows = id_map.limit(cd.MAX_VOCABULARY + 1).collect()
+    if len(rows) > cd.MAX_VOCABULARY:
+        raise ValueError(f"an id map has at most {cd.MAX_VOCABULARY} rows")
+    table = {r.token_id: r.text for r in rows}
     token, parts = F.col("token"), F.col("parts")
     merged = F.concat(F.array_join(parts, " + "), F.lit(' -> "'), F.array_join(parts, ""), F.lit('"'))
     shown = (F.when(filters.is_special(token), token).when(F.size(parts) == 1, F.element_at(parts, 1)).otherwise(merged))

@@ -26,7 +26,7 @@ from tokenloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
-_MODELS: dict[tuple[str, str, int], bpe.BpeModel] = {}
+_MODELS: dict[tuple, bpe.BpeModel] = {}
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,10 +54,11 @@ def over(source: Callable[[SparkSession, str], DataFrame]):
     return register
 
 
-def model_for(encoded: DataFrame, folder: str, merges: int) -> bpe.BpeModel:
-    """Learn once per session and data folder: several queries apply the same vocabulary."""
-    spark = encoded.sparkSession
-    key = (spark.sparkContext.applicationId, folder, merges)
+def model_for(spark: SparkSession, folder: str, encoded: DataFrame, merges: int) -> bpe.BpeModel:
+    """Learn once per session and state of the documents: several queries apply the same vocabulary."""
+    parts = tb.read_table(spark, folder, "documents").select("_metadata.file_path", "_metadata.file_modification_time").distinct()
+    state = parts.agg(F.count("*"), F.sum(F.xxhash64("file_path", "file_modification_time").cast("decimal(38,0)"))).first()
+    key = (spark.sparkContext.applicationId, folder, merges, *state)
     if key not in _MODELS:
         words = bpe.word_counts(pipeline.unicode_lines(encoded))
         _MODELS[key] = bpe.train(words, len(bpe.SPECIAL_TOKENS) + cd.BASE_SIZE + merges)
@@ -68,8 +69,8 @@ def with_model(merges: int = MERGES):
     """Register ``fn(encoded files, model)`` under its name."""
     def register(fn: Callable[[DataFrame, bpe.BpeModel], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            encoded = pipeline.encoded_files(texts(spark, folder))
-            return fn(encoded, model_for(encoded, folder, merges))
+            encoded = Tables(spark).replace("encoded", pipeline.encoded_files(texts(spark, folder)))     # read several times
+            return fn(encoded, model_for(spark, folder, encoded, merges))
         _QUERIES[fn.__name__] = run
         return fn
     return register
@@ -107,7 +108,7 @@ def encoded_paths(df):
 
 @over(files)
 def shard_assignment(df):
-    return sharding.assign_shards(df, SHARD_ROWS).select("file_id", "row_index", "shard")
+    return sharding.assign_shards(df.select("file_id"), SHARD_ROWS)
 
 
 @over(files)
@@ -483,27 +484,23 @@ def baseline_token_count(df):
     return compare.baseline_totals(df, "words")
 
 
-@with_model(max(SWEEP) - min(SWEEP) + 2)
+@with_model()
 def vocabulary_sweep(encoded, model):
     return bpe.size_sweep(bpe.word_counts(pipeline.unicode_lines(encoded)), model, SWEEP)
 
 
-def _baseline(encoded: DataFrame, model: bpe.BpeModel) -> DataFrame:
-    """A one-merge tokenizer that claims the largest vocabulary: something to compare the series with."""
-    words = bpe.word_counts(pipeline.unicode_lines(encoded))
-    one_merge = bpe.size_sweep(words, model, [len(bpe.SPECIAL_TOKENS) + cd.BASE_SIZE + 1])
-    return one_merge.select(F.lit(SWEEP[-1]).alias("vocab_size"), "total_tokens")
-
-
-@with_model(max(SWEEP) - min(SWEEP) + 2)
-def baseline_improvement(encoded, model):
-    return compare.improvement(vocabulary_sweep(encoded, model), _baseline(encoded, model))
+def _compared(fn: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    """``fn(series, baseline)``: the sweep, and a tokenizer of blank-separated words with the largest vocabulary."""
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        series = Tables(spark).replace("series", _QUERIES["vocabulary_sweep"](spark, folder))       # one row per size
+        baseline = compare.baseline_totals(texts(spark, folder), "words")
+        return fn(series, baseline.select(F.lit(SWEEP[-1]).alias("vocab_size"), "total_tokens"))
+    return run
 
 
-@with_model(max(SWEEP) - min(SWEEP) + 2)
-def nearest_to_baseline(encoded, model):
-    series = vocabulary_sweep(encoded, model).withColumn("ordinal", F.col("vocab_size"))
-    return compare.nearest(series, _baseline(encoded, model))
+_QUERIES["baseline_improvement"] = _compared(compare.improvement)
+_QUERIES["nearest_to_baseline"] = _compared(
+    lambda series, baseline: compare.nearest(series.withColumn("ordinal", F.col("vocab_size")), baseline))
 
 
 @with_model()
@@ -515,15 +512,15 @@ def training_examples(encoded, model):
 # --- Streams: the table arrives as a stream, the totals it ends with are returned --------------------------------------
 def _streamed(make: Callable[[DataFrame], DataFrame], source: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        schema = tb.read_table(spark, folder, "documents").schema
-        stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
-        totals, tables, last = make(source(stream)), Tables(spark), {}
+        path = f"{folder}/documents.parquet"
+        totals = make(source(ingest.table_stream(spark, path)))
+        tables, last = Tables(spark), {}
 
         def keep(batch: DataFrame, _: int) -> None:
             last["totals"] = tables.replace("totals", batch)
 
         ingest.start_totals(totals, tables.folder("progress"), keep, mode="complete").awaitTermination()
-        return last["totals"]
+        return last["totals"] if last else spark.createDataFrame([], totals.schema)
 
     return run
 

@@ -226,18 +226,7 @@ FREQ = """freq AS (SELECT kind, replace(text, chr(13), '') AS item, count(*) AS
 RANKS = ("ranks AS (SELECT shard, row_number() OVER (ORDER BY shard) AS rn, count(*) OVER () AS k FROM (SELECT DISTINCT shard FROM files))")
 
 
-# --- Byte pairs: every merge unrolled ------------------------------------------------------------------------------
-def _symbols(lines: str, merges: int) -> str:
-    """CTEs w0..wK (word, n), p0.. (pair, c), m0.. (pair) after ``lines(unicode)``."""
-    first = len(bpe.SPECIAL_TOKENS) + cd.BASE_SIZE
-    out = [lines, "w0 AS MATERIALIZED (SELECT unicode AS word, count(*) AS n FROM lines GROUP BY 1)"]
-    for i in range(merges):
-        out.append(pairs_of(f"w{i}", f"p{i}"))
-        out.append(f"m{i} AS MATERIALIZED (SELECT pair, c FROM p{i} WHERE c >= {bpe.MIN_FREQUENCY} ORDER BY c DESC, pair LIMIT 1)")
-        out.append(f"w{i + 1} AS MATERIALIZED (SELECT replace(word, (SELECT pair FROM m{i}), chr({bpe.SYMBOL_START + first + i})) AS word, n FROM w{i})")
-    return ",\n      ".join(out)
-
-
+# --- Byte pairs: a recursion over the merges, each counting all pairs of all words again ------------------------------
 def pairs_of(words: str, name: str) -> str:
     return (f"{name} AS MATERIALIZED (SELECT pair, sum(n) AS c FROM (SELECT unnest(list_transform(range(1, len(a)), lambda k: a[k] || a[k + 1])) AS pair, n "
             f"FROM (SELECT string_split(word, '') AS a, n FROM {words})) GROUP BY pair)")
@@ -248,20 +237,41 @@ def code_id(char: str) -> str:
             f"WHEN unicode({char}) BETWEEN {cd.PUA_START} AND {cd.PUA_START + cd.BASE_SIZE - 1} THEN unicode({char}) - {cd.PUA_START - len(bpe.SPECIAL_TOKENS)} ELSE {bpe.UNKNOWN_ID} END")
 
 
-def _apply(column: str, merges: int) -> str:
-    first = len(bpe.SPECIAL_TOKENS) + cd.BASE_SIZE
-    for i in range(merges):
-        column = f"replace({column}, (SELECT pair FROM m{i}), chr({bpe.SYMBOL_START + first + i}))"
-    return column
-
-
-def _bpe(merges: int = MERGES) -> str:
-    return _symbols(encoded_lines(FILES), merges)
+def _words() -> str:
+    return encoded_lines(FILES) + """,
+      w0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY unicode) - 1 AS key, unicode AS word, count(*) AS n FROM lines GROUP BY unicode)"""
+
+
+def _bpe() -> str:
+    """CTEs up to ``merged(rank, pair, sym, total_before)`` and ``final(original, word, n)``.
+
+    The state of the recursion is one row per word and one per merge (with a negative key).  A merge whose text is that
+    of an earlier one gets its symbol.
+    """
+    first = bpe.SYMBOL_START + len(bpe.SPECIAL_TOKENS) + cd.BASE_SIZE
+    spelled = lambda side: f"coalesce((SELECT min(text) FROM recs WHERE sym = {side}(pair, 1)), {side}(pair, 1))"
+    return _words().replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+      t(key, word, n, sym, text) USING KEY (key) AS (
+        SELECT key, word, CAST(n AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM w0
+        UNION
+        (WITH words AS (SELECT key, word, n FROM recurring.t WHERE key >= 0),
+           recs AS (SELECT sym, text FROM recurring.t WHERE key < 0),
+           done AS (SELECT count(*) AS i, count(DISTINCT sym) AS k FROM recs),
+           {pairs_of("words", "pairs")},
+           best AS (SELECT pair FROM pairs WHERE c >= {bpe.MIN_FREQUENCY} ORDER BY c DESC, pair LIMIT 1),
+           named AS (SELECT pair, {spelled("left")} || {spelled("right")} AS text FROM best),
+           chosen AS (SELECT pair, text, i, coalesce((SELECT min(sym) FROM recs WHERE recs.text = named.text), chr(CAST({first} + k AS INT))) AS sym
+                      FROM named, done WHERE k < {MERGES})
+         SELECT w.key, replace(w.word, c.pair, c.sym), w.n, NULL, NULL FROM words w, chosen c WHERE contains(w.word, c.pair)
+         UNION ALL SELECT -1 - i, pair, (SELECT CAST(sum(n * length(word)) AS BIGINT) FROM words), sym, text FROM chosen)),
+      merged AS (SELECT -1 - key AS rank, word AS pair, sym, n AS total_before FROM t WHERE key < 0),
+      final AS (SELECT w0.word AS original, t.word, t.n FROM t JOIN w0 USING (key))"""
 
 
 def _sizes() -> str:
-    first = len(bpe.SPECIAL_TOKENS) + cd.BASE_SIZE
-    return " UNION ALL ".join(f"SELECT {s} AS vocab_size, CAST(sum(n * length(word)) AS BIGINT) AS total_tokens FROM w{s - first}" for s in SWEEP)
+    return " UNION ALL ".join(
+        f"SELECT {s} AS vocab_size, coalesce((SELECT total_before FROM merged WHERE sym = chr({bpe.SYMBOL_START + s}) ORDER BY rank LIMIT 1), "
+        f"(SELECT CAST(sum(n * length(word)) AS BIGINT) FROM final)) AS total_tokens" for s in SWEEP)
 
 
 def statements() -> dict[str, str]:
@@ -279,14 +289,13 @@ def statements() -> dict[str, str]:
              f"list_filter(list_transform(regexp_split_to_array(content, {any_break}), lambda x: trim(x, {_STRIP})), lambda x: x <> '') AS l FROM files))")
     label = f"'part_' || lpad(CAST((row_number() OVER (ORDER BY file_id) - 1) // {SHARD_ROWS} AS VARCHAR), 4, '0')"
     spread = f"{lexed(JAVA)}, {_TYPED_BLANKS}"
-    merges = " UNION ALL ".join(
-        f"SELECT {i} AS rank, {code_id('left(pair, 1)')} AS left_id, {code_id('right(pair, 1)')} AS right_id, {size + i} AS new_id FROM m{i}" for i in range(MERGES))
-    whole = f"regexp_replace(trim(unicode, {_STRIP}), '[\\x{{F0000}}-\\x{{10FFFF}}]', chr(65533), 'g')"
-    tokenized = f"tokenized AS (SELECT file_id, list_transform(string_split({_apply(whole, MERGES)}, ''), lambda c: {code_id('c')}) AS ids FROM encoded)"
+    tokenized = (f"whole AS (SELECT file_id, trim(string_agg(coalesce(f.word, l.unicode), chr(10) ORDER BY line_no), {_STRIP}) AS s FROM split_lines l "
+                 f"LEFT JOIN final f ON f.original = l.unicode GROUP BY file_id), tokenized AS (SELECT file_id, list_transform(string_split(s, ''), lambda c: {code_id('c')}) AS ids FROM whole)")
     used = f"least(len(ids), {MAX_LENGTH})"
     pad = lambda value: f"list_transform(range({MAX_LENGTH} - {used}), lambda k: {value})"
     joined = lambda expr: f"array_to_string({expr}, ' ')"
-    baseline = f"baseline AS (SELECT {SWEEP[-1]} AS vocab_size, CAST(sum(n * length(word)) AS BIGINT) AS total_tokens FROM w1)"
+    baseline = rf"baseline AS (SELECT {SWEEP[-1]} AS vocab_size, CAST(sum(len(regexp_extract_all(content, '\S+'))) AS BIGINT) AS total_tokens FROM (SELECT text AS content FROM documents))"
+    pairs = f"{_words()}, {pairs_of('w0', 'p0')}"
     return {
         # Sources, files, names
         "scan_source_files": f"{files} SELECT file_id, path, content FROM files",
@@ -373,19 +382,19 @@ def statements() -> dict[str, str]:
         "cut_at_line_end": f"{enc} SELECT file_id, string_split(unicode, chr({cd.PUA_START}))[1] || chr({cd.PUA_START}) AS unicode FROM encoded",
         # Byte pairs
         "line_multiset": f"{encoded_lines(FILES)} SELECT unicode AS word, count(*) AS n FROM lines GROUP BY 1",
-        "pair_counts": f"{_bpe(1)} SELECT pair, CAST(c AS BIGINT) AS cnt FROM p0",
-        "frequent_pairs": f"{_bpe(1)} SELECT pair, CAST(c AS BIGINT) AS cnt FROM p0 WHERE c >= {bpe.MIN_FREQUENCY}",
-        "best_pairs": f"{_bpe(1)} SELECT pair, CAST(c AS BIGINT) AS cnt FROM p0 ORDER BY c DESC, pair LIMIT {TOP}",
-        "train_merges": f"{_bpe()} {merges}",
-        "encode_bpe": f"{_bpe()}, a AS (SELECT file_id, line_no, {_apply('unicode', MERGES)} AS s FROM lines) SELECT file_id, line_no, array_to_string(list_transform(string_split(s, ''), lambda c: {code_id('c')}), ' ') AS ids FROM a",
-        "corpus_token_count": f"{_bpe()} SELECT CAST(sum(n) AS BIGINT) AS lines, CAST(sum(n * length(word)) AS BIGINT) AS tokens, CAST(sum(n * length(word)) AS DOUBLE) / sum(n) AS tokens_per_line FROM w{MERGES}",
-        "folder_token_count": f"{_bpe()} SELECT (SELECT count(DISTINCT shard) FROM lines) AS folders, (SELECT count(DISTINCT file_id) FROM lines) AS files, CAST(sum(n) AS BIGINT) AS lines, CAST(sum(n * length(word)) AS BIGINT) AS tokens, CAST(sum(n * length(word)) AS DOUBLE) / sum(n) AS tokens_per_line FROM w{MERGES}",
-        "running_token_rate": f"""{_bpe()}, sized AS (SELECT file_id, line_no, length({_apply('unicode', MERGES)}) AS size FROM lines),
+        "pair_counts": f"{pairs} SELECT pair, CAST(c AS BIGINT) AS cnt FROM p0",
+        "frequent_pairs": f"{pairs} SELECT pair, CAST(c AS BIGINT) AS cnt FROM p0 WHERE c >= {bpe.MIN_FREQUENCY}",
+        "best_pairs": f"{pairs} SELECT pair, CAST(c AS BIGINT) AS cnt FROM p0 ORDER BY c DESC, pair LIMIT {TOP}",
+        "train_merges": f"{_bpe()} SELECT rank, {code_id('left(pair, 1)')} AS left_id, {code_id('right(pair, 1)')} AS right_id, {code_id('sym')} AS new_id FROM merged",
+        "encode_bpe": f"{_bpe()} SELECT file_id, line_no, array_to_string(list_transform(string_split(f.word, ''), lambda c: {code_id('c')}), ' ') AS ids FROM lines JOIN final f ON f.original = lines.unicode",
+        "corpus_token_count": f"{_bpe()} SELECT CAST(sum(n) AS BIGINT) AS lines, CAST(sum(n * length(word)) AS BIGINT) AS tokens, CAST(sum(n * length(word)) AS DOUBLE) / sum(n) AS tokens_per_line FROM final",
+        "folder_token_count": f"{_bpe()} SELECT (SELECT count(DISTINCT shard) FROM lines) AS folders, (SELECT count(DISTINCT file_id) FROM lines) AS files, CAST(sum(n) AS BIGINT) AS lines, CAST(sum(n * length(word)) AS BIGINT) AS tokens, CAST(sum(n * length(word)) AS DOUBLE) / sum(n) AS tokens_per_line FROM final",
+        "running_token_rate": f"""{_bpe()}, sized AS (SELECT file_id, line_no, length(f.word) AS size FROM lines JOIN final f ON f.original = lines.unicode),
             running AS (SELECT row_number() OVER o AS lines, sum(size) OVER o AS tokens FROM sized WINDOW o AS (ORDER BY file_id, line_no ROWS UNBOUNDED PRECEDING))
             SELECT lines, CAST(tokens AS BIGINT) AS tokens, CAST(tokens AS DOUBLE) / lines AS tokens_per_line FROM running WHERE lines % {REPORT_EVERY} = 0""",
         "baseline_token_count": rf"{files} SELECT CAST(sum(len(regexp_extract_all(content, '\S+'))) AS BIGINT) AS total_tokens FROM files",
-        "vocabulary_sweep": f"{_bpe(max(SWEEP) - size)} {_sizes()}",
-        "baseline_improvement": f"{_bpe(max(SWEEP) - size)}, {baseline}, series AS ({_sizes()}) SELECT s.vocab_size, b.total_tokens - s.total_tokens AS fewer_tokens, CAST(b.total_tokens - s.total_tokens AS DOUBLE) / b.total_tokens * 100 AS improvement_pct FROM series s JOIN baseline b USING (vocab_size)",
-        "nearest_to_baseline": f"{_bpe(max(SWEEP) - size)}, {baseline}, series AS ({_sizes()}) SELECT s.vocab_size, s.total_tokens, CAST(b.vocab_size - s.vocab_size AS DOUBLE) / b.vocab_size * 100 AS saving_pct FROM series s, baseline b ORDER BY abs(s.total_tokens - b.total_tokens), s.vocab_size LIMIT 1",
+        "vocabulary_sweep": f"{_bpe()} {_sizes()}",
+        "baseline_improvement": f"{_bpe()}, {baseline}, series AS ({_sizes()}) SELECT s.vocab_size, b.total_tokens - s.total_tokens AS fewer_tokens, CAST(b.total_tokens - s.total_tokens AS DOUBLE) / b.total_tokens * 100 AS improvement_pct FROM series s JOIN baseline b USING (vocab_size)",
+        "nearest_to_baseline": f"{_bpe()}, {baseline}, series AS ({_sizes()}) SELECT s.vocab_size, s.total_tokens, CAST(b.vocab_size - s.vocab_size AS DOUBLE) / b.vocab_size * 100 AS saving_pct FROM series s, baseline b ORDER BY abs(s.total_tokens - b.total_tokens), s.vocab_size LIMIT 1",
         "training_examples": f"{_bpe()}, {tokenized} SELECT file_id, {joined(f'list_concat(ids[1:{MAX_LENGTH}], {pad(bpe.PAD_ID)})')} AS input_ids, {joined(f'list_concat(list_transform(ids[1:{MAX_LENGTH}], lambda x: 1), {pad(0)})')} AS attention_mask, {joined(f'list_concat(ids[1:{MAX_LENGTH}], {pad(-100)})')} AS labels FROM tokenized",
     }

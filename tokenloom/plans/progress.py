@@ -16,10 +16,7 @@ def running_rate(encoded: DataFrame, model: bpe.BpeModel, every: int = 100_000)
     report points are expanded, so no single task walks the corpus.
     """
     cut = F.filter(F.split("unicode", "\n"), lambda line: line != "")
-    ids = bpe.encode_ids(encoded.sparkSession, F.array_join(cut, "\n"), model)
-    # The unknown ids stand for the line breaks: cutting there gives back the lines.
-    letters = F.array_join(F.transform(ids, lambda i: F.when(i == bpe.UNKNOWN_ID, "\n").otherwise("x")), "")
-    sizes = F.transform(F.split(letters, "\n"), lambda line: F.length(line))
+    sizes = bpe.line_sizes(encoded.sparkSession, cut, model)
     # Numbers only, read three times below: written once instead of encoding three times.
     sized = Tables(encoded.sparkSession).replace(
         "line_sizes", encoded.where(F.size(cut) > 0).select("file_id", sizes.alias("sizes")))

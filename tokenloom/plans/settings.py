@@ -9,8 +9,8 @@ TRAIN_RATIO = 0.83
 BATCH = 32
 TOP = 50
 EXTRA_IDS = 40
-MERGES = 6
+MERGES = 256
 _FIRST = len(bpe.SPECIAL_TOKENS) + cd.BASE_SIZE
-SWEEP = [_FIRST + 2, _FIRST + 4, _FIRST + 6]
+SWEEP = [_FIRST + 16, _FIRST + 64, _FIRST + 128, _FIRST + 256]
 MAX_LENGTH = 1536
 REPORT_EVERY = 1000

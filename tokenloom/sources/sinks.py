@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions import text as tx
-from tokenloom.operators import corpus, ranking, sharding, stats
+from tokenloom.operators import corpus, filters, ranking, sharding, stats
 
 
 def _spread(files: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def write_report(stats_row: DataFrame, path: str) -> None:
 
 def encoded_names(encoded: DataFrame) -> DataFrame:
     """Add file_path, where the encoded text of a file goes; empty texts are left out."""
-    return encoded.where(F.col("unicode") != "").withColumn(
+    return filters.where_once(encoded, F.col("unicode") != "").withColumn(
         "file_path", tx.encoded_path(F.col("shard"), F.col("path")))
 
 

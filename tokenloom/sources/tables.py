@@ -21,8 +21,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 def from_source_rows(rows: DataFrame) -> DataFrame:
     """(file_id, path, content) of a wide source table with id, repository path and content; other columns are
-    never read."""
-    return rows.select(F.col("id").cast("bigint").alias("file_id"), F.col("max_stars_repo_path").alias("path"), "content")
+    never read.  Ids may be any strings; ``sharding`` numbers rows by a key of any type."""
+    return rows.select(F.col("id").cast("string").alias("file_id"), F.col("max_stars_repo_path").alias("path"), "content")
 
 
 def from_documents(documents: DataFrame) -> DataFrame:

@@ -6,33 +6,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tokenloom.functions import codec as cd
-from tokenloom.functions import text as tx
-from tokenloom.operators import filters, ranking
+from tokenloom.operators import ranking
+from tokenloom.plans import pipeline
 from tokenloom.sources.tables import SOURCE_FILES
 
 
+def table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, one file or a folder of part files, as a stream of its files."""
+    schema = spark.read.parquet(path).schema
+    parent, name = path.rstrip("/").rsplit("/", 1)
+    parts = spark.read.parquet(path).select("_metadata.file_path").limit(1).collect()
+    if parts and parts[0][0].rstrip("/").endswith(f"/{name}"):
+        return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(parent)
+    return spark.readStream.schema(schema).parquet(path)
+
+
 def new_files(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Source files as they arrive in the sub-folders of ``folder``, each file once."""
+    """Source files as they arrive in the sub-folders of ``folder``, each file once.  A shard that is a folder
+    (``shard=name``) and not a column comes from the file's path."""
     reader = spark.readStream.schema(SOURCE_FILES).option("recursiveFileLookup", "true")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    named = F.regexp_extract(F.col("_metadata.file_path"), r"/shard=([^/]*)/[^/]*$", 1)
+    for _ in range(2):                                  # once for the path, once for the folder's name
+        named = F.url_decode(F.replace(named, F.lit("+"), F.lit("%2B")))
+    shard = F.coalesce("shard", F.when(named != "__HIVE_DEFAULT_PARTITION__", F.nullif(named, F.lit(""))))
+    return reader.parquet(folder).withColumn("shard", shard)
 
 
-def encoded_stream(files: DataFrame) -> DataFrame:
-    """Garbage filter, header and comment removal, encoding: row by row, so nothing is kept between batches."""
-    kept = files.transform(filters.keep_usable)
-    body = tx.strip_header(tx.normalize_newlines(F.col("content")))
-    encoded = kept.select("file_id", "shard", "path", cd.encode_file(body).alias("unicode"))
-    return filters.where_once(encoded, F.col("unicode") != "")
+def ingest(spark: SparkSession, folder: str, output: str, checkpoint: str, files_per_trigger: int | None = None) -> StreamingQuery:
+    """Clean and encode what is new in ``folder`` by the batch functions and write it to ``output``, then stop.
 
+    Every file is taken once.  A batch is a folder of its own, so one that is repeated after a failure replaces itself.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        encoded = pipeline.encoded_files(pipeline.cleaned_files(batch))
+        encoded.write.mode("overwrite").partitionBy("shard").parquet(f"{output}/batch={number}")
 
-def ingest(spark: SparkSession, folder: str, output: str, checkpoint: str, files_per_trigger: int | None = None) -> StreamingQuery:
-    """Encode what is new in ``folder`` and append it to ``output``, exactly once per file, then stop."""
-    encoded = encoded_stream(new_files(spark, folder, files_per_trigger))
-    return (encoded.writeStream.format("parquet").partitionBy("shard").option("checkpointLocation", checkpoint)
-            .outputMode("append").trigger(availableNow=True).start(output))
+    return (new_files(spark, folder, files_per_trigger).writeStream.option("checkpointLocation", checkpoint)
+            .foreachBatch(write).trigger(availableNow=True).start())
 
 
 def running_categories(files: DataFrame) -> DataFrame:
