@@ -223,6 +223,7 @@ def train(words: DataFrame, vocab_size: int = TARGET_SIZE, initial_alphabet: Seq
         if len(pending) >= keep_steps:
             base = tables.replace("words", base.select(_merge_all(F.col("word"), pending).alias("word"), "n"))
             pending = []
+    tables.delete()
     return model
 
 
@@ -232,18 +233,12 @@ def _changes(words: DataFrame, pending: Sequence[tuple[int, int, int]], batch: S
     Only neighbours of a new symbol change, so the merged words tell everything: undoing the merge on the facing
     sides of a pair gives the pair it replaces; besides, every new symbol replaces one pair of its own.
     """
-    merged, new = F.col("merged"), "".join(symbol(c) for _, _, c in batch)
-    every = lambda pattern, group=0: F.regexp_extract_all(merged, F.lit(pattern), F.lit(group))
-
-    def around(c: str) -> list[Column]:
-        before = F.transform(every(f"([^{c}]){c}", 1), lambda x: F.concat(x, F.lit(c)))
-        twice = F.transform(every(f"{c}(?={c})"), lambda x: F.concat(x, x))
-        return [before, every(f"{c}[^{new}]"), twice, every(c)]
-
-    found = [column for _, _, number in batch for column in around(symbol(number))]
-    touched = (words.select(_merge_all(F.col("word"), [*pending, *batch]).alias("merged"), "n")
-               .where(F.col("merged").rlike(f"[{new}]")))
-    rows = touched.select("n", F.explode(F.concat(*found)).alias("p"))
+    new = "".join(symbol(c) for _, _, c in batch)
+    has_new = lambda x: x.rlike(f"[{new}]")
+    touched = words.select(_merge_all(F.col("word"), [*pending, *batch]).alias("merged"), "n").where(has_new(F.col("merged")))
+    cut = touched.select(cd.characters(F.col("merged")).alias("chars"), "n")
+    found = F.concat(F.filter(adjacent(F.col("chars")), has_new), F.filter("chars", has_new))     # pairs, then new symbols
+    rows = cut.select("n", F.explode(found).alias("p"))
     first, last = ("".join(symbol(m[side]) for m in batch) for side in (0, 1))
     head, tail, own = F.left("p", F.lit(1)), F.substr("p", F.lit(2)), F.length("p") == 1
     replaced = F.when(own, F.concat(F.translate("p", new, first), F.translate("p", new, last))).otherwise(

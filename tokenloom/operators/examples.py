@@ -46,3 +46,12 @@ def build(files: DataFrame, model: bpe.BpeModel, max_length: int = MAX_LENGTH, c
     """(file_id, input_ids, attention_mask, labels).  Each file is one row throughout: no exchange."""
     return (encoded_files(files, model, column, keep_newlines, max_length)
             .transform(padded, max_length).transform(with_labels))
+
+
+def truncation(files: DataFrame, model: bpe.BpeModel, max_length: int = MAX_LENGTH, column: str = "unicode") -> DataFrame:
+    """(files, truncated_files, tokens, lost_tokens): what cutting to the length costs."""
+    sized = encoded_files(files, model, column).select(F.size("ids").cast("bigint").alias("size"))
+    lost = F.greatest(F.col("size") - max_length, F.lit(0))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return sized.agg(F.count("*").alias("files"), total((lost > 0).cast("int")).alias("truncated_files"),
+                     total("size").alias("tokens"), total(lost).alias("lost_tokens"))

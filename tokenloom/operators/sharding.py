@@ -109,3 +109,15 @@ def training_steps(files: DataFrame, ratio: float = 0.999, batch: int = 8, accum
     """(files, steps): optimiser steps of one pass, whole batches only."""
     counted = count_training_files(files, ratio)
     return counted.withColumn("steps", F.floor(F.col("files") / (batch * accumulation)))
+
+
+def shared_contents(files: DataFrame, ratio: float = 0.9) -> DataFrame:
+    """(training_texts, evaluation_texts, shared_texts, shared_files): distinct texts of either side and of both.  Only
+    digests move, and tasks combine equal ones first."""
+    side = F.when(_in_training(files, ratio), 1).otherwise(0)
+    digests = files.select(F.sha2(F.col("content").cast("binary"), 256).alias("digest"), side.alias("t"))
+    texts = digests.groupBy("digest").agg(F.max("t").alias("t"), F.max(1 - F.col("t")).alias("e"), F.count("*").alias("n"))
+    both = F.col("t") * F.col("e")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return texts.agg(total("t").alias("training_texts"), total("e").alias("evaluation_texts"), total(both).alias("shared_texts"),
+                     total(both * F.col("n")).alias("shared_files"))

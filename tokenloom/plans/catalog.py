@@ -17,10 +17,10 @@ from tokenloom.operators import (bpe, cleaning, compare, corpus, examples, filte
                                  vocabulary)
 from tokenloom.operators import tokens as tk
 from tokenloom.plans import pipeline, progress
-from tokenloom.plans.settings import (BATCH, EXTRA_IDS, MAX_LENGTH, MERGES, REPORT_EVERY, SAMPLE_PERCENT, SHARD_ROWS,
+from tokenloom.plans.settings import (BATCH, EXTRA_IDS, MAX_LENGTH, MERGES, REPORT_EVERY, SAMPLE_MERGES, SAMPLE_PERCENT, SHARD_ROWS,
                                       SWEEP, TOP, TRAIN_RATIO)
 from tokenloom.session import Tables
-from tokenloom.sources import sinks
+from tokenloom.sources import sinks, textfiles
 from tokenloom.sources import tables as tb
 from tokenloom.streaming import ingest
 
@@ -509,6 +509,106 @@ def training_examples(encoded, model):
     return built.select("file_id", *(spaced(F.col(c)).alias(c) for c in ("input_ids", "attention_mask", "labels")))
 
 
+@with_model()
+def truncation_report(encoded, model):
+    return examples.truncation(encoded, model, MAX_LENGTH)
+
+
+@over(texts)
+def split_content_overlap(df):
+    return sharding.shared_contents(df, TRAIN_RATIO)
+
+
+@over(texts)
+def sampled_training(df):
+    """Learn on the sample of shards, apply to both sides of the split: lines and tokens of each."""
+    spark = df.sparkSession
+    encoded = Tables(spark).replace("encoded", pipeline.encoded_files(df), "shard")
+    sample = pipeline.unicode_lines(sharding.sample_shards(encoded, SAMPLE_PERCENT))
+    model = bpe.train(bpe.word_counts(sample), len(bpe.SPECIAL_TOKENS) + cd.BASE_SIZE + SAMPLE_MERGES)
+    sides = [("training", sharding.training_files), ("evaluation", sharding.evaluation_files)]
+    counted = [bpe.token_totals(pipeline.unicode_lines(split(encoded, TRAIN_RATIO)), model).select(
+        F.lit(side).alias("side"), "lines", "tokens") for side, split in sides]
+    return counted[0].unionByName(counted[1])
+
+
+# --- The learned vocabulary in readable form ---------------------------------------------------------------------------
+def _id_map(spark: SparkSession) -> DataFrame:
+    return vocabulary.base_vocabulary(spark).select(F.col("token_id").cast("string").alias("token_id"), F.col("value").alias("text"))
+
+
+@with_model()
+def readable_vocabulary(encoded, model):
+    spark = encoded.sparkSession
+    return vocabulary.readable_lines(model.vocabulary(spark), _id_map(spark))
+
+
+@with_model()
+def id_vocabulary(encoded, model):
+    return vocabulary.id_lines(model.vocabulary(encoded.sparkSession))
+
+
+@with_model()
+def special_entries(encoded, model):
+    return model.vocabulary(encoded.sparkSession).where(filters.is_special(F.col("token")))
+
+
+@with_model()
+def trainer_vocabulary(encoded, model):
+    """The vocabulary put together from special tokens, letters and merges."""
+    spark = encoded.sparkSession
+    merged = model.merge_table(spark).select("rank", "token")
+    return vocabulary.trainer_vocabulary(spark, list(bpe.SPECIAL_TOKENS), model.alphabet, merged)
+
+
+# --- Written and read again ----------------------------------------------------------------------------------------------
+def _written(df: DataFrame, write: Callable[[DataFrame, str], None]) -> str:
+    path = Tables(df.sparkSession).folder("output")
+    write(df, path)
+    return path
+
+
+@over(texts)
+def written_shards(df):
+    path = _written(df, lambda d, p: sinks.write_shards(d.drop("shard"), p, SHARD_ROWS))
+    return df.sparkSession.read.parquet(path).select("file_id", "shard", F.md5("content").alias("content_md5"))
+
+
+@over(texts)
+def written_cleaned(df):
+    path = _written(df, sinks.write_cleaned)
+    return df.sparkSession.read.parquet(path).select("file_id", "shard", "size", F.md5("content").alias("content_md5"))
+
+
+@over(java)
+def written_values(df):
+    path = _written(df, sinks.write_values)
+    read = df.sparkSession.read.option("lineSep", "\n").text(path).where("value <> ''")
+    return read.groupBy("kind", "value").agg(F.count("*").alias("n"))
+
+
+@over(texts)
+def written_encoded(df):
+    path = _written(df, lambda d, p: sinks.write_encoded(pipeline.encoded_files(d), p))
+    return df.sparkSession.read.parquet(path).select("shard", "file_path", F.md5("unicode").alias("unicode_md5"))
+
+
+@over(texts)
+def written_corpus(df):
+    path = _written(df, sinks.write_corpus)
+    return textfiles.read_lines(df.sparkSession, path).groupBy("line").agg(F.count("*").alias("n"))
+
+
+@with_model()
+def stored_model(encoded, model):
+    """The model written as two tables and read again, as merges."""
+    spark = encoded.sparkSession
+    path = Tables(spark).folder("model")
+    sinks.write_model(model, spark, path)
+    again = bpe.BpeModel.from_tables(spark.read.parquet(f"{path}/vocabulary"), spark.read.parquet(f"{path}/merges"))
+    return again.merge_table(spark).select("rank", "left_id", "right_id", "new_id")
+
+
 # --- Streams: the table arrives as a stream, the totals it ends with are returned --------------------------------------
 def _streamed(make: Callable[[DataFrame], DataFrame], source: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:

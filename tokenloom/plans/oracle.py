@@ -9,7 +9,7 @@ from tokenloom.functions import codec as cd
 from tokenloom.functions import lexing as lx
 from tokenloom.functions import text as tx
 from tokenloom.operators import bpe
-from tokenloom.plans.settings import (BATCH, EXTRA_IDS, MAX_LENGTH, MERGES, REPORT_EVERY, SAMPLE_PERCENT, SHARD_ROWS,
+from tokenloom.plans.settings import (BATCH, EXTRA_IDS, MAX_LENGTH, MERGES, REPORT_EVERY, SAMPLE_MERGES, SAMPLE_PERCENT, SHARD_ROWS,
                                       SWEEP, TOP, TRAIN_RATIO)
 from tokenloom.sources import tables as tb
 
@@ -237,12 +237,12 @@ def code_id(char: str) -> str:
             f"WHEN unicode({char}) BETWEEN {cd.PUA_START} AND {cd.PUA_START + cd.BASE_SIZE - 1} THEN unicode({char}) - {cd.PUA_START - len(bpe.SPECIAL_TOKENS)} ELSE {bpe.UNKNOWN_ID} END")
 
 
-def _words() -> str:
-    return encoded_lines(FILES) + """,
-      w0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY unicode) - 1 AS key, unicode AS word, count(*) AS n FROM lines GROUP BY unicode)"""
+def _words(kept: str = "lines") -> str:
+    return encoded_lines(FILES) + f""",
+      w0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY unicode) - 1 AS key, unicode AS word, count(*) AS n FROM {kept} GROUP BY unicode)"""
 
 
-def _bpe() -> str:
+def _bpe(merges: int = MERGES, kept: str = "lines") -> str:
     """CTEs up to ``merged(rank, pair, sym, total_before)`` and ``final(original, word, n)``.
 
     The state of the recursion is one row per word and one per merge (with a negative key).  A merge whose text is that
@@ -250,7 +250,7 @@ def _bpe() -> str:
     """
     first = bpe.SYMBOL_START + len(bpe.SPECIAL_TOKENS) + cd.BASE_SIZE
     spelled = lambda side: f"coalesce((SELECT min(text) FROM recs WHERE sym = {side}(pair, 1)), {side}(pair, 1))"
-    return _words().replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+    return _words(kept).replace("WITH ", "WITH RECURSIVE ", 1) + f""",
       t(key, word, n, sym, text) USING KEY (key) AS (
         SELECT key, word, CAST(n AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM w0
         UNION
@@ -261,10 +261,10 @@ def _bpe() -> str:
            best AS (SELECT pair FROM pairs WHERE c >= {bpe.MIN_FREQUENCY} ORDER BY c DESC, pair LIMIT 1),
            named AS (SELECT pair, {spelled("left")} || {spelled("right")} AS text FROM best),
            chosen AS (SELECT pair, text, i, coalesce((SELECT min(sym) FROM recs WHERE recs.text = named.text), chr(CAST({first} + k AS INT))) AS sym
-                      FROM named, done WHERE k < {MERGES})
+                      FROM named, done WHERE k < {merges})
          SELECT w.key, replace(w.word, c.pair, c.sym), w.n, NULL, NULL FROM words w, chosen c WHERE contains(w.word, c.pair)
          UNION ALL SELECT -1 - i, pair, (SELECT CAST(sum(n * length(word)) AS BIGINT) FROM words), sym, text FROM chosen)),
-      merged AS (SELECT -1 - key AS rank, word AS pair, sym, n AS total_before FROM t WHERE key < 0),
+      merged AS (SELECT -1 - key AS rank, word AS pair, sym, text, n AS total_before FROM t WHERE key < 0),
       final AS (SELECT w0.word AS original, t.word, t.n FROM t JOIN w0 USING (key))"""
 
 
@@ -296,6 +296,13 @@ def statements() -> dict[str, str]:
     joined = lambda expr: f"array_to_string({expr}, ' ')"
     baseline = rf"baseline AS (SELECT {SWEEP[-1]} AS vocab_size, CAST(sum(len(regexp_extract_all(content, '\S+'))) AS BIGINT) AS total_tokens FROM (SELECT text AS content FROM documents))"
     pairs = f"{_words()}, {pairs_of('w0', 'p0')}"
+    sampled = f"(SELECT l.* FROM lines l JOIN (SELECT shard, row_number() OVER (ORDER BY shard) AS rn, count(*) OVER () AS k FROM (SELECT DISTINCT shard FROM encoded)) r USING (shard) WHERE rn <= ceil(k * {SAMPLE_PERCENT} / 100))"
+    shown = ", ".join(text(v) for _, _, v in cd.BASE_VOCABULARY)
+    special = values(list(enumerate(bpe.SPECIAL_TOKENS)), "bpe_id, token")
+    vocabulary = (f"vocabulary AS (SELECT * FROM {special} UNION ALL SELECT {len(bpe.SPECIAL_TOKENS)} + i, chr(CAST({cd.PUA_START} + i AS INT)) FROM range({cd.BASE_SIZE}) AS r(i) "
+                  f"UNION ALL SELECT unicode(sym) - {bpe.SYMBOL_START}, min(text) FROM merged GROUP BY sym)")
+    each = lambda expr: f"list_transform(string_split(token, ''), lambda c: {expr})"
+    number = f"unicode(c) - {cd.PUA_START}"
     return {
         # Sources, files, names
         "scan_source_files": f"{files} SELECT file_id, path, content FROM files",
@@ -310,7 +317,8 @@ def statements() -> dict[str, str]:
         "sample_shards": f"{sharded} SELECT file_id, f.shard FROM files f JOIN ranks r ON f.shard = r.shard WHERE rn <= ceil(k * {SAMPLE_PERCENT} / 100)",
         "training_files": f"{sharded} SELECT file_id, f.shard FROM files f JOIN ranks r ON f.shard = r.shard WHERE rn <= floor(k * {TRAIN_RATIO})",
         "evaluation_files": f"{sharded} SELECT file_id, f.shard FROM files f JOIN ranks r ON f.shard = r.shard WHERE rn > floor(k * {TRAIN_RATIO})",
-        "split_overlap": f"{sharded} SELECT count(*) FILTER (rn <= floor(k * {TRAIN_RATIO})) AS training, count(*) FILTER (rn > floor(k * {TRAIN_RATIO})) AS evaluation, 0 AS shared FROM ranks",
+        "split_overlap": f"""{sharded}, sides AS (SELECT f.shard, max(CASE WHEN rn <= floor(k * {TRAIN_RATIO}) THEN 1 ELSE 0 END) AS t, max(CASE WHEN rn > floor(k * {TRAIN_RATIO}) THEN 1 ELSE 0 END) AS e FROM files f JOIN ranks r ON f.shard = r.shard GROUP BY f.shard)
+            SELECT sum(t)::BIGINT AS training, sum(e)::BIGINT AS evaluation, sum(t * e)::BIGINT AS shared FROM sides""",
         "count_first_folders": f"{sharded} SELECT count(*) AS files FROM files f JOIN ranks r ON f.shard = r.shard WHERE rn <= floor(k * 0.9)",
         "count_training_files": f"{sharded} SELECT count(*) AS files FROM files f JOIN ranks r ON f.shard = r.shard WHERE rn <= floor(k * {TRAIN_RATIO}) AND path LIKE '%.txt'",
         "training_steps": f"{sharded} SELECT count(*) AS files, count(*) // {BATCH} AS steps FROM files f JOIN ranks r ON f.shard = r.shard WHERE rn <= floor(k * {TRAIN_RATIO})",
@@ -396,5 +404,25 @@ def statements() -> dict[str, str]:
         "vocabulary_sweep": f"{_bpe()} {_sizes()}",
         "baseline_improvement": f"{_bpe()}, {baseline}, series AS ({_sizes()}) SELECT s.vocab_size, b.total_tokens - s.total_tokens AS fewer_tokens, CAST(b.total_tokens - s.total_tokens AS DOUBLE) / b.total_tokens * 100 AS improvement_pct FROM series s JOIN baseline b USING (vocab_size)",
         "nearest_to_baseline": f"{_bpe()}, {baseline}, series AS ({_sizes()}) SELECT s.vocab_size, s.total_tokens, CAST(b.vocab_size - s.vocab_size AS DOUBLE) / b.vocab_size * 100 AS saving_pct FROM series s, baseline b ORDER BY abs(s.total_tokens - b.total_tokens), s.vocab_size LIMIT 1",
+        "truncation_report": f"{_bpe()}, {tokenized} SELECT count(*) AS files, count(*) FILTER (len(ids) > {MAX_LENGTH}) AS truncated_files, CAST(sum(len(ids)) AS BIGINT) AS tokens, CAST(sum(greatest(len(ids) - {MAX_LENGTH}, 0)) AS BIGINT) AS lost_tokens FROM tokenized",
+        "split_content_overlap": f"""{sharded}, sides AS (SELECT content, max(rn <= floor(k * {TRAIN_RATIO})) AS t, max(rn > floor(k * {TRAIN_RATIO})) AS e, count(*) AS n FROM files f JOIN ranks r ON f.shard = r.shard GROUP BY content)
+            SELECT count(*) FILTER (t) AS training_texts, count(*) FILTER (e) AS evaluation_texts, count(*) FILTER (t AND e) AS shared_texts, CAST(coalesce(sum(n) FILTER (t AND e), 0) AS BIGINT) AS shared_files FROM sides""",
+        "sampled_training": f"""{_bpe(SAMPLE_MERGES, sampled)}, steps AS (SELECT list(pair || sym ORDER BY rank) AS s FROM merged),
+            ranked AS (SELECT shard, row_number() OVER (ORDER BY shard) AS rn, count(*) OVER () AS k FROM (SELECT DISTINCT shard FROM encoded)),
+            counted AS (SELECT unicode, rn <= floor(k * {TRAIN_RATIO}) AS t, count(*) AS n FROM lines JOIN ranked USING (shard) GROUP BY ALL),
+            sized AS (SELECT t, n, length(list_reduce(list_prepend(unicode, s), lambda w, m: replace(w, left(m, 2), right(m, 1)))) AS size FROM counted, steps)
+            SELECT CASE WHEN t THEN 'training' ELSE 'evaluation' END AS side, CAST(sum(n) AS BIGINT) AS lines, CAST(sum(n * size) AS BIGINT) AS tokens FROM sized GROUP BY t""",
+        "readable_vocabulary": f"""{_bpe()}, {vocabulary}, split AS (SELECT bpe_id, token, list_filter({each(f"([{shown}])[{number} + 1]")}, lambda p: NOT contains(p, 'IDENTIFIER')) AS p FROM vocabulary)
+            SELECT bpe_id, CASE WHEN bpe_id < {len(bpe.SPECIAL_TOKENS)} THEN token WHEN len(p) = 1 THEN p[1] ELSE array_to_string(p, ' + ') || ' -> "' || array_to_string(p, '') || '"' END || chr(9) || bpe_id AS line FROM split""",
+        "id_vocabulary": f"{_bpe()}, {vocabulary} SELECT bpe_id, CASE WHEN bpe_id < {len(bpe.SPECIAL_TOKENS)} THEN token ELSE array_to_string({each(number)}, ' ') END || chr(9) || bpe_id AS line FROM vocabulary",
+        "special_entries": f"SELECT bpe_id, token FROM {special} WHERE EXISTS (SELECT 1 FROM documents)",
+        "trainer_vocabulary": f"{_bpe()}, {vocabulary} SELECT bpe_id, token FROM vocabulary",
+        "stored_model": f"{_bpe()} SELECT rank, {code_id('left(pair, 1)')} AS left_id, {code_id('right(pair, 1)')} AS right_id, {code_id('sym')} AS new_id FROM merged",
+        # Written and read again
+        "written_shards": f"{files} SELECT file_id, {label} AS shard, md5(content) AS content_md5 FROM files",
+        "written_cleaned": f"{files} SELECT file_id, 'processed_' || shard AS shard, CAST(strlen(content) AS BIGINT) AS size, md5(content) AS content_md5 FROM files",
+        "written_values": f"{java}, {FREQ} SELECT kind, item AS value, cnt AS n FROM freq",
+        "written_encoded": f"{enc} SELECT shard, shard || '/' || regexp_extract(path, '\\A((?:[\\s\\S]*/)?)[^/]*\\z', 1) || replace(regexp_extract(path, '([^/]*)\\z', 1), '.java', '') || '_unicode.txt' AS file_path, md5(unicode) AS unicode_md5 FROM encoded",
+        "written_corpus": f"{files}, {lines} SELECT line, count(*) AS n FROM lines GROUP BY line",
         "training_examples": f"{_bpe()}, {tokenized} SELECT file_id, {joined(f'list_concat(ids[1:{MAX_LENGTH}], {pad(bpe.PAD_ID)})')} AS input_ids, {joined(f'list_concat(list_transform(ids[1:{MAX_LENGTH}], lambda x: 1), {pad(0)})')} AS attention_mask, {joined(f'list_concat(ids[1:{MAX_LENGTH}], {pad(-100)})')} AS labels FROM tokenized",
     }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import codec as cd
 from tokenloom.operators import bpe, cleaning, examples, filters, sharding
+from tokenloom.session import Tables
 
 
 def cleaned_files(files: DataFrame) -> DataFrame:
@@ -41,8 +42,11 @@ class Prepared:
 
 def prepare(files: DataFrame, vocab_size: int = bpe.TARGET_SIZE, sample_percent: int = 5, ratio: float = 0.999,
             max_length: int = examples.MAX_LENGTH) -> Prepared:
-    """Source files to examples: encode, learn the vocabulary on a shard sample, split by shard, build examples."""
-    encoded = encoded_files(files)
+    """Source files to examples: encode, learn the vocabulary on a shard sample, split by shard, build examples.
+
+    Texts are encoded once, into a table with a folder per shard: names, sample and splits then prune folders."""
+    tables = Tables(files.sparkSession)
+    encoded = tables.replace("encoded", encoded_files(files).hint("rebalance", "shard"), "shard")
     sample = unicode_lines(sharding.sample_shards(encoded, sample_percent))
     model = bpe.train(bpe.word_counts(sample), vocab_size)
     build = lambda part: examples.build(part, model, max_length)

@@ -45,8 +45,14 @@ class Tables:
     def folder(self, name: str) -> str:
         return f"{self._folder}/{name}"
 
-    def replace(self, name: str, df: DataFrame) -> DataFrame:
+    def replace(self, name: str, df: DataFrame, by: str | None = None) -> DataFrame:
+        """Write the table, with a folder for each value of ``by`` if given, and read it again."""
         turn = self._turn[name] = 1 - self._turn.get(name, 1)
         path = f"{self._folder}/{name}-{turn}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").partitionBy(*([by] if by else [])).parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
+
+    def delete(self) -> None:
+        """Remove all of them; for jobs whose result does not read them any more."""
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(self._folder)
+        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
