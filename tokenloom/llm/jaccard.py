@@ -245,8 +245,9 @@ def linked_nodes(tables: Tables, sets: DataFrame, percent: int) -> DataFrame:
     postings = postings.dropDuplicates(["shingle", "node"])
     shared = postings.groupBy("shingle").agg(F.count("*").alias("_c")).where("_c > 1").select("shingle")
     postings = tables.replace("postings", postings.join(shared, "shingle"))
-    members = tables.replace("members", sets.where("members is not null").join(
-        postings.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("members").alias("set")))
+    # Tasks combine copies before they meet: a large group of equal sets is one row per task.
+    members = sets.where("members is not null").groupBy("node").agg(F.first("members").alias("set"))
+    members = tables.replace("members", members.join(postings.select("node").distinct(), "node", "left_semi"))
 
     reach = F.expr(f"n - (2 * {percent} * n + {99 + percent}) div {100 + percent} + 1")
     index = postings.where(F.col("pos") < reach).withColumn("size_class", _size_class(F.col("n"))).select(
