@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-DOCUMENTS, RUN = 96, 400       # the bound of the training sample, for each language
+DOCUMENTS, RUN = 64, 400       # the bound of the training sample, for each language
 LANGUAGES = 200                # more labels than this are an error
 LETTERS = 250                  # the most frequent letters of the sample; others count as not learned
 BLOCK = 256
@@ -170,23 +170,23 @@ def learn(sample: list[tuple[str, list[str]]]) -> Model:
     for number, letter in enumerate(letters):
         symbol[ord(letter)] = number + 2
     reader = Model([], symbol, np.zeros((0, 0)), np.zeros(0), np.zeros(0))
-    tables, roots, bits, size = [], [], [], 0
+    automata, bits = [], []
     for _, runs in sample:
         text = reader.symbols([" ".join(runs)])[0]
-        states = suffix_automaton([int(x) for x in text if x != 1])
-        table = np.zeros((len(states), len(letters) + 2), np.int64)
-        table[:, :] = 2 * size + 1                                   # an unknown symbol is a phrase of its own
+        automata.append(suffix_automaton([int(x) for x in text if x != 1]))
+        bits.append(np.log2(max(len(text), 2)))
+    sizes = [len(states) for states in automata]
+    roots = np.cumsum([0, *sizes])[:-1]
+    table = np.empty((max(1, sum(sizes)), len(letters) + 2), np.int32)
+    for root, states in zip(roots.tolist(), automata):
+        own = table[root:root + len(states)]
+        own[:] = 2 * root + 1                                            # an unknown symbol is a phrase of its own
         for symbol_, state in states[0].items():
-            table[:, symbol_] = 2 * (state + size) + 1               # a phrase ends, the next begins with this symbol
+            own[:, symbol_] = 2 * (state + root) + 1                     # a phrase ends, the next begins with this symbol
         for number, steps in enumerate(states[1:], 1):
             for symbol_, state in steps.items():
-                table[number, symbol_] = 2 * (state + size)
-        tables.append(table.astype(np.int32))
-        roots.append(size)
-        bits.append(np.log2(max(len(text), 2)))
-        size += len(states)
-    table = np.concatenate(tables) if tables else np.zeros((1, 2), np.int32)
-    return Model([n for n, _ in sample], symbol, table, np.array(roots, np.int64), np.array(bits))
+                own[number, symbol_] = 2 * (state + root)
+    return Model([n for n, _ in sample], symbol, table, roots.astype(np.int64), np.array(bits))
 
 
 def learned(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Model:
