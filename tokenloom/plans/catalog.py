@@ -193,6 +193,8 @@ def corpus_text(df):
 
 @over(texts)
 def non_blank_files(df):
+    """Every eleventh text is blanked, so that there is something to drop."""
+    df = df.withColumn("content", F.when(F.col("file_id") % 11 == 0, " \n\t").otherwise(F.col("content")))
     return filters.drop_empty(df).select("file_id", "content")
 
 

@@ -43,6 +43,7 @@ def path_of(doc: str = "doc_id", src: str = "source", body: str = "text") -> str
 
 
 FILES = f"files AS (SELECT doc_id AS file_id, source AS shard, {path_of()} AS path, text AS content FROM documents)"
+BLANKED = FILES.replace("text AS content", "CASE WHEN doc_id % 11 = 0 THEN ' ' || chr(10) || chr(9) ELSE text END AS content")
 PAGES = ("files AS (SELECT page_id AS file_id, 'site' || (page_id % 10) AS shard, url AS path, html AS content FROM pages)")
 
 
@@ -52,6 +53,7 @@ def _java() -> str:
     return f"""made AS (SELECT *, CASE doc_id % 10 {cases} ELSE 'public class Doc' END AS declaration,
         replace(replace(text, chr(13), ' '), chr(10), ' ') AS flat,
         replace(replace(replace(replace(text, chr(13), ' '), chr(10), ' '), chr(92), chr(92) || chr(92)), '"', chr(92) || '"') AS quoted,
+        format('{{:o}}', doc_id) AS octal_id, format('{{:b}}', doc_id) AS binary_id,
         CASE WHEN doc_id % 10 = 8 THEN '' ELSE '}}' || chr(10) END AS tail FROM documents),
       java_text AS (SELECT doc_id, source, {parts} AS text FROM made),
       files AS (SELECT doc_id AS file_id, source AS shard, {path_of()} AS path, text AS content FROM java_text)"""
@@ -328,7 +330,7 @@ def statements() -> dict[str, str]:
         "strip_header": f"WITH {headless(JAVA)} SELECT file_id, content FROM files",
         "corpus_lines": f"{files}, {lines} SELECT file_id, shard, line_no, line FROM lines",
         "corpus_text": f"{files}, {lines} SELECT file_id, string_agg(line, chr(10) ORDER BY line_no) || chr(10) AS content FROM lines GROUP BY file_id",
-        "non_blank_files": f"WITH {compacted(FILES)} SELECT file_id, content FROM files",
+        "non_blank_files": f"WITH {compacted(BLANKED)} SELECT file_id, content FROM files",
         "line_counts": f"{files}, {lines} SELECT line, count(*) AS n FROM lines GROUP BY line",
         "fill_in_the_middle": f"""{files}, cut AS (SELECT file_id, content, string_split(regexp_replace(content, '\\n+\\z', ''), chr(10)) AS l FROM files),
             drawn AS (SELECT *, len(l) AS n, {draw('start', 'len(l) // 2')} + len(l) // 4 AS s, {draw('length', 'len(l) // 4')} AS d FROM cut),

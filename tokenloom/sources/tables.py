@@ -49,7 +49,7 @@ def from_pages(pages: DataFrame) -> DataFrame:
 # A Java file made from a document, as pieces: literal text or (column name,).
 _DECLARATIONS = {
     4: "public interface Doc", 5: "enum Doc", 6: "public record Doc", 7: "public @interface Doc",
-    9: "abstract class Doc",
+    9: "non-sealed abstract class Doc",
 }
 _JAVA_PIECES = [
     "// copied from ", ("source",), "\r\n(header ", ("lang",), ")\r\n\r\npackage repo.", ("source",),
@@ -57,8 +57,10 @@ _JAVA_PIECES = [
     "\", tags = {@Tag(\"a)\"), @Tag(value = (1 + 2) * 3)})\n@repo.model.Marked ", ("declaration",), ("doc_id",),
     "(int size) extends Base<List<String>> {\n  // ", ("flat",),
     "\n  @Override @Size(min = 2, max = 20) public String text() { return \"", ("quoted",),
-    "\"; } // it's \"done\"\n\tprivate long n = ", ("doc_id",), "L, h = 0x", ("doc_id",), "F; double d = ", ("doc_id",),
-    ".5e3f; char c = '\\''; Class<?> k = Doc.class;\n\n  void run(final @NonNull Object o) { for (int i = 0; i < ",
+    "\"; } // it's \"done\"\n\tprivate long n = ", ("doc_id",), "L, h = 0x", ("doc_id",), "F, o = 0", ("octal_id",),
+    ", b = 0b1", ("binary_id",), "L; double d = ", ("doc_id",), ".5e3f, x = 0x1.", ("doc_id",),
+    "p-3; String block = \"\"\"\n    A \"block\" of ", ("source",), "\n    // no comment\n    \"\"\"; char c = '\\''; ",
+    "Class<?> k = Doc.class;\n\n  void run(final @NonNull Object o) { for (int i = 0; i < ",
     ("n_chars",), "; i++) { n >>>= i; call(e -> { run(e); }, new int[] {1, 2}); } }\n", ("tail",),
 ]
 
@@ -84,6 +86,7 @@ def java_files(documents: DataFrame) -> DataFrame:
     made = documents.withColumns({
         "declaration": declaration, "flat": flat,
         "quoted": F.replace(F.replace(flat, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')),
+        "octal_id": F.conv(F.col("doc_id").cast("string"), 10, 8), "binary_id": F.conv(F.col("doc_id").cast("string"), 10, 2),
         "tail": F.when(kind == 8, "").otherwise("}\n"),
     })
     pieces = [F.lit(p) if isinstance(p, str) else F.col(p[0]).cast("string") for p in _JAVA_PIECES]
