@@ -84,6 +84,16 @@ class C { @Override public void f(@N Object o) { for (;;) { g(); /* c */ } } Str
         "public void f ( Object o ) {", "for ( ; ; ) {", "g ( ) ;", "}", "}", 'String s = "//no" ;', "}"]))]
 
 
+def test_cleaning_long_texts_and_rows_in_place(spark):
+    unit = "@A(x = {@B(1)}) void f(@c.D int a) { for (;;) { g(a.b(c)); } }\n"
+    files = spark.createDataFrame([(1, "s", "p", "class C {" + unit * 700 + "}"), (2, "s", "p", "@A"), (3, "s", "p", None)], SOURCE)
+    cleaned = cleaning.clean(files)
+    rows = cleaned.collect()
+    one = "void f ( int a ) {\nfor ( ; ; ) {\ng ( a . b ( c ) ) ;\n}\n}\n"
+    assert [(r.file_id, r.content) for r in rows] == [(1, "class C {\n" + one * 700 + "}")]
+    assert "Exchange" not in cleaned._jdf.queryExecution().toString()
+
+
 def test_garbage(spark):
     rows = [(1, "d/A.java", "class A {}"), (2, "d/" + "0" * 32 + ".java", "class A {}"), (3, "d/R.java", "package a; record R() {}"),
             (4, "d/E.java", ""), (5, "d/U.java", "class U {"), (6, "d/N.java", "import x;\nFoo.class")]

@@ -200,21 +200,22 @@ def shape_char(name: str) -> str:
     return chr(SHAPE_BASE + TYPE_NO[name])
 
 
-def shape(content: Column) -> Column:
-    """String with one character per token that is neither whitespace nor comment nor error."""
+def shape_of(token: Column) -> Column:
+    """The character of a token; empty for whitespace, comments and errors."""
     chars = lambda table: {k: chr(SHAPE_BASE + v) for k, v in table.items()}
     numbered = F.array(*(F.lit(chr(SHAPE_BASE + i)) for i in range(129)))
+    word = (F.when(token.isin(*WORD_TYPES), _lookup(chars(WORD_TYPES), token))
+            .otherwise(F.lit(shape_char("IDENTIFIER"))))
+    quoted = quoted_type(token)
+    return by_class(
+        token, space=F.lit(""), word=word, number=F.element_at(numbered, number_type(token) + 1),
+        quoted=F.when(quoted > 0, F.element_at(numbered, quoted + 1)).otherwise(F.lit("")),
+        comment=F.lit(""), symbol=F.coalesce(_lookup(chars(SYMBOL_TYPES), token), F.lit("")))
 
-    def one(token: Column) -> Column:
-        word = (F.when(token.isin(*WORD_TYPES), _lookup(chars(WORD_TYPES), token))
-                .otherwise(F.lit(shape_char("IDENTIFIER"))))
-        quoted = quoted_type(token)
-        return by_class(
-            token, space=F.lit(""), word=word, number=F.element_at(numbered, number_type(token) + 1),
-            quoted=F.when(quoted > 0, F.element_at(numbered, quoted + 1)).otherwise(F.lit("")),
-            comment=F.lit(""), symbol=F.coalesce(_lookup(chars(SYMBOL_TYPES), token), F.lit("")))
 
-    return F.array_join(F.transform(lex(content), one), "")
+def shape(content: Column) -> Column:
+    """String with one character per token that is neither whitespace nor comment nor error."""
+    return F.array_join(F.transform(lex(content), shape_of), "")
 
 
 NAME_SHAPES = "".join([shape_char("IDENTIFIER"), *(shape_char(k.upper().replace("-", "_")) for k in SOFT_KEYWORDS)])

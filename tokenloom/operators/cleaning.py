@@ -1,17 +1,23 @@
 """File cleaning: newlines, header lines, comments, annotations, layout.
 
-Comments and headers go inside the row.  Annotations and layout depend on bracket nesting of any depth, which no
-regular expression follows, so they run as windows over one file's tokens after a single exchange by file.
+All of it happens inside the row.  Annotations and layout depend on bracket nesting of any depth, which no regular
+expression follows, so the tokens of a text are folded with a small state; nothing is exchanged.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.functions import codec as cd
 from tokenloom.functions import lexing as lx
 from tokenloom.functions import text as tx
-from tokenloom.operators import tokens as tk
+from tokenloom.operators import filters
+
+CHUNK = 512                  # pieces folded at a time: what the fold appends to stays short
+_AT, _DOT, _OPEN, _CLOSE = (lx.shape_char(n) for n in ("AT", "DOT", "LPAREN", "RPAREN"))
+_NAMES = "".join([lx.shape_char("IDENTIFIER"), *(lx.shape_char(k.upper().replace("-", "_"))
+                                                 for k in lx.SOFT_KEYWORDS if k != "non-sealed")])
 
 
 def normalize(files: DataFrame) -> DataFrame:
@@ -28,72 +34,72 @@ def strip_comments(files: DataFrame) -> DataFrame:
     return files.withColumn("content", F.array_join(parts, ""))
 
 
-def significant_tokens(files: DataFrame) -> DataFrame:
-    """(file_id, pos, type_no, text) in windows' distribution: no blanks, comments or errors."""
-    typed = tk.with_type(tk.pieces(files, ordered=True).where(~lx.is_space(F.col("text")) & ~lx.is_comment(F.col("text"))))
-    return typed.where(F.col("type_no") > 0)
-
+def _fate(shape: Column, annotations: bool) -> Column:
+    """One character per token: ``r`` removed, ``i`` inside round brackets, ``o`` outside.
 
-def drop_annotations(tokens: DataFrame) -> DataFrame:
-    """Remove ``@a.b.C`` and ``@a.b.C(...)`` with any nesting; ``@interface`` declarations stay.
-
-    Adds ``depth``, the round-bracket depth after each token, for the layout step.
-    """
-    no = lx.TYPE_NO
-    names = [no["IDENTIFIER"], *(lx.WORD_TYPES[k] for k in lx.SOFT_KEYWORDS if k != "non-sealed")]
-    order, so_far = tk.file_order(), tk.so_far()
-    kind, previous, following = F.col("type_no"), F.col("previous_type"), F.col("next_type")
-    opens, closes = kind == no["LPAREN"], kind == no["RPAREN"]
-
-    # A dotted name: parts after "@" or ".", dots between two parts.  The token before the run tells whose it is.
-    part = kind.isin(names) & previous.isin(no["AT"], no["DOT"])
-    dot = (kind == no["DOT"]) & previous.isin(names) & following.isin(names)
-    starts = (kind == no["AT"]) & following.isin(names)
-    marked = (tokens
-              .withColumns({"previous_type": F.lag("type_no").over(order), "next_type": F.lead("type_no").over(order)})
-              .withColumn("in_run", F.coalesce(part | dot, F.lit(False)))
-              .withColumn("starts", F.coalesce(starts, F.lit(False)))
-              .withColumns({"after_at": F.last(F.when(~F.col("in_run"), F.col("starts")), ignorenulls=True).over(so_far),
-                            "depth": F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(so_far)})
-              .withColumn("in_name", F.col("in_run") & F.col("after_at"))
-              .withColumn("after_name", F.coalesce(F.lag("in_name").over(order), F.lit(False))))
-
-    # The bracket that closes an argument list is the next round bracket on the same level.
-    is_round = opens | closes
-    level = F.when(opens, F.col("depth")).when(closes, F.col("depth") + 1)
-    same_level = Window.partitionBy("file_id", "level").orderBy("pos")
-    closed = (marked.withColumn("level", level)
-              .withColumn("partner", F.when(is_round, F.lead("pos").over(same_level))))
-    covered_to = F.when(opens & F.col("after_name"), F.col("partner"))
-    covered = F.coalesce(F.max(covered_to).over(so_far) >= F.col("pos"), F.lit(False))
-    return (closed.withColumn("removed", F.col("starts") | F.col("in_name") | covered).where(~F.col("removed"))
-            .select("file_id", "pos", "type_no", "text", "depth"))
-
-
-def laid_out(tokens: DataFrame) -> DataFrame:
-    """(file_id, content): one space between tokens, a line end after ``;``, ``{`` and ``}`` outside brackets.
-
-    Needs ``depth`` after each token.  Rows of a file are already together, so this adds no exchange.
+    The shape is cut into names of annotations (with the bracket that opens their arguments), brackets, and all else; the
+    fold over these keeps how many brackets of an argument list are open, and the depth.  An argument list that never
+    closes ends with the file.
     """
-    ends_line = F.col("text").isin(";", "{", "}") & (F.col("depth") <= 0)
-    piece = F.concat("text", F.when(ends_line, "\n").otherwise(" "))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", piece.alias("piece"))))
-    joined = F.array_join(F.transform(ordered, lambda x: x["piece"]), "")
-    return tokens.groupBy("file_id").agg(F.regexp_replace(joined, r"[ \n]\z", "").alias("content"))
+    note = f"{_AT}[{_NAMES}](?:{_DOT}[{_NAMES}])*{_OPEN}?"
+    pieces = F.regexp_extract_all(shape, F.lit(f"{note}|[{_OPEN}{_CLOSE}{_AT}]|[^{_OPEN}{_CLOSE}{_AT}]+" if annotations else
+                                               f"[{_OPEN}{_CLOSE}]|[^{_OPEN}{_CLOSE}]+"), F.lit(0))
+
+    def state_of(own: Column, depth: Column, name: str, value: Column) -> Column:
+        return F.struct(own.alias("own"), depth.alias("depth"), value.alias(name))
+
+    def step(state: Column, piece: Column) -> Column:
+        size = F.length(piece)
+        change = F.when(piece.endswith(_OPEN), 1).when(piece == _CLOSE, -1).otherwise(0)
+        depth = state["depth"] + change
+        bare = F.when(depth > 0, "i").otherwise("o")
+        if not annotations:
+            return state_of(state["own"], depth, "fate", F.concat(state["fate"], F.repeat(bare, size)))
+        named = piece.startswith(_AT) & (size > 1)
+        own = F.when(state["own"] > 0, state["own"] + change).when(named, change).otherwise(0)
+        fate = F.when((state["own"] > 0) | named, "r").otherwise(bare)
+        return state_of(own, depth, "fate", F.concat(state["fate"], F.repeat(fate, size)))
+
+    def chunk(pieces: Column, state: Column, number: Column) -> Column:
+        own = F.slice(pieces, number * CHUNK + 1, F.lit(CHUNK))
+        done = F.aggregate(own, state_of(state["own"], state["depth"], "fate", F.lit("")), step,
+                           lambda x: state_of(x["own"], x["depth"], "parts", F.concat(state["parts"], F.array(x["fate"]))))
+        return done
+
+    begin = state_of(F.lit(0), F.lit(0), "parts", F.array().cast("array<string>"))
+
+    def folded(pieces: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor(F.size(pieces) / CHUNK).cast("int"))
+        return F.aggregate(numbers, begin, lambda state, number: chunk(pieces, state, number), lambda state: F.array_join(state["parts"], ""))
+
+    # A lambda's variable is evaluated once; the expression itself would be in every step.
+    return F.element_at(F.transform(F.array(pieces), folded), 1)
+
+
+def _laid_out(files: DataFrame, annotations: bool) -> DataFrame:
+    """(columns of files, content): one space between tokens, a line end after ``;``, ``{`` and ``}`` outside brackets;
+    files without a token that stays vanish."""
+    others = [c for c in files.columns if c != "content"]
+    tokens = F.filter(F.transform(lx.lex(F.col("content")), lambda t: F.struct(t.alias("text"), lx.shape_of(t).alias("c"))), lambda x: x["c"] != "")
+    lexed = files.select(*others, tokens.alias("_tokens"))
+    judged = lexed.select(*others, F.col("_tokens.text").alias("_texts"), _fate(F.array_join("_tokens.c", ""), annotations).alias("_fate"))
+    kept = filters.where_once(judged, F.col("_fate").rlike("[io]"))
+    ends = lambda text, fate: (fate == "o") & text.isin(";", "{", "}")
+    pieces = F.zip_with("_texts", cd.characters(F.col("_fate")), lambda text, fate: F.when(fate == "r", "").when(
+        ends(text, fate), F.concat(text, F.lit("\n"))).otherwise(F.concat(text, F.lit(" "))))
+    return kept.select(*others, F.regexp_replace(F.array_join(pieces, ""), r"[ \n]\z", "").alias("content"))
 
 
 def format_files(files: DataFrame) -> DataFrame:
-    """(file_id, content): the layout of each file with at least one token; comments are not kept."""
-    opens, closes = F.col("text") == "(", F.col("text") == ")"
-    depth = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(tk.so_far())
-    return laid_out(significant_tokens(files).withColumn("depth", depth))
+    """The layout of each file with at least one token; comments are not kept."""
+    return _laid_out(files, False)
 
 
 def remove_annotations(files: DataFrame) -> DataFrame:
-    """(file_id, content): the layout without annotations."""
-    return laid_out(drop_annotations(significant_tokens(files)))
+    """The layout without ``@a.b.C`` and ``@a.b.C(...)`` of any nesting; ``@interface`` declarations stay."""
+    return _laid_out(files, True)
 
 
 def clean(files: DataFrame) -> DataFrame:
-    """(file_id, content): newlines, header, comments, annotations, layout; files without tokens vanish."""
+    """Newlines, header, comments, annotations, layout; files without tokens vanish."""
     return files.transform(normalize).transform(strip_headers).transform(remove_annotations)

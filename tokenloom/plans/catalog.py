@@ -257,17 +257,17 @@ def strip_comments(df):
 
 @over(java)
 def format_files(df):
-    return cleaning.format_files(df)
+    return cleaning.format_files(df).select("file_id", "content")
 
 
 @over(java)
 def remove_annotations(df):
-    return cleaning.remove_annotations(df)
+    return cleaning.remove_annotations(df).select("file_id", "content")
 
 
 @over(java)
 def clean_files(df):
-    return cleaning.clean(df)
+    return cleaning.clean(df).select("file_id", "content")
 
 
 @over(java)

@@ -13,12 +13,8 @@ from tokenloom.session import Tables
 
 
 def cleaned_files(files: DataFrame) -> DataFrame:
-    """(file_id, shard, path, content): garbage and unbalanced files dropped, the rest cleaned and laid out.
-
-    The text is dropped and rebuilt by file; only shard and path ride along through a join on the unique file_id.
-    """
-    kept = files.transform(filters.keep_usable)
-    return kept.select("file_id", "shard", "path").join(cleaning.clean(kept), "file_id")
+    """(file_id, shard, path, content): garbage and unbalanced files dropped, the rest cleaned and laid out, row by row."""
+    return files.transform(filters.keep_usable).transform(cleaning.clean).select("file_id", "shard", "path", "content")
 
 
 def encoded_files(files: DataFrame) -> DataFrame:
