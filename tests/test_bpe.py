@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,13 +82,38 @@ def test_tables_that_are_too_long_are_refused(trained, spark, monkeypatch):
     assert found.first()["value"] == str(cd.MAX_VOCABULARY + 4)                    # joined whole, not cut
 
 
-def test_changes_equal_a_recount(trained, spark):
-    alphabet, _, df, model = trained
-    base = bpe.word_counts(df).select(bpe.to_symbols(F.col("word"), model).alias("word"), "n").cache()
-    count = lambda d: {r.pair: r.cnt for r in d.groupBy("pair").agg(F.sum("cnt").alias("cnt")).where("cnt <> 0").collect()}
-    for at in (0, 3, 7):
-        pending, batch = model.merges[:at], model.merges[at:at + 1]
-        assert count(bpe._changes(base, pending, batch)) == count(bpe._recount(base, pending, batch))
+def test_changes_equal_a_recount():
+    rnd = random.Random(8)
+    for _ in range(60):
+        words = [[rnd.randrange(4) for _ in range(rnd.randrange(1, 20))] for _ in range(6)]
+        counts = [rnd.randrange(1, 5) for _ in words]
+        batch = [(rnd.randrange(4), rnd.randrange(4), new) for new in (7, rnd.choice([2, 8]))]
+
+        def pairs(found):
+            out = Counter()
+            for word, n in zip(found, counts):
+                for pair in zip(word, word[1:]):
+                    out[pair] += n
+            return out
+
+        merged = []
+        for word in words:
+            for left, right, new in batch:
+                i, out = 0, []
+                while i < len(word):
+                    pair = word[i:i + 2] == [left, right]
+                    out.append(new if pair else word[i])
+                    i += 1 + pair
+                word = out
+            merged.append(word)
+        expected = pairs(merged)
+        expected.subtract(pairs(words))
+        flat = np.array([x for word in words for x in [*word, bpe.GAP]], np.int32)
+        found = Counter()
+        for codes, weights in bpe.changes_of(flat, np.array(counts), batch):
+            for code, weight in zip(codes.tolist(), weights.tolist()):
+                found[code >> 32, code & 0xFFFFFFFF] += weight
+        assert {k: v for k, v in found.items() if v} == {k: v for k, v in expected.items() if v}
 
 
 def test_sweep_and_totals(trained, spark):

@@ -1,10 +1,9 @@
 """Byte-pair vocabulary learned exactly on distributed lines, and its application.
 
-Training state is a table of distinct words with their counts, and the counts of adjacent pairs, which the driver
-holds: their number depends on the vocabulary, not on the corpus, and is checked.  A symbol is one code point,
-U+F0000 + id, so a merge is the built-in string replacement.  Each round takes as many merges from the pair ranking as
-are certain, and is one job: the words that contain one of them give the changes of the pair counts; no other word is
-exploded again, and no table of pairs is written.
+Training state is a table of blocks of distinct words (ids, ends, counts), and the counts of adjacent pairs, which the
+driver holds: their number depends on the vocabulary, not on the corpus, and is checked.  Each round takes as many merges
+from the pair ranking as are certain, and is one job: every block applies them by array operations and sends only how
+the pairs around the merged places change.  For application a symbol is one code point, U+F0000 + id.
 
 Why several merges per round are certain: take the longest head of the ranking in which no pair shares a symbol
 with an earlier one.  A pair created by one of these merges occurs at most as often as an old pair that shares a
@@ -17,7 +16,9 @@ import heapq
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,47 +130,35 @@ def to_symbols(text: Column, model: BpeModel) -> Column:
     return F.translate(text, "".join(letters), "".join(symbol(start + i) for i in range(len(letters))))
 
 
-def _merge_all(word: Column, merges: Sequence[tuple[int, int, int]]) -> Column:
-    """Replace pair after pair.  The list is one constant, so plans keep their shape from round to round."""
-    if not merges:
-        return word
-    steps = F.split(F.lit(",".join("".join(map(symbol, m)) for m in merges)), ",")
-    return F.aggregate(steps, word, lambda w, m: F.replace(w, F.left(m, F.lit(2)), F.right(m, F.lit(1))))
-
-
 # --- Training ---------------------------------------------------------------------------------------------------
 class _Ranking:
-    """Pair counts, best first: count descending, then code point order.  Outdated heap entries are skipped."""
+    """Pair counts, best first: count descending, then left and right id.  Outdated heap entries are skipped."""
 
-    def __init__(self, pairs: DataFrame):
-        rows = pairs.limit(MAX_PAIRS + 1).collect()
-        self.counts = {r["pair"]: r["cnt"] for r in rows}
-        self._check()
-        self._heap = [(-n, pair) for pair, n in self.counts.items()]
-        heapq.heapify(self._heap)
+    def __init__(self):
+        self.counts: dict[tuple[int, int], int] = {}
+        self._heap: list[tuple[int, tuple[int, int]]] = []
 
-    def _check(self) -> None:
-        if len(self.counts) > MAX_PAIRS:
-            raise ValueError(f"more than {MAX_PAIRS} distinct pairs")
-
-    def pop(self, min_frequency: int) -> tuple[int, str] | None:
+    def pop(self, min_frequency: int) -> tuple[int, tuple[int, int]] | None:
         while self._heap and -self._heap[0][0] >= min_frequency:
             negative, pair = heapq.heappop(self._heap)
             if self.counts.get(pair) == -negative:
                 return -negative, pair
         return None
 
-    def push(self, count: int, pair: str) -> None:
+    def push(self, count: int, pair: tuple[int, int]) -> None:
         heapq.heappush(self._heap, (-count, pair))
 
     def update(self, changes: DataFrame) -> None:
-        """Add the changes; their number is at most twice the symbols for each merge of the round."""
-        for row in changes.groupBy("pair").agg(F.sum("cnt").alias("cnt")).where("cnt != 0").collect():
-            count = self.counts.pop(row["pair"], 0) + row["cnt"]
+        """Add (left_id, right_id, cnt); after the first time at most a few times the symbols for each merge of a round."""
+        summed = changes.groupBy("left_id", "right_id").agg(F.sum("cnt").alias("cnt")).where("cnt != 0")
+        rows = summed.limit(MAX_PAIRS + 1).collect()
+        for left, right, change in rows:
+            count = self.counts.pop((left, right), 0) + change
             if count > 0:
-                self.counts[row["pair"]] = count
-                self.push(count, row["pair"])
-        self._check()
+                self.counts[left, right] = count
+                self.push(count, (left, right))
+        if max(len(rows), len(self.counts)) > MAX_PAIRS:
+            raise ValueError(f"more than {MAX_PAIRS} distinct pairs")
 
 
 def _certain_merges(ranking: _Ranking, min_frequency: int, model: BpeModel, known: dict[str, int],
@@ -177,7 +166,7 @@ def _certain_merges(ranking: _Ranking, min_frequency: int, model: BpeModel, know
     """The head of the ranking that can be merged without counting again."""
     batch, used, size = [], set(), len(model.tokens)
     while found := ranking.pop(min_frequency):
-        left, right = (ord(c) - SYMBOL_START for c in found[1])
+        left, right = found[1]
         text = model.tokens[left] + model.tokens[right]
         alone = left == right or text in known
         if batch and (alone or left in used or right in used or len(batch) >= room):
@@ -192,11 +181,107 @@ def _certain_merges(ranking: _Ranking, min_frequency: int, model: BpeModel, know
     return batch
 
 
+GAP = -1        # stands between words
+BLOCK_TABLE = "ids binary, counts binary"
+CHANGES = "left_id int, right_id int, cnt bigint"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of symbols as one array of ids, a gap after each word."""
+    for batch in batches:
+        codes = [np.frombuffer((w + "\0").encode("utf-32-le"), np.uint32) for w in batch.column(0).to_pylist()]
+        ids = np.concatenate(codes).astype(np.int64) - SYMBOL_START if codes else np.zeros(0, np.int64)
+        ids[ids == -SYMBOL_START] = GAP
+        ids[ids < GAP] = UNKNOWN_ID
+        yield _block(ids.astype(np.int32), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64))
+
+
+def _block(ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch({"ids": pa.array([ids.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
+
+
+def merge_once(ids: np.ndarray, left: int, right: int, new: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with each pair replaced, leftmost first, and the places (before) that were replaced."""
+    places = np.flatnonzero((ids[:-1] == left) & (ids[1:] == right))
+    if left == right and len(places):                        # of a run of equal ids every other pair
+        first = np.r_[True, np.diff(places) != 1]
+        run = np.maximum.accumulate(np.where(first, np.arange(len(places)), 0))
+        places = places[(np.arange(len(places)) - run) % 2 == 0]
+    if not len(places):
+        return ids, places
+    out = ids.copy()
+    out[places] = new
+    return np.delete(out, places + 1), places
+
+
+def _weighted(ids: np.ndarray, at: np.ndarray, counts: np.ndarray, word_of: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and weights of the pairs that begin at the places, without those over a gap."""
+    at = at[(ids[at] != GAP) & (ids[at + 1] != GAP)]
+    return (ids[at].astype(np.int64) << 32) | ids[at + 1], sign * counts[word_of[at]]
+
+
+def _word_of(ids: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.r_[0, ids[:-1] == GAP]) if len(ids) else np.zeros(0, np.int64)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    codes, weights = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in (0, 1))
+    pairs, place = np.unique(codes, return_inverse=True)
+    total = np.zeros(len(pairs), np.int64)
+    np.add.at(total, place, weights)
+    return pa.record_batch({"left_id": pa.array((pairs >> 32).astype(np.int32)), "right_id": pa.array((pairs & 0xFFFFFFFF).astype(np.int32)),
+                            "cnt": pa.array(total)})
+
+
+def changes_of(ids: np.ndarray, counts: np.ndarray, batch: Sequence[tuple[int, int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What the merges take from and add to the pair counts: pairs that touch a merged place, before and after."""
+    parts = []
+    for merge in batch:
+        merged, places = merge_once(ids, *merge)
+        if len(places):
+            old = np.unique(np.concatenate([places - 1, places, places + 1]))
+            own = places - np.arange(len(places))                       # the same places after
+            new = np.unique(np.concatenate([own - 1, own]))
+            parts.append(_weighted(ids, old[(old >= 0) & (old < len(ids) - 1)], counts, _word_of(ids), -1))
+            parts.append(_weighted(merged, new[(new >= 0) & (new < len(merged) - 1)], counts, _word_of(merged), 1))
+            ids = merged
+    return parts
+
+
+def _read(batches: Iterator[pa.RecordBatch], pending: Sequence[tuple[int, int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for ids, counts in zip(batch.column(0), batch.column(1)):
+            ids = np.frombuffer(ids.as_buffer(), np.int32)
+            for merge in pending:
+                ids = merge_once(ids, *merge)[0]
+            yield ids, np.frombuffer(counts.as_buffer(), np.int64)
+
+
+def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, counts in _read(batches, ()):
+        if len(ids) > 1:
+            yield _summed([_weighted(ids, np.arange(len(ids) - 1), counts, _word_of(ids), 1)])
+
+
+def _changed_pairs(pending: Sequence[tuple[int, int, int]], batch: Sequence[tuple[int, int, int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, counts in _read(batches, pending):
+            yield _summed(changes_of(ids, counts, batch))
+    return run
+
+
+def _merged_blocks(pending: Sequence[tuple[int, int, int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, counts in _read(batches, pending):
+            yield _block(ids, counts)
+    return run
+
+
 def train(words: DataFrame, vocab_size: int = TARGET_SIZE, initial_alphabet: Sequence[str] = tuple(cd.ALPHABET),
           min_frequency: int = MIN_FREQUENCY, keep_steps: int = 24) -> BpeModel:
     """Learn merges until the vocabulary is full or no pair occurs ``min_frequency`` times.
 
-    ``words`` is (word, n).  ``keep_steps`` is how many merges may be pending before the words are written again with
+    ``words`` is (word, n).  ``keep_steps`` is how many merges may be pending before the blocks are written again with
     them applied.
     """
     if vocab_size > MAX_SYMBOLS:
@@ -204,61 +289,30 @@ def train(words: DataFrame, vocab_size: int = TARGET_SIZE, initial_alphabet: Seq
     model = BpeModel([*SPECIAL_TOKENS, *corpus_alphabet(words, initial_alphabet)])
     known = {t: i for i, t in enumerate(model.tokens)}
     tables = Tables(words.sparkSession)
-    base = tables.replace("words", words.select(to_symbols(F.col("word"), model).alias("word"), "n").hint("rebalance"))
-    ranking = _Ranking(pair_counts(base))
+    spread = words.select(to_symbols(F.col("word"), model).alias("word"), F.col("n").cast("bigint").alias("n"))
+    base = tables.replace("blocks", spread.mapInArrow(_blocks, BLOCK_TABLE))
+    ranking = _Ranking()
+    ranking.update(base.mapInArrow(_all_pairs, CHANGES))
     pending: list[tuple[int, int, int]] = []
     while len(model.tokens) < vocab_size:
         batch = _certain_merges(ranking, min_frequency, model, known, vocab_size - len(model.tokens))
         if not batch:
             break
-        reused = any(new < len(model.tokens) for _, _, new in batch)
         for left, right, new in batch:
             if new == len(model.tokens):
                 model.tokens.append(model.tokens[left] + model.tokens[right])
             model.merges.append((left, right, new))
-        ranking.update((_recount if reused else _changes)(base, pending, batch))
-        if any(symbol(left) + symbol(right) in ranking.counts for left, right, _ in batch if left != right) and not reused:
+        ranking.update(base.mapInArrow(_changed_pairs(tuple(pending), tuple(batch)), CHANGES))
+        if any(merge[:2] in ranking.counts for merge in batch):
             raise RuntimeError("pair counts do not shrink: the words changed between two reads")
         pending += batch
         if len(pending) >= keep_steps:
-            base = tables.replace("words", base.select(_merge_all(F.col("word"), pending).alias("word"), "n"))
+            base = tables.replace("blocks", base.mapInArrow(_merged_blocks(tuple(pending)), BLOCK_TABLE))
             pending = []
     tables.delete()
     return model
 
 
-def _changes(words: DataFrame, pending: Sequence[tuple[int, int, int]], batch: Sequence[tuple[int, int, int]]) -> DataFrame:
-    """(pair, cnt) rows the batch takes from and adds to the pair counts.
-
-    Only neighbours of a new symbol change, so the merged words tell everything: undoing the merge on the facing
-    sides of a pair gives the pair it replaces; besides, every new symbol replaces one pair of its own.
-    """
-    new = "".join(symbol(c) for _, _, c in batch)
-    has_new = lambda x: x.rlike(f"[{new}]")
-    touched = words.select(_merge_all(F.col("word"), [*pending, *batch]).alias("merged"), "n").where(has_new(F.col("merged")))
-    cut = touched.select(cd.characters(F.col("merged")).alias("chars"), "n")
-    found = F.concat(F.filter(adjacent(F.col("chars")), has_new), F.filter("chars", has_new))     # pairs, then new symbols
-    rows = cut.select("n", F.explode(found).alias("p"))
-    first, last = ("".join(symbol(m[side]) for m in batch) for side in (0, 1))
-    head, tail, own = F.left("p", F.lit(1)), F.substr("p", F.lit(2)), F.length("p") == 1
-    replaced = F.when(own, F.concat(F.translate("p", new, first), F.translate("p", new, last))).otherwise(
-        F.concat(F.translate(head, new, last), F.translate(tail, new, first)))
-    both = F.array(F.struct(F.when(~own, F.col("p")).alias("pair"), F.col("n").alias("cnt")),
-                   F.struct(replaced.alias("pair"), (-F.col("n")).alias("cnt")))
-    return rows.select(F.inline(both)).where("pair is not null")
-
-
-def _recount(words: DataFrame, pending: Sequence[tuple[int, int, int]], batch: Sequence[tuple[int, int, int]]) -> DataFrame:
-    """The same for a merge into a symbol that words may already hold: all pairs before and after."""
-    word = F.col("word")
-    whole = words.select("n", cd.characters(_merge_all(word, pending)).alias("before"),
-                         cd.characters(_merge_all(word, [*pending, *batch])).alias("after")).where("before <> after")
-    signed = lambda column, sign: F.transform(adjacent(F.col(column)),
-                                              lambda p: F.struct(p.alias("pair"), F.lit(sign).alias("sign")))
-    rows = whole.select(F.explode(F.concat(signed("before", -1), signed("after", 1))).alias("p"), "n")
-    return rows.where("p.pair is not null").select("p.pair", (F.col("n") * F.col("p.sign")).alias("cnt"))
-
-
 # --- Application ------------------------------------------------------------------------------------------------
 def apply_merges(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
     """Merge neighbours, always the lowest rank first and the leftmost among equals."""
