@@ -43,8 +43,14 @@ def training_sample(labelled: DataFrame, id_column: str, text_column: str, lang_
     start = F.conv(F.substring(digest, 1, 7), 16, 10).cast("bigint") % F.greatest(F.length(text) - RUN, F.lit(1)) + 1
     runs = labelled.where(F.col(lang_column).isNotNull() & (F.length(text) > 0)).select(
         F.col(lang_column).cast("string").alias("lang"), digest.alias("digest"), text.substr(start.cast("int"), F.lit(RUN)).alias("run"))
-    if runs.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+    sizes = {r["lang"]: r["count"] for r in runs.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
+    # A few times the documents needed pass by the size of their digest, however many there are.
+    place, passes = F.conv(F.substring("digest", 1, 8), 16, 10).cast("double") / float(1 << 32), F.lit(False)
+    for lang, size in sorted(sizes.items()):
+        passes = passes | ((F.col("lang") == lang) & (place < 8 * DOCUMENTS / size))
+    runs = runs.where(passes)
     order = Window.partitionBy("lang").orderBy("digest", "run")
     held: dict[str, list[str]] = {}
     for row in runs.withColumn("n", F.row_number().over(order)).where(F.col("n") <= DOCUMENTS).orderBy("lang", "n").collect():
