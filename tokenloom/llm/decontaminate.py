@@ -24,7 +24,7 @@ from tokenloom.llm.words import WordHasher, hashed_words, letter_words, text_byt
 from tokenloom.session import Tables
 
 WORD = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BLOCK = 1 << 20         # windows of a broadcast, about 200 bytes each with their words
+BLOCK = 1 << 18         # windows, and items of windows, of a broadcast: some 75 MB with their words
 
 
 def item_windows(benchmark: DataFrame, size: int, id_column: str, text_column: str) -> DataFrame:
