@@ -74,3 +74,39 @@ def test_general_form(spark):
     docs = spark.createDataFrame(rows, "key bigint, text string")
     _, found = templates.recurring_lines(spark, docs, 3)
     assert [(r["documents"], r["text"]) for r in found.collect()] == [(5, "closed connection from <*> by peer after <*> s")]
+
+
+def every_template(lines, documents):
+    """The numbers of the lines to drop, each leaf to its end; ``lines`` holds (document, text), each text once a document."""
+    leaves = defaultdict(list)
+    for number, (_, line) in enumerate(lines):
+        tokens = tuple(templates.FIELD if re.search("[0-9]", t) else t for t in line.split())
+        leaves[len(tokens), tokens[:templates.DEPTH]].append((tokens, number))
+    drop = set()
+    for own in leaves.values():
+        counts = Counter(t for t, _ in own)
+        while own:
+            leader = max((t for t, _ in own), key=lambda t: counts[t])
+            joined = [x for x in own if sum(a == b for a, b in zip(x[0], leader)) >= templates.AGREE * len(leader)]
+            own = [x for x in own if x not in joined]
+            if len({lines[number][0] for _, number in joined}) >= documents:
+                drop |= {number for _, number in joined}
+    return drop
+
+
+def test_leaf_with_many_templates(spark):
+    """Each line begins with date, time and number, so all are one leaf; the varying place holds no digit."""
+    rng, kinds = random.Random(3), 2 * templates.LEADERS + 20
+    name = lambda n: "".join(chr(97 + (n // 26 ** i) % 26) for i in range(4))     # noqa: E731
+    lines = []
+    for kind in range(kinds):
+        w = [f"{name(kind)}{x}" for x in "abcde"]
+        for doc in rng.sample(range(60), 6 if kind % 3 else 3):                  # every third one stays below five documents
+            lines.append((doc, f"2024-01-{doc} 10:{kind} 77 {w[0]} {w[1]} {name(1000 + len(lines))} {w[2]} {w[3]} {w[4]}"))
+    docs = spark.createDataFrame(lines, "doc_id bigint, t string").groupBy("doc_id").agg(
+        F.array_join(F.collect_list("t"), "\n").alias("text"))
+    found = {r["_id"]: r["text"] for r in templates.without_recurring(spark, docs).collect()}
+    kept = sorted(line for text in found.values() for line in text.split("\n") if line)
+    gone = every_template(lines, 5)
+    assert kept == sorted(line for number, (_, line) in enumerate(lines) if number not in gone)
+    assert len(gone) > 2 * 6 * templates.LEADERS * 2 // 3 - 12

@@ -3,11 +3,13 @@
 A line's tokens (runs of non-space characters) that hold a digit are fields from the start, ``<*>``.  The tree has fixed
 depth: the first level is the number of tokens, the next ones the ``DEPTH`` leading tokens.  In a leaf the line that occurs
 most becomes a template, and lines that agree with it in at least ``AGREE`` of their places join it; where they differ
-the template has a field too.  ``ROUNDS`` templates are made so in each leaf; what joins none of them is a template of
-its own, without further fields.  Lines whose template occurs in at least ``documents`` documents are dropped, all others stay.
+the template has a field too.  This repeats on the lines that are left until a leaf has fewer than ``documents`` of them,
+which cannot recur; each of these is a template of its own, without further fields.  Lines whose template occurs in at
+least ``documents`` documents are dropped, all others stay.
 
-A leaf is never gathered: its leading line is a maximum that tasks combine first, and its distinct lines are joined to
-it.  Leaves with fewer lines than ``documents`` cannot hold a recurring template, so their lines go no further than
+A leaf is never gathered: the first ``LEADERS`` of its distinct lines, which tasks cut to so many each, give several
+templates at a time, in the same order as one by one, and the others are joined to them.  A round's lines are written, so
+a leaf with many unlike lines takes as many rounds as it needs; each compares what is left with ``LEADERS`` lines.  Leaves with fewer lines than ``documents`` cannot hold a recurring template, so their lines go no further than
 that count.  Texts move once, when the lines to drop meet their document.
 
 Defined cases: null text stays null and has no lines; blank lines stay; a line that repeats within a document counts
@@ -17,13 +19,15 @@ apart by their text; extra columns are ignored; an empty table gives an empty re
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.llm.skew import join_groups
 from tokenloom.session import Tables
 
-DEPTH, AGREE, ROUNDS = 3, 0.6, 2
+DEPTH, AGREE = 3, 0.6
+LEADERS = 64                  # most templates of a leaf that are found in one round; the number of rounds is not bounded
+ROUNDS = 10_000               # no bound of the operator; references that loop over templates stop when none is left
 FIELD = "<*>"
 FEW_LEAVES = 1_000_000        # leaf keys of 8 bytes that are broadcast; more are joined by a shuffle
 
@@ -39,6 +43,22 @@ def _lines(rows: DataFrame) -> DataFrame:
     return each.withColumn("leaf", F.xxhash64(F.size("tokens"), masked(F.slice("tokens", 1, DEPTH))))
 
 
+def _joins(body: Column, tokens: Column, leader: Column) -> Column:
+    same = F.zip_with(tokens, leader["tokens"], lambda x, y: x == y)
+    return (body == leader["body"]) | (F.size(F.filter(same, lambda x: x)) >= AGREE * F.size(same))
+
+
+def _leaders(bodies: DataFrame) -> DataFrame:
+    """The next templates of each leaf: of its ``LEADERS`` most frequent bodies those that join none before them, in order.
+    These bodies come before all others, so the others change nothing about which of them lead."""
+    order = Window.partitionBy("leaf").orderBy(F.desc("n"), F.desc("body"))
+    top = bodies.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LEADERS)
+    top = top.groupBy("leaf").agg(F.first("_n").alias("_n"), F.array_sort(F.collect_list(
+        F.struct("rank", "body", F.split("content", " ").alias("tokens")))).alias("top"))
+    return top.select("leaf", "_n", F.aggregate("top", F.slice("top", 1, 0), lambda held, x: F.when(
+        F.exists(held, lambda y: _joins(x["body"], x["tokens"], y)), held).otherwise(F.concat(held, F.array(x)))).alias("leaders"))
+
+
 def recurring_lines(spark: SparkSession, rows: DataFrame, documents: int) -> tuple[DataFrame, DataFrame]:
     """``rows`` has ``key`` and ``text``.  The lines to drop (``key``, ``line``), and the recurring templates (``leaf``,
     ``template``, ``documents``, ``text``)."""
@@ -51,20 +71,29 @@ def recurring_lines(spark: SparkSession, rows: DataFrame, documents: int) -> tup
     lines = tables.replace("lines", lines.select("leaf", "body", "key", "line", F.array_join("tokens", " ").alias("content")))
     bodies = tables.replace("bodies", lines.groupBy("leaf", "body").agg(F.count("*").alias("n"), F.min("content").alias("content")))
 
-    left, found = bodies, None
-    for number in range(ROUNDS):
-        leaders = left.groupBy("leaf").agg(F.max(F.struct("n", "body", "content")).alias("leader"), F.count("*").alias("_n"))
-        joined = join_groups(left, leaders, "leaf", "_n").drop("_n")
-        tokens, of_leader = F.split("content", " "), F.split(F.col("leader.content"), " ")
-        joined = joined.withColumn("same", F.zip_with(tokens, of_leader, lambda x, y: x == y))
-        joined = joined.withColumn("joins", F.size(F.filter("same", lambda x: x)) >= AGREE * F.size("same"))
-        joined = tables.replace(f"round{number}", joined.withColumn("template", F.col("leader.body")))
-        members = joined.where("joins").select("leaf", "body", "template", "content", F.col("leader.content").alias("text"), "same")
-        found = members if found is None else found.unionByName(members)
-        left = joined.where("not joins").select("leaf", "body", "n", "content")
-    alone = left.select("leaf", "body", F.col("body").alias("template"), "content", F.col("content").alias("text"),
-                        F.array().cast("array<boolean>").alias("same"))
-    found = tables.replace("found", found.unionByName(alone))
+    # A leaf is open while its lines without a template could still recur; all others' are templates of their own.
+    rest, number = bodies, 0
+    while True:
+        totals = tables.replace("totals", rest.groupBy("leaf").agg(F.sum("n").alias("lines"), F.count("*").alias("_n")))
+        rest = tables.replace("rest", join_groups(rest, totals, "leaf", "_n"))
+        alone = rest.where(F.col("lines") < documents).select("leaf", "body", F.col("body").alias("template"), F.col("content").alias("text"),
+                                                               F.array().cast("array<boolean>").alias("same"))
+        still = rest.where(F.col("lines") >= documents)
+        if still.isEmpty():
+            break
+        alone.write.parquet(f"{tables.folder('found')}/round={number}")
+        leaders = tables.replace("leaders", _leaders(still))
+        joined = join_groups(still.drop("_n", "lines"), leaders, "leaf", "_n").drop("_n")
+        joined = joined.withColumn("tokens", F.split("content", " "))
+        joined = joined.withColumn("leader", F.get(F.filter("leaders", lambda x: _joins(F.col("body"), F.col("tokens"), x)), 0))
+        joined = tables.replace("joined", joined.drop("leaders", "tokens"))
+        tokens, of_leader = F.split("content", " "), F.col("leader.tokens")
+        joined.where("leader IS NOT NULL").select(
+            "leaf", "body", F.col("leader.body").alias("template"), F.array_join(of_leader, " ").alias("text"),
+            F.zip_with(tokens, of_leader, lambda x, y: x == y).alias("same")).write.parquet(f"{tables.folder('found')}/round={number + 1}")
+        rest, number = joined.where("leader IS NULL").select("leaf", "body", "n", "content"), number + 2
+    alone.write.parquet(f"{tables.folder('found')}/round={number}")
+    found = spark.read.schema(alone.schema).parquet(tables.folder("found")).drop("round")
 
     # Members of a template are counted per leaf and template; bodies carry the same pair to their lines.
     assigned = lines.join(found.select("leaf", "body", "template"), ["leaf", "body"]).select(
