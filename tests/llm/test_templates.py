@@ -110,3 +110,12 @@ def test_leaf_with_many_templates(spark):
     gone = every_template(lines, 5)
     assert kept == sorted(line for number, (_, line) in enumerate(lines) if number not in gone)
     assert len(gone) > 2 * 6 * templates.LEADERS * 2 // 3 - 12
+
+
+def test_lines_without_constants_and_short_lines(spark):
+    """Numbers, links and lines with one beginning stay unless the line itself recurs."""
+    texts = [f"http://x/{i}\n{i} {i + 1} 0.{i}\n12 13\nthe old man {w}\nthe old man {w} {v}\n<*> {i}\n{i} {i} {i} {i} {i} {w}\npage {i} of 9"
+             for i, (w, v) in enumerate(zip("sleeps walks reads eats sings waits".split(), "here now alone well there long".split()))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["_id"]: r["text"].split("\n") for r in templates.without_recurring(spark, docs).collect()}
+    assert found == {i: [line for n, line in enumerate(t.split("\n")) if n not in (2, 7)] for i, t in enumerate(texts)}

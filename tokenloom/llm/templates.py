@@ -2,8 +2,9 @@
 
 A line's tokens (runs of non-space characters) that hold a digit are fields from the start, ``<*>``.  The tree has fixed
 depth: the first level is the number of tokens, the next ones the ``DEPTH`` leading tokens.  In a leaf the line that occurs
-most becomes a template, and lines that agree with it in at least ``AGREE`` of their places join it; where they differ
-the template has a field too.  This repeats on the lines that are left until a leaf has fewer than ``documents`` of them,
+most becomes a template, and lines that agree with it in at least ``AGREE`` of their places, one of them after the leading
+ones, and have a constant in common with it, join it; where they differ the template has a field too.  A line of fields alone
+(numbers, ids, links) says nothing about its form: it is a leaf of its own, unmasked, and recurs only as the same line.  This repeats on the lines that are left until a leaf has fewer than ``documents`` of them,
 which cannot recur; each of these is a template of its own, without further fields.  Lines whose template occurs in at
 least ``documents`` documents are dropped, all others stay.
 
@@ -36,16 +37,30 @@ def masked(tokens: Column) -> Column:
     return F.transform(tokens, lambda x: F.when(x.rlike("[0-9]"), F.lit(FIELD)).otherwise(x))
 
 
+def _form(tokens: Column) -> Column:
+    """The masked tokens; of a line without a constant the tokens as they are."""
+    return F.when(F.exists(tokens, _constant), masked(tokens)).otherwise(tokens)
+
+
+def _constant(token: Column) -> Column:
+    return ~token.rlike("[0-9]") & (token != FIELD)
+
+
 def _lines(rows: DataFrame) -> DataFrame:
     """One row per line that isn't blank: ``key``, ``line`` (its number), ``tokens`` and ``leaf``."""
     each = rows.select("key", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
     each = each.select("key", "line", F.filter(F.split("content", r"\s+"), lambda x: x != "").alias("tokens")).where("size(tokens) > 0")
-    return each.withColumn("leaf", F.xxhash64(F.size("tokens"), masked(F.slice("tokens", 1, DEPTH))))
+    leaf = F.when(F.exists("tokens", _constant), F.xxhash64(F.size("tokens"), masked(F.slice("tokens", 1, DEPTH))))
+    return each.withColumn("leaf", F.coalesce(leaf, F.xxhash64(F.lit(0), "tokens")))
 
 
 def _joins(body: Column, tokens: Column, leader: Column) -> Column:
+    """Enough places agree, of those after the leading ones at least one, and some place holds the same constant."""
     same = F.zip_with(tokens, leader["tokens"], lambda x, y: x == y)
-    return (body == leader["body"]) | (F.size(F.filter(same, lambda x: x)) >= AGREE * F.size(same))
+    further = F.slice(same, DEPTH + 1, F.greatest(F.size(same) - DEPTH, F.lit(0)))
+    common = F.exists(F.zip_with(tokens, leader["tokens"], lambda x, y: (x == y) & (x != FIELD)), lambda x: x)
+    return (body == leader["body"]) | ((F.size(F.filter(same, lambda x: x)) >= AGREE * F.size(same)) & common & (
+        (F.size(further) == 0) | F.exists(further, lambda x: x)))
 
 
 def _leaders(bodies: DataFrame) -> DataFrame:
@@ -66,7 +81,7 @@ def recurring_lines(spark: SparkSession, rows: DataFrame, documents: int) -> tup
     leaves = _lines(rows).groupBy("leaf").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b"))
     leaves = tables.replace("leaves", leaves.where((F.col("n") >= documents) & (F.col("a") != F.col("b"))).select("leaf"))
     own = F.broadcast(leaves) if leaves.count() <= FEW_LEAVES else leaves
-    lines = _lines(rows).join(own, "leaf", "left_semi").withColumn("tokens", masked("tokens"))
+    lines = _lines(rows).join(own, "leaf", "left_semi").withColumn("tokens", _form(F.col("tokens")))
     lines = lines.withColumn("body", F.xxhash64("tokens"))
     lines = tables.replace("lines", lines.select("leaf", "body", "key", "line", F.array_join("tokens", " ").alias("content")))
     bodies = tables.replace("bodies", lines.groupBy("leaf", "body").agg(F.count("*").alias("n"), F.min("content").alias("content")))
