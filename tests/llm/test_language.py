@@ -91,3 +91,17 @@ def test_edge_cases(spark):
     assert {r["lang_pred"] for r in language.identify(spark, none).collect()} == {"und"}
     assert {r["doc_id"] for r in language.in_known_languages(spark, none).collect()} == set(found) - {100, 101, 102}
     assert language.identify(spark, docs.limit(0)).collect() == []
+
+
+def test_large_alphabets():
+    """All letters of the sample are learned, however many; phrases in them are found."""
+    rng = random.Random(4)
+    words = ["".join(chr(0x4E00 + rng.randrange(900)) for _ in range(6)) for _ in range(200)]
+    hangul = ["".join(chr(0xAC00 + rng.randrange(900)) for _ in range(6)) for _ in range(200)]
+    sample = [("zh", [" ".join(words)]), ("ko", [" ".join(hangul)])]
+    model = language.learn(sample)
+    texts = [" ".join(rng.choices(words, k=30)), " ".join(rng.choices(hangul, k=30)), words[0] + "ж" + hangul[0]]
+    found, letters, learned = model.phrases(texts)
+    assert found.tolist() == [[plain_phrases(t, runs) for t in texts] for _, runs in sample]
+    assert letters.tolist() == [180, 180, 13] and learned.tolist() == [180, 180, 12]
+    assert [x[0] for x in model.best(texts[:2])] == ["zh", "ko"]

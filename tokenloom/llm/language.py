@@ -16,7 +16,6 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 DOCUMENTS, RUN = 64, 400       # the bound of the training sample, for each language
 LANGUAGES = 200                # more labels than this are an error
-LETTERS = 250                  # the most frequent letters of the sample; others count as not learned
+LETTERS = 0x110000             # code points; all letters of the sample are learned
 BLOCK = 256
 SEGMENT = 1 << 20              # characters of a text that are parsed at a time
 UNKNOWN = "und"
@@ -88,15 +87,53 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return step
 
 
+def hashed(keys: np.ndarray, size: int) -> np.ndarray:
+    """The first place of each key in a table of ``size`` places, a power of two."""
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def hash_table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their values at the first free place from their own on, at most half full; -1 where free."""
+    size = 1 << max(4, int(2 * len(keys)).bit_length())
+    held, out = np.full(size, -1, np.int64), np.zeros(size, np.int32)
+    place, waiting = hashed(keys, size), np.arange(len(keys))
+    while len(waiting):
+        at, own = place[waiting], keys[waiting]
+        free = held[at] < 0
+        held[at[free]] = own[free]
+        won = held[at] == own
+        out[at[won]] = values[waiting[won]]
+        waiting = waiting[~won]
+        place[waiting] = (place[waiting] + 1) & (size - 1)
+    return held, out
+
+
 class Model:
-    """``symbol`` maps code points to 0 (no letter), 1 (a letter not learned) and learned letters; ``table`` has, for a
-    state and a symbol, twice the next state plus one if a phrase begins there; ``roots`` and ``bits`` by language."""
+    """``symbol`` maps code points to 0 (no letter), 1 (a letter not learned) and learned letters.  ``keys`` and ``next`` are
+    a hash table from state and symbol to the next state within a phrase; for all others ``first`` has, by language and
+    symbol, the state after the phrase's end and that symbol.  ``roots`` and ``bits`` by language."""
 
-    def __init__(self, names: list[str], symbol: np.ndarray, table: np.ndarray, roots: np.ndarray, bits: np.ndarray):
-        self.names, self.symbol, self.table, self.roots, self.bits = names, symbol, table, roots, bits
+    def __init__(self, names: list[str], symbol: np.ndarray, keys: np.ndarray, next_: np.ndarray, first: np.ndarray,
+                 roots: np.ndarray, bits: np.ndarray):
+        self.names, self.symbol, self.keys, self.next, self.first = names, symbol, keys, next_, first
+        self.roots, self.bits = roots, bits
 
     def parts(self) -> tuple:
-        return self.names, self.symbol, self.table, self.roots, self.bits
+        return self.names, self.symbol, self.keys, self.next, self.first, self.roots, self.bits
+
+    def step(self, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states (a row for each language), and where a phrase began."""
+        key = (state * self.first.shape[1] + symbols).ravel()
+        place = hashed(key, len(self.keys))
+        held = self.keys[place]
+        more = np.flatnonzero((held != key) & (held >= 0))
+        while len(more):
+            place[more] = (place[more] + 1) & (len(self.keys) - 1)
+            now = self.keys[place[more]]
+            held[more] = now
+            more = more[(now != key[more]) & (now >= 0)]
+        begins = (held != key).reshape(state.shape)
+        return np.where(begins, self.first[:, symbols], self.next[place].reshape(state.shape)), begins
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of all texts, each led by a 0, runs of 0 as one; and where each text starts."""
@@ -123,13 +160,10 @@ class Model:
         active = np.searchsorted(-size, -np.arange(BLOCK), "left")        # blocks longer than each step
         count = np.zeros((len(self.names), len(size)), np.int32)
         state = np.repeat(self.roots[:, None], len(size), 1)
-        width = self.table.shape[1]
-        flat = self.table.ravel()
         for t in range(int(size[0]) if len(size) else 0):
             n = active[t]
-            entry = flat[state[:, :n] * width + found[begin[:n] + t]]
-            count[:, :n] += entry & 1
-            state[:, :n] = entry >> 1
+            state[:, :n], begins = self.step(state[:, :n], found[begin[:n] + t])
+            count[:, :n] += begins
         unsorted = np.empty_like(count)
         unsorted[:, order] = count
         total = np.c_[np.zeros((len(self.names), 1), np.int64), np.cumsum(unsorted, axis=1)]
@@ -169,30 +203,29 @@ class Model:
 
 
 def learn(sample: list[tuple[str, list[str]]]) -> Model:
-    counts = Counter(c for _, runs in sample for c in "".join(runs).lower() if c.isalpha())
-    letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))][:LETTERS]
-    symbol = np.zeros(0x110000, np.uint8)
-    symbol[[i for i in range(0x110000) if chr(i).isalpha()]] = 1
+    letters = sorted({c for _, runs in sample for c in "".join(runs).lower() if c.isalpha()})
+    symbol = np.zeros(LETTERS, np.int32)
+    symbol[[i for i in range(LETTERS) if chr(i).isalpha()]] = 1
     for number, letter in enumerate(letters):
         symbol[ord(letter)] = number + 2
-    reader = Model([], symbol, np.zeros((0, 0)), np.zeros(0), np.zeros(0))
-    automata, bits = [], []
-    for _, runs in sample:
+    nothing = np.zeros((0, 0), np.int32)
+    reader = Model([], symbol, nothing, nothing, nothing, nothing, nothing)
+    width, size, bits, roots = len(letters) + 2, 0, [], []
+    keys, values, first = [], [], np.zeros((len(sample), width), np.int32)
+    for number, (_, runs) in enumerate(sample):
         text = reader.symbols([" ".join(runs)])[0]
-        automata.append(suffix_automaton([int(x) for x in text if x != 1]))
+        states = suffix_automaton(text.tolist())
         bits.append(np.log2(max(len(text), 2)))
-    sizes = [len(states) for states in automata]
-    roots = np.cumsum([0, *sizes])[:-1]
-    table = np.empty((max(1, sum(sizes)), len(letters) + 2), np.int32)
-    for root, states in zip(roots.tolist(), automata):
-        own = table[root:root + len(states)]
-        own[:] = 2 * root + 1                                            # an unknown symbol is a phrase of its own
+        roots.append(size)
+        first[number] = size                                             # an unknown symbol is a phrase of its own
         for symbol_, state in states[0].items():
-            own[:, symbol_] = 2 * (state + root) + 1                     # a phrase ends, the next begins with this symbol
-        for number, steps in enumerate(states[1:], 1):
-            for symbol_, state in steps.items():
-                own[number, symbol_] = 2 * (state + root)
-    return Model([n for n, _ in sample], symbol, table, roots.astype(np.int64), np.array(bits))
+            first[number, symbol_] = size + state                        # a phrase ends, the next begins with this symbol
+        inner = [(state + size) * width + symbol_ for state, steps in enumerate(states) if state for symbol_ in steps]
+        keys.append(np.array(inner, np.int64))
+        values.append(np.array([size + x for steps in states[1:] for x in steps.values()], np.int32))
+        size += len(states)
+    held, next_ = hash_table(np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int32), *values]))
+    return Model([n for n, _ in sample], symbol, held, next_, first, np.array(roots, np.int64), np.array(bits))
 
 
 def learned(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Model:
