@@ -13,7 +13,8 @@ from tokenloom.session import shared_folder
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a letter, or mostly in letters that no labelled text has, go."""
+    """Language ID: documents without a letter, mostly in letters that no labelled text has, or whose parse in the language
+    that wins takes more bits than its labelled text lets expect, go."""
     return language.in_known_languages(spark, docs)
 
 

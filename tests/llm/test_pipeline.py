@@ -1,9 +1,13 @@
+import math
+import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import numpy as np
 from test_decontaminate import brute_force as benchmark_hits
 from test_exact_mix_shards import filled
 from test_jaccard import brute_force as near_groups
+from test_language import plain_phrases
 
 from tokenloom.llm import language, mixing, sharding
 from tokenloom.llm.queries import SHARDS
@@ -78,3 +82,31 @@ def test_repeated_rows_and_ids(spark):
     assert found == sorted([(None, "a b c d e f"), (1, "other words in this one here"), (2, ""), (3, None)], key=repr)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SMALL).collect() == []
+
+
+def test_language_stage_rejects_by_the_parse(spark):
+    """Text in the known alphabet and in no known language goes; a parse by substring search gives the same rows."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rng = random.Random(5)
+    odd = [(10 ** 6 + n, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz  ", k=300 + n)), None, "src1", 300) for n in range(4)]
+    odd += [(10 ** 6 + 4, "nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita "
+             "ahi quanto a dir qual era cosa dura esta selva selvaggia e aspra e forte", None, "src1", 170), (10 ** 6 + 5, "zq", None, "src1", 2)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).cache()
+    kept = {r["doc_id"] for r in corpus_pipeline.known_languages(spark, docs, SMALL).collect()}
+    assert not kept & set(range(10 ** 6, 10 ** 6 + 5)) and 10 ** 6 + 5 in kept
+    sample = language.training_sample(docs.where(language.remainder(docs["doc_id"]) != 2), "doc_id", "text", "lang")
+
+    def cost(text, runs):
+        own = " " + "".join(c if c.isalpha() else " " for c in " ".join(runs).lower())
+        return plain_phrases(text, runs) * math.log2(len(" ".join(own.split())) + 1 + own.endswith(" "))
+
+    limit, phrase = {}, {name: cost("", runs) for name, runs in sample}
+    for name, runs in sample:
+        rest = [r for n, r in enumerate(runs) if n % language.HELD]
+        need = [cost(r, rest) / sum(c.isalpha() for c in r) for r in runs[::language.HELD] if r not in rest]
+        limit[name] = language.SPARE * np.quantile(need, language.USUAL)
+    for doc in docs.where("n_chars < 400").collect():
+        letters = sum(c.isalpha() for c in (doc["text"] or "").lower())
+        own = {name: cost(doc["text"] or "", runs) for name, runs in sample}
+        win = min(own, key=own.get)
+        assert (doc["doc_id"] in kept) == (letters > 0 and own[win] <= limit[win] * letters + language.SLACK * phrase[win]), doc["doc_id"]

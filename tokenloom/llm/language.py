@@ -27,6 +27,8 @@ DOCUMENTS, RUN = 64, 400       # the bound of the training sample, for each lang
 LANGUAGES = 200                # more labels than this are an error
 LETTERS = 0x110000             # code points; all letters of the sample are learned
 BLOCK = 256
+HELD = 4                       # every so many run of the sample is parsed with what the others teach
+USUAL, SPARE, SLACK = 0.9, 1.5, 4   # bits per letter that so many of those need, times what other text may need, and phrases besides
 SEGMENT = 1 << 20              # characters of a text that are parsed at a time
 UNKNOWN = "und"
 
@@ -169,8 +171,8 @@ class Model:
         total = np.c_[np.zeros((len(self.names), 1), np.int64), np.cumsum(unsorted, axis=1)]
         return total[:, first[1:]] - total[:, first[:-1]], np.diff(letters[starts]), np.diff(learned[starts])
 
-    def best(self, texts: list[str | None]) -> list[tuple[str, float, int, int]]:
-        """Language, score (how far the runner-up's bits exceed the winner's), letters and learned letters."""
+    def best(self, texts: list[str | None]) -> list[tuple[str, float, int, int, float]]:
+        """Language, score (how far the runner-up's bits exceed the winner's), letters, learned letters and the winner's bits."""
         pieces, owner = [], []
         for i, text in enumerate(texts):
             for at in range(0, max(len(text or ""), 1), SEGMENT):
@@ -192,13 +194,13 @@ class Model:
         out = []
         for i in range(len(texts)):
             if not letters[i] or not self.names:
-                out.append((UNKNOWN, 0.0, int(letters[i]), int(learned[i])))
+                out.append((UNKNOWN, 0.0, int(letters[i]), int(learned[i]), 0.0))
                 continue
             own = bits[:, i]
             win = int(np.argmin(own))
             rest = np.delete(own, win)
             score = 1.0 - own[win] / rest.min() if len(rest) else 1.0
-            out.append((self.names[win], float(min(1.0, max(0.0, score))), int(letters[i]), int(learned[i])))
+            out.append((self.names[win], float(min(1.0, max(0.0, score))), int(letters[i]), int(learned[i]), float(own[win])))
         return out
 
 
@@ -228,6 +230,27 @@ def learn(sample: list[tuple[str, list[str]]]) -> Model:
     return Model([n for n, _ in sample], symbol, held, next_, first, np.array(roots, np.int64), np.array(bits))
 
 
+def limits(sample: list[tuple[str, list[str]]]) -> dict[str, float]:
+    """Bits per letter that text of each language may need: every ``HELD``-th run is parsed with the automaton of the others.
+    Copies of those say nothing; a language that has no other run has no limit."""
+    others = [(name, [run for n, run in enumerate(runs) if n % HELD]) for name, runs in sample]
+    model, out = learn(others), {}
+    for number, (name, runs) in enumerate(sample):
+        own = [run for run in runs[::HELD] if run not in others[number][1]]
+        if not own or not others[number][1]:
+            continue
+        found, letters, _ = model.phrases(own)
+        if letters.any():
+            need = found[number][letters > 0] * model.bits[number] / letters[letters > 0]
+            out[name] = SPARE * float(np.quantile(need, USUAL))
+    return out
+
+
+def fits(bits: float, letters: int, limit: float, bits_of_phrase: float) -> bool:
+    """A text of a few phrases says too little to be rejected."""
+    return bits <= limit * letters + SLACK * bits_of_phrase
+
+
 def learned(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Model:
     return learn(training_sample(labelled, id_column, text_column, lang_column))
 
@@ -237,7 +260,7 @@ def _guess(shared, position: int):
         model = Model(*shared.value)
         for batch in batches:
             found = model.best(batch.column(position).to_pylist())
-            lang, score, letters, learned_letters = zip(*found) if found else ((), (), (), ())
+            lang, score, letters, learned_letters, _ = zip(*found) if found else ((), (), (), (), ())
             yield pa.record_batch({"_id": batch.column(0), "lang_pred": pa.array(lang, pa.string()),
                                    "score": pa.array(score, pa.float64()), "n_letters": pa.array(letters, pa.int64()),
                                    "n_learned": pa.array(learned_letters, pa.int64())})
@@ -261,19 +284,23 @@ def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def _accept(shared, position: int, languages: frozenset[str] | None):
     def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*shared.value)
+        parts, limit = shared.value
+        model = Model(*parts)
+        pointer = dict(zip(model.names, model.bits))
         for batch in batches:
             found = model.best(batch.column(position).to_pylist())
-            keep = [letters > 0 and (not model.names or 2 * known >= letters and (languages is None or lang in languages))
-                    for lang, _, letters, known in found]
+            keep = [letters > 0 and (not model.names or 2 * known >= letters and (languages is None or lang in languages)
+                                     and fits(bits, letters, limit.get(lang, np.inf), pointer[lang]))
+                    for lang, _, letters, known, bits in found]
             yield batch.filter(pa.array(keep, pa.bool_()))
     return accept
 
 
 def in_known_languages(spark: SparkSession, docs: DataFrame, languages: frozenset[str] | None = None,
                        text_column: str = "text") -> DataFrame:
-    """The documents with a letter, at least half of whose letters belong to a learned alphabet, in one of ``languages``
-    if given.  Others are rejected: they have no language, or one that no labelled text is written in.  Where no row is
-    labelled, all documents with a letter stay."""
-    model = learned(docs.where(remainder(F.col("doc_id")) != 2))
-    return docs.mapInArrow(_accept(spark.sparkContext.broadcast(model.parts()), docs.columns.index(text_column), languages), docs.schema)
+    """The documents with a letter, at least half of whose letters belong to a learned alphabet, that need no more bits in
+    the language that wins than its text may (``limits``), in one of ``languages`` if given.  Others are rejected: they have
+    no language, or one that no labelled text is written in.  Where no row is labelled, all documents with a letter stay."""
+    sample = training_sample(docs.where(remainder(F.col("doc_id")) != 2), "doc_id", "text", "lang")
+    shared = spark.sparkContext.broadcast((learn(sample).parts(), limits(sample)))
+    return docs.mapInArrow(_accept(shared, docs.columns.index(text_column), languages), docs.schema)
