@@ -62,3 +62,34 @@ def test_extracted(spark):
     found = sorted(((r["_id"], r["url"], r["n_chars"]) for r in html.extracted(spark, pages).collect()), key=repr)
     assert found == sorted([(1, "u", 3), (2, None, 0), (None, "u", 0), (1, "u", 999_999)], key=repr)
     assert html.extracted(spark, pages.limit(0)).collect() == []
+
+
+def test_wrapper_names():
+    """A class or id word of a wrapper does not take the article with it."""
+    long = "The council met on Tuesday, as it does, and decided nothing of note about the old bridge. "
+    around = "<nav><a>Home</a></nav>{}<aside><p>Aside.</p></aside><footer>x</footer>"
+    inner = f"<p>{long}</p><p>{long * 2}</p>"
+    want = f"{long.strip()}\n{(long * 2).strip()}"
+    for names in ("class='page has-sidebar'", "class='layout no-sidebar'", "class='content with-header'", "id='nav-wrapper'", "id=hasSidebar"):
+        for article in ("<article>{}</article>", "<main>{}</main>", "<div role=main>{}</div>", "<section><main class=search>{}</main></section>"):
+            assert text(f"<body><div {names}>{around.format(article.format(inner))}</div>") == want, (names, article)
+    # Without article elements the shape of the blocks outweighs a word, and so do their neighbours.
+    counts = html.Counter()
+    for i in range(40):
+        html.count_shapes(f"<nav><a>Home</a><p><a>News {i}</a></p></nav><article><p>{long * (1 + i % 4)}</p><p>{long}</p></article>", counts)
+    assert text(f"<body><nav><a>Home</a></nav><div id=nav-wrapper>{inner}</div>", html.weights_of(counts)) == want
+    # Evidence that is an element's own stays, and so do comments in an article.
+    assert text(f"<body><aside><article><p>{long}</p></article></aside>") == ""
+    assert text(f"<article><p>{long}</p><div class=comments><article><p>No.</p></article></div></article>") == long.strip()
+    assert text("<div class=comments><article class=comment><p>No.</p></article></div>") == ""
+
+
+def test_cut_outweighs_elements():
+    """Between two paragraphs of an article a block of links is no reason to keep it: neighbours and shape decide together."""
+    assert max(html.PLAIN, html.OUTSIDE) < html.CLIP + 3 * html.NEAR and html.WORD < html.CLIP
+    weights = {"links4": -9.0, "tag p": 1.0, "links0": 4.0}
+    page = f"<article><p>{'Some words here. ' * 9}</p></article>" + "<aside><p><a>More</a></p></aside>"
+    assert text(page, weights) == ("Some words here. " * 9).strip()
+    block = html.blocks("<aside>x y z</aside>")[0]
+    gains = round(html.SCALE * (block.element.evidence + html.CLIP))
+    assert html.minimum_cut([200, gains, 200], [(0, 1, 32), (1, 2, 32)]) == [True, True, True]

@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 PAGES = 1000                # the bound of the training sample
 SCALE = 16                  # capacities are whole numbers of 1/SCALE
-PLAIN, OUTSIDE, CLIP = 12.0, 24.0, 4.0      # evidence of article elements, of others, and the most that shape may say
+# Evidence of article elements, of others, of class and id words, and the most that shape may say.  Shape and neighbours
+# together (at most CLIP + 3 NEAR) outweigh any of it, shape alone that of a word.
+PLAIN, OUTSIDE, WORD, CLIP = 6.0, 6.5, 3.0, 4.0
 NEAR = 2.0                  # capacity between blocks of one container
 
 # Elements by meaning.
@@ -50,6 +52,7 @@ AROUND_WORDS = frozenset("ad ads adv advert adverts advertisement advertising ba
                          "navbar navigation newsletter notice notices notification outbrain pagination pager paywall popup "
                          "promo promotion promoted recommended related replies reply search share sharing sidebar signup "
                          "social sponsor sponsored subscribe subscription taboola toolbar widget".split())
+STATE_WORDS = frozenset("has have hide hides hidden no not show shows with without".split())    # what follows is of something else
 ARTICLE_WORDS = frozenset("article articlebody content entry main post story".split())
 
 TAG = re.compile(r"""<!--|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*>""")
@@ -57,10 +60,21 @@ UNFINISHED = re.compile(r"<(?:[a-zA-Z/!?][^>]*)?$")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
+def name_words(names: str) -> set[str]:
+    """The words of class and id names, of each name up to a word that negates or tells a state (has-sidebar, no-header)."""
+    out: set[str] = set()
+    for name in names.split():
+        for word in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()):
+            if word in STATE_WORDS:
+                break
+            out.add(word)
+    return out
+
+
 class Element:
     """An open container: what it says about the text in it."""
 
-    __slots__ = ("name", "parent", "depth", "evidence", "silent")
+    __slots__ = ("name", "parent", "depth", "evidence", "silent", "doubted")
 
     def __init__(self, name: str, parent: Element | None, attributes: str):
         self.name, self.parent = name, parent
@@ -70,7 +84,7 @@ class Element:
         in_article = parent.evidence > 0 if parent else False
         if attributes:
             found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
-            words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()))
+            words = name_words(f"{found.get('class', '')} {found.get('id', '')}")
             role = found.get("role", "").lower()
             if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
                 self.silent = True
@@ -80,12 +94,20 @@ class Element:
         around = name in AROUND or (name == "header" and not in_article) or role in (
             "navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form")
         named = words & AROUND_WORDS - (frozenset(["header"]) if in_article else frozenset())
-        if outside or around or (named and not (name in ARTICLE or name in ("body", "html"))):
-            self.evidence = -OUTSIDE
-        elif in_article or name in ARTICLE or role in ("main", "article") or (words & ARTICLE_WORDS and name not in ("body", "html")):
+        plain = name in ARTICLE or role in ("main", "article")
+        # A word outside any article is doubted: an article within is one, but a named one (a list of comments) stays out.
+        reset = outside and parent.doubted and plain and (not named or name == "main" or role == "main")
+        self.doubted = False
+        if (outside and not reset) or around or (named and not (plain or name in ("body", "html"))):
+            by_word = not around and (not outside or parent.evidence == -WORD)
+            self.evidence = -WORD if by_word else -OUTSIDE
+            self.doubted = by_word and not in_article and (not outside or parent.doubted)
+        elif plain:
             self.evidence = PLAIN
+        elif in_article:
+            self.evidence = parent.evidence
         else:
-            self.evidence = 0.0
+            self.evidence = WORD if words & ARTICLE_WORDS and name not in ("body", "html") else 0.0
 
 
 class Block:
