@@ -105,3 +105,8 @@ def test_large_alphabets():
     assert found.tolist() == [[plain_phrases(t, runs) for t in texts] for _, runs in sample]
     assert letters.tolist() == [180, 180, 13] and learned.tolist() == [180, 180, 12]
     assert [x[0] for x in model.best(texts[:2])] == ["zh", "ko"]
+
+
+def test_sample_size(spark):
+    docs = spark.range(150).selectExpr("id AS doc_id", "concat('some words ', id) AS text", "'en' AS lang")
+    assert [(lang, len(runs)) for lang, runs in language.training_sample(docs, "doc_id", "text", "lang")] == [("en", 96)]
