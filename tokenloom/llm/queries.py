@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import chat, decontaminate, digests, html, jaccard, language, mixing, sharding, templates, warc
+from tokenloom.llm import bytebpe, chat, decontaminate, digests, html, jaccard, language, mixing, sharding, templates, warc
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -61,9 +62,16 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.placed(spark, table(spark, folder, "documents"), SHARDS).select("doc_id", "slot", "shard")
 
 
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = bytebpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = bytebpe.encoded(spark, table(spark, folder, "documents"), vocabulary)
+    return bytebpe.report(bytebpe.decoded(spark, ids, vocabulary))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_templates, op2_language_id, op3_exact_dedup, op4_ngram_jaccard, op5_warc, op6_chat_windows,
-                            op7_main_text, op8_source_mix, op9_decontaminate, op10_sharding)}
+                            op7_main_text, op8_source_mix, op9_decontaminate, op10_sharding,
+                            op11_byte_bpe)}
 
 _OWNERS = sharding.lookup_table(SHARDS)
 
