@@ -34,7 +34,7 @@ from sentencepiece import SentencePieceProcessor
 
 MODEL_BYTES = 1 << 26         # a larger model is an error; 50,000 pieces take 1 MB
 CUTS = 1 << 16                # matches of a text that are held at a time
-REMEMBERED, SHORT = 1 << 17, 48      # matches that a task remembers, and their characters
+REMEMBERED, SHORT = 1 << 18, 48      # matches that a task remembers, and their characters
 FLUSH = 1 << 20               # ids or bytes of an output batch
 
 # --- Fixed values: field numbers and kinds of the public model format --------------------------------------------
@@ -133,8 +133,8 @@ class Coder:
     def letters_of(self, raw: bytes) -> str:
         return raw.decode("latin-1").translate(self._letters)
 
-    def _learn(self, cuts: set[str]) -> dict[str, list[int]]:
-        """Ids of matches that aren't remembered."""
+    def _learn(self, cuts: set[str]) -> dict[str, bytes]:
+        """The ids of each match, as 32-bit numbers one after the other."""
         order = list(cuts)
         written = [self.letters_of(x.encode()) for x in order]
         found = self.model.encode(written, num_threads=1)
@@ -142,18 +142,29 @@ class Coder:
             found = [[self._ids[i] for i in own] for own in found]
         if self._whole:
             found = [[self._whole[w]] if w in self._whole else own for w, own in zip(written, found)]
-        return dict(zip(order, found))
+        return {x: array("i", own).tobytes() for x, own in zip(order, found)}
 
-    def encode(self, text: str) -> array:
-        out, matches = array("i"), self._pattern.finditer(text)
+    def _cuts(self, text: str) -> Iterator[list[str]]:
+        if len(text) <= CUTS:
+            yield self._pattern.findall(text)
+            return
+        matches = self._pattern.finditer(text)
         while cuts := [m[0] for m in islice(matches, CUTS)]:
-            new = self._learn({x for x in cuts if x not in self._seen})
+            yield cuts
+
+    def encode(self, text: str) -> bytes:
+        """The ids as 32-bit numbers."""
+        out = []
+        for cuts in self._cuts(text):
+            distinct = set(cuts)
+            new = distinct.difference(self._seen)
             if len(self._seen) + len(new) > REMEMBERED:
-                new, self._seen = self._learn({x for x in cuts if x not in new}) | new, {}
-            for x in cuts:
-                out.extend(new[x] if x in new else self._seen[x])
-            self._seen.update((x, ids) for x, ids in new.items() if len(x) <= SHORT)
-        return out
+                new, self._seen = distinct, {}
+            self._seen.update(self._learn(new))
+            out.append(b"".join(map(self._seen.__getitem__, cuts)))
+            for x in [x for x in new if len(x) > SHORT]:
+                del self._seen[x]
+        return b"".join(out)
 
     def bytes_of_ids(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each id the place and number of its bytes (-1 where there is none), and all bytes, from the model's pieces."""
@@ -182,13 +193,12 @@ def _encode(shared):
         coder = Coder(shared.value)
         for batch in batches:
             for a, b in _runs(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
-                ids, ends = array("i"), [0]
-                for raw in batch.column(1).slice(a, b - a):
-                    ids.extend(coder.encode((raw.as_py() or b"").decode("utf-8", "replace")))
-                    ends.append(len(ids))
-                values = pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32))
+                texts = [(raw or b"").decode("utf-8", "replace") for raw in batch.column(1).slice(a, b - a).to_pylist()]
+                ids = [coder.encode(text) for text in texts]
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+                values = pa.array(np.frombuffer(b"".join(ids), np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["_id", "ids"])
+                    [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), values)], ["_id", "ids"])
     return encode
 
 

@@ -1,7 +1,7 @@
 """The queries of this package, each over its whole table, and their SQL where DuckDB can express it.
 
-Without SQL are the operators whose results rest on learned models (2, 7), on set similarity over all documents (4),
-or on word windows against all items (9), and those whose point is a file or template round trip (1, 5, 6); their tests
+Without SQL are the operators whose results rest on learned models (2, 7) or on eigenvectors (13), on set similarity over all documents (4),
+or on word windows against all items (9), and those whose point is a file, template or token round trip (1, 5, 6, 11); their tests
 compare them with brute force.
 """
 
@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bytebpe, chat, decontaminate, digests, html, jaccard, language, mixing, sharding, templates, warc
+from tokenloom.llm import bytebpe, chat, decontaminate, digests, html, jaccard, language, manifest, mixing, sharding, statements, templates, warc, whitening
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -68,10 +68,19 @@ def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bytebpe.report(bytebpe.decoded(spark, ids, vocabulary))
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    leaves = manifest.tampered_leaves(table(spark, folder, "documents"))
+    return manifest.verified(manifest.manifest(spark, leaves))
+
+
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.report(spark, table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_templates, op2_language_id, op3_exact_dedup, op4_ngram_jaccard, op5_warc, op6_chat_windows,
                             op7_main_text, op8_source_mix, op9_decontaminate, op10_sharding,
-                            op11_byte_bpe)}
+                            op11_byte_bpe, op12_merkle_manifest, op13_embedding_whitening)}
 
 _OWNERS = sharding.lookup_table(SHARDS)
 
@@ -119,4 +128,5 @@ SQL: dict[str, str] = {
             SELECT doc_id, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15)) AS BIGINT) % {len(_OWNERS)} AS slot
             FROM documents)
         SELECT doc_id, slot::INT AS slot, ({_OWNERS})[slot + 1]::INT AS shard FROM hashed""",
+    "op12_merkle_manifest": statements.MERKLE_MANIFEST,
 }
