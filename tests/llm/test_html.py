@@ -93,3 +93,35 @@ def test_cut_outweighs_elements():
     block = html.blocks("<aside>x y z</aside>")[0]
     gains = round(html.SCALE * (block.element.evidence + html.CLIP))
     assert html.minimum_cut([200, gains, 200], [(0, 1, 32), (1, 2, 32)]) == [True, True, True]
+
+
+def test_attributes_are_read_by_name():
+    """A word within another name or a value says nothing."""
+    body = "<p>The council met on Tuesday, as it does, and decided nothing.</p>"
+    want = "The council met on Tuesday, as it does, and decided nothing."
+    for page in ("<div style=\"overflow:hidden\"><article>{}</article></div>", "<article style='overflow: hidden'>{}</article>",
+                 "<article data-hidden='false'>{}</article>", "<article title='the hidden life'>{}</article>",
+                 "<div data-role='navigation'><article>{}</article></div>", "<article data-class=sidebar id2=nav>{}</article>",
+                 "<article title=\"class='ad' hidden\">{}</article>", "<article aria-hidden=false>{}</article>",
+                 "<article class=story class=hidden-ad>{}</article>", "<article data-x = 'a'class='story'>{}</article>"):
+        assert text(page.format(body)) == want, page
+    for page in ("<article hidden>{}</article>", "<article hidden=''>{}</article>", "<article HIDDEN='until-found'>{}</article>",
+                 "<article aria-hidden = \"TRUE\">{}</article>", "<div title='x' hidden id=a><article>{}</article></div>",
+                 "<div role='navigation'>{}</div>"):
+        assert text(page.format(body)) == "", page
+
+
+def test_pages_without_labelled_elements(spark):
+    """Nothing is learned where no element says what it is; shape and neighbours still find the text."""
+    long = "The council met on Tuesday, as it does, and decided nothing of note about the old bridge. "
+    page = f"<div><p><a>Home</a></p><p><a>News</a></p></div><div><h1>Bridge stays</h1><p>{long * 3}</p><p>Indeed.</p><p>{long * 2}</p></div><div><p><a>Next</a></p></div>"
+    want = f"Bridge stays\n{(long * 3).strip()}\nIndeed.\n{(long * 2).strip()}"
+    pages = spark.createDataFrame([(i, "u", page) for i in range(5)], "page_id bigint, url string, html string")
+    assert {r["text"] for r in html.extracted(spark, pages).collect()} == {want}
+
+
+def test_end_tags_without_a_start_take_no_time():
+    import time
+    start = time.perf_counter()
+    assert text("<article>" + "<div>" * 8000 + "</section>" * 8000 + "x") == "x"
+    assert time.perf_counter() - start < 0.5

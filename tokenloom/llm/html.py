@@ -6,8 +6,9 @@ of the same container, are joined by smoothness edges whose capacity falls with
 The minimum cut, found by maximum flow, separates the article from the rest.
 
 The classifier is a naive Bayes model of a block's shape (length, share of link text, punctuation, tag), learned on the
-blocks of a bounded sample of pages (the ``PAGES`` with the smallest digest of their id) that lie in elements whose
-meaning is plain, plus fixed evidence from those elements themselves.
+blocks of a bounded sample of pages (of the ``PAGES`` ids with the smallest digest) that lie in elements whose
+meaning is plain, plus fixed evidence from those elements themselves.  Before it has learned much, or where no page has such
+elements, it goes by what is usual of text (``PRIOR``).
 
 Defined cases: a null page counts as empty; a page without article text gives an empty text; an unfinished tag at the end
 of a page is dropped, an unfinished comment, script or style too; a script or style never counts as text; end tags
@@ -33,6 +34,11 @@ SCALE = 16                  # capacities are whole numbers of 1/SCALE
 # together (at most CLIP + 3 NEAR) outweigh any of it, shape alone that of a word.
 PLAIN, OUTSIDE, WORD, CLIP = 6.0, 6.5, 3.0, 4.0
 NEAR = 2.0                  # capacity between blocks of one container
+# What shape says before anything is learned (long text, few links, whole sentences), and the blocks that it stands for.
+PRIOR = {"words0": -1.5, "words1": -1.2, "words2": -0.8, "words3": 0.2, "words4": 1.0, "words5": 1.6, "words6": 2.0, "words7": 2.0,
+         "words8": 2.0, "links0": 0.8, "links1": 0.0, "links2": -1.0, "links3": -2.0, "links4": -2.5, "stop": 0.8, "no stop": -0.6,
+         "comma": 0.5, "no comma": -0.2}
+DOUBT = 20
 
 # Elements by meaning.
 BREAKING = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt "
@@ -57,7 +63,7 @@ ARTICLE_WORDS = frozenset("article articlebody content entry main post story".sp
 
 TAG = re.compile(r"""<!--|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*>""")
 UNFINISHED = re.compile(r"<(?:[a-zA-Z/!?][^>]*)?$")
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))?)?""")
 
 
 def name_words(names: str) -> set[str]:
@@ -83,7 +89,9 @@ class Element:
         outside = parent.evidence < 0 if parent else False
         in_article = parent.evidence > 0 if parent else False
         if attributes:
-            found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
+            found: dict[str, str] = {}                      # names and values in order; the first of a name counts
+            for m in ATTRIBUTE.finditer(attributes):
+                found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
             words = name_words(f"{found.get('class', '')} {found.get('id', '')}")
             role = found.get("role", "").lower()
             if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
@@ -124,6 +132,7 @@ def blocks(html: str) -> list[Block]:
     parts: list[tuple[str, bool]] = []
     tag, link, at = "", 0, 0
     hidden: list[str] = []              # open inline elements without text
+    opened: Counter[str] = Counter()    # names of open containers
 
     def end() -> None:
         nonlocal parts
@@ -164,14 +173,17 @@ def blocks(html: str) -> list[Block]:
             link, hidden = 0, []
             if not closing:
                 if name in ENDS_ITSELF and current.name == name and current.parent:
+                    opened[name] -= 1
                     current = current.parent
+                opened[name] += 1
                 current, tag = Element(name, current, attributes), name
-            else:
-                inner: Element | None = current
-                while inner and inner.parent and inner.name != name:
-                    inner = inner.parent
-                if inner and inner.parent and inner.name == name:
-                    current, tag = inner.parent, inner.parent.name
+            elif opened[name]:                          # one that isn't open ends nothing; each element is left once
+                while current.name != name:
+                    opened[current.name] -= 1
+                    current = current.parent
+                opened[name] -= 1
+                current = current.parent
+                tag = current.name
         elif name in BREAKING:
             end()
             if not closing:
@@ -202,11 +214,15 @@ def count_shapes(html: str, counts: Counter) -> None:
 
 
 def weights_of(counts: dict[tuple[str, str], int]) -> dict[str, float]:
-    """Log-odds of content for each feature, add-one smoothed; seen too rarely they say little."""
+    """Log-odds of content for each feature, add-one smoothed, and mixed with ``PRIOR`` as if ``DOUBT`` more blocks had shown it."""
     content, around = counts.get(("content", ""), 0), counts.get(("around", ""), 0)
-    features = {f for _, f in counts if f}
-    return {f: math.log((counts.get(("content", f), 0) + 1) / (content + 2)) - math.log((counts.get(("around", f), 0) + 1) / (around + 2))
-            for f in sorted(features)}
+    out = {}
+    for feature in sorted({f for _, f in counts if f} | set(PRIOR)):
+        own, other = counts.get(("content", feature), 0), counts.get(("around", feature), 0)
+        learned = math.log((own + 1) / (content + 2)) - math.log((other + 1) / (around + 2)) if content and around else 0.0
+        seen = own + other if content and around else 0
+        out[feature] = (seen * learned + DOUBT * PRIOR.get(feature, 0.0)) / (seen + DOUBT)
+    return out
 
 
 def distance(a: Element, b: Element) -> int:
@@ -315,9 +331,10 @@ def learned(pages: DataFrame, id_column: str = "page_id", html_column: str = "ht
     """The classifier; what reaches the driver is one number per feature, of which there are fewer than a hundred."""
     digest = F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("null")))
     rows = pages.select(F.col(html_column).cast("string").alias("html"), digest.alias("digest"))
-    # A few times the pages needed pass by the size of their digest, however many there are; the smallest ones are taken.
+    # Digests alone are put in order, and of them only a few times as many as are needed; pages are read where they lie.
     place = F.conv(F.substring("digest", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    sample = rows.where(place < 4 * PAGES / max(1, pages.count())).orderBy("digest", "html").limit(PAGES)
+    ids = rows.select("digest").where(place < 4 * PAGES / max(1, pages.count())).distinct().orderBy("digest").limit(PAGES)
+    sample = rows.join(F.broadcast(ids), "digest", "left_semi")
     counts = sample.select("html").mapInArrow(_count, "label string, feature string, n bigint").groupBy("label", "feature").agg(F.sum("n").alias("n"))
     return weights_of({(r["label"], r["feature"]): r["n"] for r in counts.collect()})
 
