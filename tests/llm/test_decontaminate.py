@@ -75,3 +75,19 @@ def test_removal(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
     cut = {r["doc_id"]: r["text"] for r in decontaminate.decontaminated(spark, *rows, remove="spans").collect()}
     assert cut == {1: "é before , after", 2: "clean", 3: None}
+
+
+def test_spans_do_not_depend_on_blocks(spark):
+    """An item's windows fall into different blocks, yet the whole passage goes; and so with overlapping items."""
+    w = [f"w{i}" for i in range(30)]
+    items = [(1, " ".join(w[:14])), (2, " ".join(w[8:22])), (3, "x y z")]
+    docs = [(1, f"start {' '.join(w[:14])} end of it"), (2, f"Ä {' , '.join(w[:22])}. é"), (3, "x Y\tz x y z"), (4, None), (5, ""), (6, " ".join(w[9:19]))]
+    frame, bench = frames(spark, docs, items)
+    frame = frame.withColumn("_spans", F.lit(1))
+    want = {1: "start  end of it", 2: "Ä . é", 3: "", 4: None, 5: "", 6: ""}
+    for block in (2, 6, 1 << 18):
+        found = decontaminate.decontaminated(spark, frame, bench, remove="spans", block=block)
+        assert found.columns == frame.columns
+        assert {r["doc_id"]: r["text"] for r in found.collect()} == want, block
+        kept = decontaminate.decontaminated(spark, frame, bench, block=block)
+        assert sorted(r["doc_id"] for r in kept.collect()) == [4, 5]

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.llm.words import WordHasher, hashed_words, letter_words, text_bytes, windows
@@ -66,11 +66,17 @@ def _same(known: np.ndarray, texts: list[bytes], k: int, own: bytes) -> int | No
     return None
 
 
-def _scan(shared, only_hits: bool):
-    def occurrences(by_size: dict, hashes: np.ndarray, bounds: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+class _Scanner:
+    """Looks for the windows in texts; held by a task."""
+
+    def __init__(self, held: list[tuple[bytes, list[str]]]):
+        self._hasher, self._word = WordHasher(letter_words()), re.compile(WORD)
+        self._by_size = _by_size(self._hasher, held)
+
+    def _occurrences(self, hashes: np.ndarray, bounds: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
         """For each row its possible hits: first word, number of words, place of the hash."""
         hits: dict[int, list[tuple[int, int, int]]] = {}
-        for size, (known, _, _) in by_size.items():
+        for size, (known, _, _) in self._by_size.items():
             runs = windows(hashes, size)
             if len(runs):
                 at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
@@ -80,35 +86,40 @@ def _scan(shared, only_hits: bool):
                         hits.setdefault(own, []).append((start - int(bounds[own]), size, int(at[start])))
         return hits
 
+    def rows(self, column: pa.Array, only_hits: bool) -> list[tuple[int, int, int, list[str], list[dict]]]:
+        """Row, words, hit words, items and spans of each text."""
+        data, offsets = text_bytes(column)
+        rows = []
+        for row, hashes, bounds in hashed_words(self._hasher, column):
+            hits = self._occurrences(hashes, bounds)
+            for i in range(len(bounds) - 1):
+                count = int(bounds[i + 1] - bounds[i])
+                if i not in hits:
+                    if not only_hits:
+                        rows.append((row + i, count, 0, [], []))
+                    continue
+                text = bytes(data[offsets[row + i]:offsets[row + i + 1]])
+                places = [m.span() for m in self._word.finditer(text.lower())]       # of bytes, A-Z alone are lowered
+                marked, found, hit = np.zeros(count, bool), set(), False
+                for start, size, k in hits[i]:
+                    known, texts, items = self._by_size[size]
+                    own = b" ".join(text[a:b].lower() for a, b in places[start:start + size])
+                    if (k := _same(known, texts, k, own)) is not None:
+                        marked[start:start + size] = hit = True
+                        found.update(items[k])
+                edges = np.flatnonzero(np.diff(np.r_[False, marked, False].astype(np.int8))).tolist()
+                spans = [{"start": places[a][0], "end": places[b - 1][1], "first_word": a, "words": b - a}
+                         for a, b in zip(edges[::2], edges[1::2])]
+                if hit or not only_hits:
+                    rows.append((row + i, count, int(marked.sum()), sorted(found), spans))
+        return rows
+
+
+def _scan(shared, only_hits: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, word = WordHasher(letter_words()), re.compile(WORD)
-        by_size = _by_size(hasher, shared.value)
+        scanner = _Scanner(shared.value)
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            rows = []
-            for row, hashes, bounds in hashed_words(hasher, batch.column(1)):
-                hits = occurrences(by_size, hashes, bounds)
-                for i in range(len(bounds) - 1):
-                    count = int(bounds[i + 1] - bounds[i])
-                    if i not in hits:
-                        if not only_hits:
-                            rows.append((row + i, count, 0, [], []))
-                        continue
-                    text = bytes(data[offsets[row + i]:offsets[row + i + 1]])
-                    places = [m.span() for m in word.finditer(text.lower())]       # of bytes, A-Z alone are lowered
-                    marked, found = np.zeros(count, bool), set()
-                    for start, size, k in hits[i]:
-                        known, texts, items = by_size[size]
-                        own = b" ".join(text[a:b].lower() for a, b in places[start:start + size])
-                        if (k := _same(known, texts, k, own)) is not None:
-                            marked[start:start + size] = True
-                            found.update(items[k])
-                    edges = np.flatnonzero(np.diff(np.r_[False, marked, False].astype(np.int8))).tolist()
-                    spans = [{"start": places[a][0], "end": places[b - 1][1], "first_word": a, "words": b - a}
-                             for a, b in zip(edges[::2], edges[1::2])]
-                    if found or not only_hits:
-                        rows.append((row + i, count, int(marked.sum()), sorted(found), spans))
-            if rows:
+            if rows := scanner.rows(batch.column(1), only_hits):
                 index, counts, hit, found, spans = zip(*rows)
                 yield pa.record_batch({
                     "_id": batch.column(0).take(pa.array(index, pa.int64())), "n_words": pa.array(counts, pa.int64()),
@@ -172,42 +183,50 @@ def report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def _clean(shared, position: int, whole: bool):
-    """Rows without their hit spans, or without hit rows; used on whole rows, so nothing is joined."""
-    scan = _scan(shared, False)
+def _hit_spans(shared):
+    """Arrow function from texts to the spans to remove; rows themselves never leave the JVM."""
+    def spans(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scanner = _Scanner(shared.value)
+        for column in columns:
+            found: list[list[dict]] = [[]] * len(column)
+            for row, _, _, _, own in scanner.rows(column, True):
+                found[row] = own
+            yield pa.array(found, _SPANS)
+    return F.arrow_udf(spans, SPANS)
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            numbered = pa.record_batch({"_id": pa.array(range(batch.num_rows), pa.int64()), "_text": batch.column(position)})
-            spans = {r["_id"]: r["spans"] for part in scan([numbered]) for r in part.to_pylist() if r["n_hit"]}
-            if whole or not spans:
-                keep = pa.array([i not in spans for i in range(batch.num_rows)], pa.bool_())
-                yield batch.filter(keep)
-                continue
-            texts = batch.column(position).to_pylist()
-            for i, own in spans.items():
-                raw, at, kept = texts[i].encode(), 0, []
-                for span in own:
-                    kept.append(raw[at:span["start"]])
-                    at = span["end"]
-                texts[i] = b"".join([*kept, raw[at:]]).decode()
-            columns = batch.columns
-            columns[position] = pa.array(texts, batch.column(position).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-    return clean
+
+def _without_spans(text: str, spans: str) -> Column:
+    """The text without its spans of bytes; texts without spans as they are."""
+    raw = f"CAST({text} AS BINARY)"
+    return F.expr(
+        f"CASE WHEN size({spans}) = 0 OR {text} IS NULL THEN {text} ELSE CAST(aggregate({_union_of_spans(spans)}, "
+        f"named_struct('at', 0L, 'kept', X''), (acc, x) -> named_struct('at', x.end, 'kept', "
+        f"concat(acc.kept, substring({raw}, CAST(acc.at + 1 AS INT), CAST(x.start - acc.at AS INT)))), "
+        f"acc -> concat(acc.kept, substring({raw}, CAST(acc.at + 1 AS INT)))) AS STRING) END")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = 10, remove: str = "documents",
                    block: int = BLOCK, text_column: str = "text", item_column: str = "item_id",
                    item_text: str = "text") -> DataFrame:
-    """``docs`` without hit documents, or (``remove="spans"``) without the hit spans.  One pass over whole rows for each
-    block of windows; with spans removed a later block sees the text that an earlier one left."""
-    found = Tables(spark).replace("windows", item_windows(benchmark, size, item_column, item_text))
+    """``docs`` without hit documents, or (``remove="spans"``) without the hit spans.
+
+    Each block of windows is a pass over the original texts, written before the next one so that a task holds one block
+    alone; the spans of all blocks are joined and cut out once, so the result does not depend on the blocks.
+    """
+    tables = Tables(spark)
+    found = tables.replace("windows", item_windows(benchmark, size, item_column, item_text))
     weight = found.agg(F.sum(F.size("items") + 1)).first()[0] or 0
     blocks = max(1, -(-weight // block))
+    columns, spans = docs.columns, "_spans"
+    while spans in columns:
+        spans += "_"
+    text = f"`{text_column.replace('`', '``')}`"
+    rows = docs.withColumn(spans, F.expr(f"CAST(array() AS {SPANS})")) if remove == "spans" else docs
     for number in range(blocks):
         own = [(r["window"].encode(), []) for r in
                found.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == number).toLocalIterator()]
-        docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(own), docs.columns.index(text_column),
-                                      remove == "documents"), docs.schema)
-    return docs
+        hits = _hit_spans(spark.sparkContext.broadcast(own))(F.expr(f"CAST({text} AS STRING)"))
+        rows = rows.withColumn(spans, F.concat(spans, hits)) if remove == "spans" else rows.where(F.size(hits) == 0)
+        if blocks > 1:
+            rows = tables.replace("rows", rows)
+    return rows.withColumn(text_column, _without_spans(text, spans)).select(*(f"`{c}`" for c in columns)) if remove == "spans" else rows
