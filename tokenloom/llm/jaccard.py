@@ -38,7 +38,7 @@ RANGES = 1024          # ranges of the 2^32 cells; a reducer holds one of them
 BITS = 16              # bits of the bitmap per range, as a power of two: 2^26 in all
 HEAVY = 1 << 20        # frequent cells that travel to all tasks, 5 bytes each
 LEAST = 4              # cells counted at least 2^LEAST times may be among them
-FLUSH = 1 << 22        # shingles a task gathers before it sends its counts
+FLUSH = 1 << 21        # shingles a task gathers before it sends its counts
 RATIO = 1.03           # sizes within a class
 
 
@@ -192,7 +192,7 @@ def _describe(words: int, percent: int, shared):
                     held += len(raw) if len(places) else 64
                 else:
                     rows.append((None, 0, [], [], None))
-                if held >= 1 << 25:
+                if held >= 1 << 23:
                     yield packed(ids.slice(done, len(rows)), rows)
                     done, rows, held = done + len(rows), [], 0
             if rows:

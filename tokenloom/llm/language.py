@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tokenloom.llm.words import row_runs
+
 DOCUMENTS, RUN = 96, 400       # the bound of the training sample, for each language
 LANGUAGES = 200                # more labels than this are an error
 LETTERS = 0x110000             # code points; all letters of the sample are learned
@@ -258,7 +260,7 @@ def learned(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "
 def _guess(shared, position: int):
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
-        for batch in batches:
+        for batch in (x.slice(a, b - a) for x in batches for a, b in row_runs(x.column(position), SEGMENT)):
             found = model.best(batch.column(position).to_pylist())
             lang, score, letters, learned_letters, _ = zip(*found) if found else ((), (), (), (), ())
             yield pa.record_batch({"_id": batch.column(0), "lang_pred": pa.array(lang, pa.string()),
@@ -282,18 +284,18 @@ def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
         F.col("_id").alias("doc_id"), (remainder(F.col("_id")) == 2).alias("held_out"), "lang_pred", "score")
 
 
-def _accept(shared, position: int, languages: frozenset[str] | None):
-    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _accepts(shared, languages: frozenset[str] | None):
+    """Arrow function from texts to whether they stay; rows themselves never leave the JVM."""
+    def accept(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         parts, limit = shared.value
         model = Model(*parts)
         pointer = dict(zip(model.names, model.bits))
-        for batch in batches:
-            found = model.best(batch.column(position).to_pylist())
+        for column in columns:
             keep = [letters > 0 and (not model.names or 2 * known >= letters and (languages is None or lang in languages)
                                      and fits(bits, letters, limit.get(lang, np.inf), pointer[lang]))
-                    for lang, _, letters, known, bits in found]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-    return accept
+                    for a, b in row_runs(column, SEGMENT) for lang, _, letters, known, bits in model.best(column.slice(a, b - a).to_pylist())]
+            yield pa.array(keep, pa.bool_())
+    return F.arrow_udf(accept, "boolean")
 
 
 def in_known_languages(spark: SparkSession, docs: DataFrame, languages: frozenset[str] | None = None,
@@ -303,4 +305,4 @@ def in_known_languages(spark: SparkSession, docs: DataFrame, languages: frozense
     no language, or one that no labelled text is written in.  Where no row is labelled, all documents with a letter stay."""
     sample = training_sample(docs.where(remainder(F.col("doc_id")) != 2), "doc_id", "text", "lang")
     shared = spark.sparkContext.broadcast((learn(sample).parts(), limits(sample)))
-    return docs.mapInArrow(_accept(shared, docs.columns.index(text_column), languages), docs.schema)
+    return docs.where(_accepts(shared, languages)(F.col(text_column).cast("string")))

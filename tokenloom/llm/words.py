@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE = 1 << 20
 
@@ -88,6 +89,19 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), ends
 
 
+def row_runs(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows (first, end) of about ``size`` bytes, at least one row each."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    first, held = 0, 0
+    for row, length in enumerate(lengths):
+        held += length
+        if held >= size:
+            yield first, row + 1
+            first, held = row + 1, 0
+    if first < len(lengths):
+        yield first, len(lengths)
+
+
 def hashed_words(hasher: WordHasher, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Slices of rows: the first row, the hashes of all words, and the first word of each row with the end of the last."""
     if not len(column):
