@@ -22,6 +22,21 @@ def library(lines, size, alphabet):
     return made
 
 
+def plain_encoding(ids, ranks):
+    """Lowest rank first, the leftmost among equals, one merge at a time."""
+    ids = list(ids)
+    while True:
+        found = [(ranks[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks]
+        if not found:
+            return ids
+        i = min(found)[1]
+        ids[i:i + 2] = [ranks[ids[i], ids[i + 1]][1]]
+
+
+def ranks_of(model):
+    return {(a, b): (r, c) for r, (a, b, c) in reversed(list(enumerate(model.merges)))}
+
+
 def corpus_of(seed, letters):
     rnd = random.Random(seed)
     alphabet = cd.ALPHABET[:letters]
@@ -39,9 +54,8 @@ def test_training_equals_the_library(trained, spark):
     alphabet, lines, _, model = trained
     other = library(lines, 30, alphabet)
     assert {t: i for i, t in enumerate(model.tokens)} == other.get_vocab()
-    ranks = {(a, b): (r, c) for r, (a, b, c) in reversed(list(enumerate(model.merges)))}
     for line in lines:
-        assert bpe.apply_merges([2 + alphabet.index(c) for c in line], ranks) == other.encode(line).ids
+        assert plain_encoding([2 + alphabet.index(c) for c in line], ranks_of(model)) == other.encode(line).ids
 
 
 def test_tiny_alphabets(spark):
@@ -87,7 +101,7 @@ def test_changes_equal_a_recount():
     for _ in range(60):
         words = [[rnd.randrange(4) for _ in range(rnd.randrange(1, 20))] for _ in range(6)]
         counts = [rnd.randrange(1, 5) for _ in words]
-        batch = [(rnd.randrange(4), rnd.randrange(4), new) for new in (7, rnd.choice([2, 8]))]
+        batch = [(rnd.randrange(4), rnd.randrange(4), new) for new in (7, rnd.choice([2, 8]), 9)] + [(7, rnd.randrange(4), 10)]
 
         def pairs(found):
             out = Counter()
@@ -96,24 +110,70 @@ def test_changes_equal_a_recount():
                     out[pair] += n
             return out
 
-        merged = []
-        for word in words:
-            for left, right, new in batch:
+        table = bpe.PairTable(batch)
+        numbers = dict(zip(table.codes.tolist(), table.numbers.tolist()))
+        chain = bpe.Chain(np.array([x for word in words for x in [*word, bpe.GAP]], np.int32), table)
+        for left, right, new in batch:
+            merged = []
+            for word in words:
                 i, out = 0, []
                 while i < len(word):
                     pair = word[i:i + 2] == [left, right]
                     out.append(new if pair else word[i])
                     i += 1 + pair
-                word = out
-            merged.append(word)
-        expected = pairs(merged)
-        expected.subtract(pairs(words))
-        flat = np.array([x for word in words for x in [*word, bpe.GAP]], np.int32)
-        found = Counter()
-        for codes, weights in bpe.changes_of(flat, np.array(counts), batch):
-            for code, weight in zip(codes.tolist(), weights.tolist()):
-                found[code >> 32, code & 0xFFFFFFFF] += weight
-        assert {k: v for k, v in found.items() if v} == {k: v for k, v in expected.items() if v}
+                merged.append(out)
+            expected = pairs(merged)
+            expected.subtract(pairs(words))
+            codes, weights = bpe.changes_of(chain, np.array(counts), numbers[left << 32 | right], (left, right, new))
+            found = {(code >> 32, code & 0xFFFFFFFF): weight for code, weight in zip(codes.tolist(), weights.tolist())}
+            assert found == {k: v for k, v in expected.items() if v}
+            words = merged
+            assert chain.live().tolist() == [x for word in words for x in [*word, bpe.GAP]]
+
+
+def test_encoder_against_one_merge_at_a_time():
+    """Also for models whose merges give old ids, in which a later merge may make a pair of lower rank."""
+    rnd = random.Random(4)
+    for reuse in (False, True):
+        for _ in range(40):
+            merges, known = [], list(range(2, 6))
+            for k in range(8):
+                new = rnd.choice(known[4:]) if reuse and k and rnd.random() < 0.4 else 6 + k
+                merges.append((rnd.choice(known), rnd.choice(known), new))
+                known.append(new)
+            model = bpe.BpeModel([], merges)
+            words = [[rnd.randrange(2, 6) for _ in range(rnd.randrange(0, 25))] for _ in range(7)]
+            expected = [plain_encoding(w, ranks_of(model)) for w in words]
+            found = [x for part in bpe._Encoder(merges).lists(["".join(map(bpe.symbol, w)) for w in words]) for x in part.to_pylist()]
+            assert found == expected
+            cut = [x for part in bpe._Encoder(merges).lists(["".join(map(bpe.symbol, w)) for w in words], 3) for x in part.to_pylist()]
+            assert cut == [w[:3] for w in found]
+
+
+def test_training_with_few_pairs_in_the_driver(spark, monkeypatch):
+    """Whatever is held, guessed and written in between, the merges are the library's."""
+    alphabet, lines = corpus_of(11, 6)
+    df = spark.createDataFrame([(x,) for x in lines], "unicode string")
+    want = library(lines, 60, alphabet).get_vocab()
+    for held, guesses, keep in ((3, 16, 4), (8, 1, 100), (1 << 18, 16, 3)):
+        monkeypatch.setattr(bpe, "HELD", held)
+        monkeypatch.setattr(bpe, "GUESSES", guesses)
+        model = bpe.train(bpe.word_counts(df), 60, alphabet, keep_steps=keep)
+        assert {t: i for i, t in enumerate(model.tokens)} == want, (held, guesses, keep)
+        assert sum(r.merges for r in model.rounds) == len(model.merges) and max(r.merges for r in model.rounds) <= guesses
+
+
+def test_rounds_read_only_parts_that_hold_a_pair(spark):
+    """Words of one alphabet per part: later merges of one of them open its parts alone."""
+    rnd = random.Random(2)
+    alphabet = cd.ALPHABET[:16]
+    lines = ["".join(rnd.choice(alphabet[k:k + 2]) for _ in range(12)) for k in range(0, 16, 2) for _ in range(12)]
+    df = spark.createDataFrame([(x,) for x in lines], "unicode string")
+    model = bpe.train(bpe.word_counts(df), 2 + 16 + 60, alphabet, keep_steps=5)
+    assert {t: i for i, t in enumerate(model.tokens)} == library(lines, 78, alphabet).get_vocab()
+    assert min(r.parts for r in model.rounds) < max(r.parts for r in model.rounds) <= 8
+    sizes = {r.parts: r.bytes for r in model.rounds}
+    assert sizes[min(sizes)] < sizes[max(sizes)]
 
 
 def test_sweep_and_totals(trained, spark):

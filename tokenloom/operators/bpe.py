@@ -1,23 +1,26 @@
 """Byte-pair vocabulary learned exactly on distributed lines, and its application.
 
-Training state is a table of blocks of distinct words (ids, ends, counts), and the counts of adjacent pairs, which the
-driver holds: their number depends on the vocabulary, not on the corpus, and is checked.  Each round takes as many merges
-from the pair ranking as are certain, and is one job: every block applies them by array operations and sends only how
-the pairs around the merged places change.  For application a symbol is one code point, U+F0000 + id.
-
-Why several merges per round are certain: take the longest head of the ranking in which no pair shares a symbol
-with an earlier one.  A pair created by one of these merges occurs at most as often as an old pair that shares a
-symbol with it; that old pair ranks below the head, and at equal counts the new id, being the largest, ranks last.
+Training state is a table of blocks of distinct words (ids, ends, counts) in parts, and a ranking of adjacent pairs in the
+driver.  The ranking is an inverted index: with a pair's count it knows the parts that may hold it, and both are kept
+current from the changes.  A round guesses the next merges from the ranking and reads the parts that hold one of them; there
+each merge costs as much as it has places, and what it adds to and takes from the pair counts comes back step by step.
+The driver replays the steps: a guess stands as long as the counts, after all steps before it, have it in the first place.
+So the result is that of one merge after another, for any guesses.
+
+The driver holds the ``HELD`` best pairs.  Counts of old pairs never grow and new pairs come with their whole count, so
+what is left in the table can win only when all that is held ranks behind it; then the pairs are counted again.
+
+For application merges are applied in rank order to many words at a time.  A symbol is one code point, U+F0000 + id.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,20 +36,33 @@ MIN_FREQUENCY = 2
 # ---------------------------------------------------------------------------------------------------------------
 SYMBOL_START = 0xF0000
 MAX_SYMBOLS = 0x10FFFF - SYMBOL_START + 1
-MAX_PAIRS = 1 << 23        # distinct pairs held by the driver while training; more are an error
-REMEMBERED = 1 << 24       # characters of pieces that a task remembers while encoding
+HELD = 1 << 18             # pairs in the driver while training; all others stay in a table
+PARTS = 256                # most parts of the words while training, a bit each in the index
+PART = 1 << 19             # characters of a part, up to that number of parts
+GUESSES = 16               # most merges of a round; fewer after rounds in which few stood
+BLOCK = 1 << 19            # symbols that are merged at a time
 
 
 def symbol(token_id: int) -> str:
     return chr(SYMBOL_START + token_id)
 
 
+@dataclass
+class Round:
+    """What a round of training did: merges that stood, parts and bytes that it read."""
+
+    merges: int
+    parts: int
+    bytes: int
+
+
 @dataclass
 class BpeModel:
     """Vocabulary in id order and merges in rank order; at most ``MAX_SYMBOLS`` entries, so safe to ship."""
 
     tokens: list[str]
     merges: list[tuple[int, int, int]] = field(default_factory=list)
+    rounds: list[Round] = field(default_factory=list, compare=False)      # of training, in order
 
     @property
     def alphabet(self) -> list[str]:
@@ -130,255 +146,490 @@ def to_symbols(text: Column, model: BpeModel) -> Column:
     return F.translate(text, "".join(letters), "".join(symbol(start + i) for i in range(len(letters))))
 
 
+# --- Merging ----------------------------------------------------------------------------------------------------
+GAP, DEAD = -1, -2         # stand after a word, and where a symbol went into the one before it
+Merge = tuple[int, int, int]
+
+
+class PairTable:
+    """Numbers of pairs, found by both ids; the first of equal pairs counts."""
+
+    def __init__(self, merges: Sequence[Merge]):
+        numbers = {left << 32 | right: number for number, (left, right, _) in reversed(list(enumerate(merges)))}
+        codes = np.array(sorted(numbers), np.int64)
+        self.codes, self.numbers = codes, np.array([numbers[c] for c in codes.tolist()], np.int64)
+        most = max((max(m) for m in merges), default=0)
+        self.is_left, self.is_right = np.zeros(most + 3, bool), np.zeros(most + 3, bool)     # GAP and DEAD index the last two
+        self.is_left[codes >> 32] = self.is_right[codes & 0xFFFFFFFF] = True
+        self.most = most
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pairs are in the table, and their numbers."""
+        if not len(self.codes):
+            return np.zeros(0, np.int64), self.numbers
+        may = np.flatnonzero(self.is_left[np.minimum(left, self.most + 1)] & self.is_right[np.minimum(right, self.most + 1)])
+        codes = (left[may].astype(np.int64) << 32) | right[may]
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        found = self.codes[at] == codes
+        return may[found], self.numbers[at[found]]
+
+
+class Chain:
+    """Words of ids, a gap after each, as a linked list: a merge visits only its own places."""
+
+    def __init__(self, ids: np.ndarray, table: PairTable):
+        self.ids = ids.astype(np.int32)
+        self.next = np.arange(1, len(ids) + 1, dtype=np.int32)
+        self.before = np.arange(-1, len(ids) - 1, dtype=np.int32)      # -1, before the first, is the last gap
+        self.word = np.cumsum(np.r_[0, ids[:-1] == GAP], dtype=np.int32) if len(ids) else np.zeros(0, np.int32)
+        self._table, self._places = table, {}
+        self.waiting: list[int] = []                                   # numbers of pairs that have places, smallest first
+        if len(ids) > 1:
+            self._note(np.arange(len(ids) - 1, dtype=np.int32), self.ids[:-1], self.ids[1:])
+
+    def _note(self, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+        found, numbers = self._table.find(left, right)
+        if len(found):
+            order = np.argsort(numbers, kind="stable")
+            numbers, at = numbers[order], at[found[order]]
+            first = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]])
+            for number, own in zip(numbers[first].tolist(), np.split(at, first[1:])):
+                self._put(number, own)
+
+    def _put(self, number: int, at: np.ndarray) -> None:
+        held = self._places.setdefault(number, [])
+        if not held:
+            heapq.heappush(self.waiting, number)
+        held.append(at)
+
+    def merge(self, number: int, merge: Merge, changes: list | None = None, one_per_word: bool = False) -> np.ndarray:
+        """Replace the pair, leftmost first (with ``one_per_word`` the first in each word), and return its places.  ``changes``
+        gets the pairs that went and came: where they begin, left, right (arrays or one id), sign."""
+        left, right, new = merge
+        held = self._places.pop(number, [])
+        at = held[0] if len(held) == 1 else np.unique(np.concatenate(held)) if held else np.zeros(0, np.int32)
+        at = at[self.ids[at] == left]
+        follow = self.next[at]
+        there = self.ids[follow] == right
+        at, follow = at[there], follow[there]
+        if left == right and len(at) > 1:                              # of a run of equal ids every other pair
+            first = np.r_[True, follow[:-1] != at[1:]]
+            run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+            keep = (np.arange(len(at)) - run) % 2 == 0
+            at, follow = at[keep], follow[keep]
+        if one_per_word and len(at):
+            first = np.r_[True, self.word[at[1:]] != self.word[at[:-1]]]
+            if not first.all():
+                self._put(number, at[~first])
+            at, follow = at[first], follow[first]
+        if not len(at):
+            return at
+        beyond, before = self.next[follow], self.before[at]
+        apart = np.r_[True, before[1:] != follow[:-1]]                 # else the place before lies in the merge before
+        before = before[apart]
+        before = before[self.ids[before] >= 0]                         # -1 is the last gap
+        led = self.ids[before]
+        if changes is not None:
+            changes.append((at, left, right, -1))
+            changes.append((before, led, left, -1))
+            inside = self.ids[beyond] >= 0
+            changes.append((follow[inside], right, self.ids[beyond[inside]], -1))
+        self.ids[at], self.ids[follow] = new, DEAD
+        self.next[at], self.before[beyond] = beyond, at
+        follows = self.ids[beyond]
+        inside = follows >= 0
+        place, follows = at[inside], follows[inside]
+        if changes is not None:
+            changes.append((before, led, new, 1))
+            changes.append((place, new, follows, 1))
+        self._note(before, led, np.full(len(led), new, np.int32))
+        self._note(place, np.full(len(place), new, np.int32), follows)
+        return at
+
+    def pairs(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        """All pairs, as changes."""
+        at = np.flatnonzero(self.ids >= 0)
+        right = self.ids[self.next[at]]
+        at, right = at[right >= 0], right[right >= 0]
+        return [(at, self.ids[at], right, 1)]
+
+    def live(self) -> np.ndarray:
+        return self.ids[self.ids != DEAD]
+
+
+def flat_ids(words: list[str]) -> np.ndarray:
+    """Ids of words of symbols, a gap after each; what is no symbol is unknown."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    codes = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le"), np.uint32).astype(np.int64) - SYMBOL_START
+    ids = np.where(codes < 0, UNKNOWN_ID, codes).astype(np.int32)
+    ids[np.cumsum(sizes + 1) - 1] = GAP
+    return ids
+
+
+def _runs(words: list[str | None]) -> Iterator[list[str]]:
+    """Words in runs of about ``BLOCK`` symbols; null counts as empty."""
+    run, held = [], 0
+    for word in words:
+        run.append(word or "")
+        held += len(run[-1]) + 1
+        if held >= BLOCK:
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
+
+
 # --- Training ---------------------------------------------------------------------------------------------------
 class _Ranking:
-    """Pair counts, best first: count descending, then left and right id.  Outdated heap entries are skipped."""
+    """Counts and parts of the pairs that the driver holds, best first: count descending, then left and right id.
+
+    ``bound`` ranks before all pairs that it lacks (None: it lacks none).  Outdated heap entries are skipped.
+    """
 
     def __init__(self):
-        self.counts: dict[tuple[int, int], int] = {}
-        self._heap: list[tuple[int, tuple[int, int]]] = []
-
-    def pop(self, min_frequency: int) -> tuple[int, tuple[int, int]] | None:
-        while self._heap and -self._heap[0][0] >= min_frequency:
-            negative, pair = heapq.heappop(self._heap)
-            if self.counts.get(pair) == -negative:
-                return -negative, pair
-        return None
-
-    def push(self, count: int, pair: tuple[int, int]) -> None:
-        heapq.heappush(self._heap, (-count, pair))
-
-    def update(self, changes: DataFrame) -> None:
-        """Add (left_id, right_id, cnt); after the first time at most a few times the symbols for each merge of a round."""
-        summed = changes.groupBy("left_id", "right_id").agg(F.sum("cnt").alias("cnt")).where("cnt != 0")
-        rows = summed.limit(MAX_PAIRS + 1).collect()
-        for left, right, change in rows:
-            count = self.counts.pop((left, right), 0) + change
-            if count > 0:
-                self.counts[left, right] = count
-                self.push(count, (left, right))
-        if max(len(rows), len(self.counts)) > MAX_PAIRS:
-            raise ValueError(f"more than {MAX_PAIRS} distinct pairs")
-
-
-def _certain_merges(ranking: _Ranking, min_frequency: int, model: BpeModel, known: dict[str, int],
-                    room: int) -> list[tuple[int, int, int]]:
-    """The head of the ranking that can be merged without counting again."""
-    batch, used, size = [], set(), len(model.tokens)
-    while found := ranking.pop(min_frequency):
-        left, right = found[1]
+        self.counts: dict[int, int] = {}
+        self.parts: dict[int, int] = {}
+        self.bound: tuple[int, int] | None = None
+        self._heap: list[tuple[int, int]] = []
+
+    def load(self, pairs: DataFrame) -> None:
+        """Hold the best of all pairs."""
+        self.__init__()
+        total = pairs.count()
+        if total > HELD:                                # put in order only a little more than what is held
+            level = F.floor(F.log(F.col("cnt").cast("double")) * 16)
+            sizes = sorted(((r["level"], r["count"]) for r in pairs.groupBy(level.alias("level")).count().collect()), reverse=True)
+            least, held = None, 0
+            for least, size in sizes:
+                held += size
+                if held >= HELD:
+                    break
+            pairs = pairs.where(level >= least).orderBy(F.desc("cnt"), "left_id", "right_id").limit(HELD)
+        self.add(pairs.toArrow())
+        if total > HELD:
+            self.bound = max((-n, code) for code, n in self.counts.items())
+
+    def add(self, changes: pa.Table) -> None:
+        """Changes of counts; a new pair that ranks behind the bound stays in the table."""
+        code = (changes["left_id"].to_numpy().astype(np.int64) << 32) | changes["right_id"].to_numpy()
+        masks = [changes[f"m{k}"].to_numpy().astype(np.uint64).tolist() for k in range(PARTS // 64)]
+        for pair, change, *own in zip(code.tolist(), changes["cnt"].to_pylist(), *masks):
+            count = self.counts.pop(pair, 0) + change
+            if count > 0 and (self.bound is None or (-count, pair) <= self.bound):
+                self.counts[pair] = count
+                self.parts[pair] = self.parts.get(pair, 0) | sum(m << 64 * k for k, m in enumerate(own))
+                heapq.heappush(self._heap, (-count, pair))
+            else:
+                self.parts.pop(pair, None)
+        if len(self.counts) > 2 * HELD:
+            kept = heapq.nsmallest(HELD, ((-n, pair) for pair, n in self.counts.items()))
+            self.bound = kept[-1]
+            self.counts = {pair: -n for n, pair in kept}
+            self.parts = {pair: self.parts[pair] for _, pair in kept}
+            self._heap = kept                                          # sorted, so it is a heap
+
+    def head(self, n: int, min_frequency: int) -> list[int]:
+        """The best pairs, at most n; none of the missing ones ranks before them."""
+        out = []
+        while self._heap and len(out) < n:
+            entry = self._heap[0]
+            if self.counts.get(entry[1]) != -entry[0] or (out and out[-1] == entry):
+                heapq.heappop(self._heap)
+            elif -entry[0] < min_frequency:
+                break
+            else:
+                out.append(heapq.heappop(self._heap))
+        for entry in out:
+            heapq.heappush(self._heap, entry)
+        return [pair for _, pair in out]
+
+
+def _guessed(ranking: _Ranking, model: BpeModel, known: dict[str, int], min_frequency: int, most: int) -> list[Merge]:
+    """The next merges if no count changed, at most so many.  One that gives an old id is the last: pairs with it may grow."""
+    batch: list[Merge] = []
+    names = {}
+    for pair in ranking.head(most, min_frequency):
+        left, right = pair >> 32, pair & 0xFFFFFFFF
         text = model.tokens[left] + model.tokens[right]
-        alone = left == right or text in known
-        if batch and (alone or left in used or right in used or len(batch) >= room):
-            ranking.push(*found)
-            break
-        new = known.get(text, size + len(batch))
-        batch.append((left, right, new))
-        used |= {left, right}
-        known.setdefault(text, new)
-        if alone:
+        old = known.get(text, names.get(text))
+        batch.append((left, right, len(model.tokens) + len(names) if old is None else old))
+        if old is not None:
             break
+        names[text] = batch[-1][2]
     return batch
 
 
-GAP = -1        # stands between words
-BLOCK_TABLE = "ids binary, counts binary"
-CHANGES = "left_id int, right_id int, cnt bigint"
+BLOCK_TABLE = "part int, size bigint, ids binary, counts binary"
+CHANGES = "step int, left_id int, right_id int, cnt bigint, part int"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of symbols as one array of ids, a gap after each word."""
+    """Words of symbols as arrays of ids."""
     for batch in batches:
-        codes = [np.frombuffer((w + "\0").encode("utf-32-le"), np.uint32) for w in batch.column(0).to_pylist()]
-        ids = np.concatenate(codes).astype(np.int64) - SYMBOL_START if codes else np.zeros(0, np.int64)
-        ids[ids == -SYMBOL_START] = GAP
-        ids[ids < GAP] = UNKNOWN_ID
-        yield _block(ids.astype(np.int32), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64))
-
-
-def _block(ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch({"ids": pa.array([ids.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
-
+        counts, at = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), 0
+        for run in _runs(batch.column(0).to_pylist()):          # none in an empty batch
+            yield _block(batch.column(2)[0].as_py(), flat_ids(run), counts[at:at + len(run)])
+            at += len(run)
 
-def merge_once(ids: np.ndarray, left: int, right: int, new: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids with each pair replaced, leftmost first, and the places (before) that were replaced."""
-    places = np.flatnonzero((ids[:-1] == left) & (ids[1:] == right))
-    if left == right and len(places):                        # of a run of equal ids every other pair
-        first = np.r_[True, np.diff(places) != 1]
-        run = np.maximum.accumulate(np.where(first, np.arange(len(places)), 0))
-        places = places[(np.arange(len(places)) - run) % 2 == 0]
-    if not len(places):
-        return ids, places
-    out = ids.copy()
-    out[places] = new
-    return np.delete(out, places + 1), places
 
+def _block(part: int, ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch({"part": pa.array([part], pa.int32()), "size": pa.array([ids.nbytes + counts.nbytes], pa.int64()),
+                            "ids": pa.array([ids.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
 
-def _weighted(ids: np.ndarray, at: np.ndarray, counts: np.ndarray, word_of: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and weights of the pairs that begin at the places, without those over a gap."""
-    at = at[(ids[at] != GAP) & (ids[at + 1] != GAP)]
-    return (ids[at].astype(np.int64) << 32) | ids[at + 1], sign * counts[word_of[at]]
 
-
-def _word_of(ids: np.ndarray) -> np.ndarray:
-    return np.cumsum(np.r_[0, ids[:-1] == GAP]) if len(ids) else np.zeros(0, np.int64)
+def _chains(batches: Iterator[pa.RecordBatch], merges: Sequence[Merge], done: int) -> Iterator[tuple[int, Chain, np.ndarray]]:
+    """Part, words with the first ``done`` merges applied, and counts of each block."""
+    table = PairTable(merges)
+    number = {pair: n for pair, n in zip(table.codes.tolist(), table.numbers.tolist())}
+    steps = [(number[left << 32 | right], (left, right, new)) for left, right, new in merges[:done]]
+    for batch in batches:
+        for part, ids, counts in zip(batch.column("part").to_pylist(), batch.column("ids"), batch.column("counts")):
+            chain = Chain(np.frombuffer(ids.as_buffer(), np.int32), table)
+            for step in steps:
+                chain.merge(*step)
+            yield part, chain, np.frombuffer(counts.as_buffer(), np.int64)
+
+
+def changes_of(chain: Chain, counts: np.ndarray, number: int, merge: Merge) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the pairs whose count a merge changes, and by how much."""
+    found: list = []
+    chain.merge(number, merge, found)
+    return _summed(chain, counts, found)
+
+
+def _summed(chain: Chain, counts: np.ndarray, changes: list) -> tuple[np.ndarray, np.ndarray]:
+    """Changes by pair; where one side is a single id the other one is its bin."""
+    codes, totals = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at, left, right, sign in changes:
+        weights = sign * counts[chain.word[at]]
+        if not len(at):
+            continue
+        if np.ndim(left) and np.ndim(right):
+            own, place = np.unique((left.astype(np.int64) << 32) | right, return_inverse=True)
+            codes.append(own)
+            total = np.zeros(len(own), np.int64)
+            np.add.at(total, place, weights)
+            totals.append(total)
+        elif np.ndim(left) or np.ndim(right):
+            other = left if np.ndim(left) else right
+            total = np.zeros(int(other.max()) + 1, np.int64)
+            np.add.at(total, other, weights)
+            own = np.flatnonzero(total)
+            codes.append(own << 32 | right if np.ndim(left) else left << 32 | own)
+            totals.append(total[own])
+        else:
+            codes.append(np.array([left << 32 | right]))
+            totals.append(np.array([weights.sum()]))
+    pairs, place = np.unique(np.concatenate(codes), return_inverse=True)
+    total = np.zeros(len(pairs), np.int64)
+    np.add.at(total, place, np.concatenate(totals))
+    return pairs[total != 0], total[total != 0]
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    codes, weights = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in (0, 1))
-    pairs, place = np.unique(codes, return_inverse=True)
-    total = np.zeros(len(pairs), np.int64)
-    np.add.at(total, place, weights)
-    return pa.record_batch({"left_id": pa.array((pairs >> 32).astype(np.int32)), "right_id": pa.array((pairs & 0xFFFFFFFF).astype(np.int32)),
-                            "cnt": pa.array(total)})
-
-
-def changes_of(ids: np.ndarray, counts: np.ndarray, batch: Sequence[tuple[int, int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """What the merges take from and add to the pair counts: pairs that touch a merged place, before and after."""
-    parts = []
-    for merge in batch:
-        merged, places = merge_once(ids, *merge)
-        if len(places):
-            old = np.unique(np.concatenate([places - 1, places, places + 1]))
-            own = places - np.arange(len(places))                       # the same places after
-            new = np.unique(np.concatenate([own - 1, own]))
-            parts.append(_weighted(ids, old[(old >= 0) & (old < len(ids) - 1)], counts, _word_of(ids), -1))
-            parts.append(_weighted(merged, new[(new >= 0) & (new < len(merged) - 1)], counts, _word_of(merged), 1))
-            ids = merged
-    return parts
-
-
-def _read(batches: Iterator[pa.RecordBatch], pending: Sequence[tuple[int, int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for batch in batches:
-        for ids, counts in zip(batch.column(0), batch.column(1)):
-            ids = np.frombuffer(ids.as_buffer(), np.int32)
-            for merge in pending:
-                ids = merge_once(ids, *merge)[0]
-            yield ids, np.frombuffer(counts.as_buffer(), np.int64)
+def _changed(step: int, part: int, pairs: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch({
+        "step": pa.array(np.full(len(pairs), step, np.int32)), "left_id": pa.array((pairs >> 32).astype(np.int32)),
+        "right_id": pa.array((pairs & 0xFFFFFFFF).astype(np.int32)), "cnt": pa.array(total), "part": pa.array(np.full(len(pairs), part, np.int32))})
 
 
-def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, counts in _read(batches, ()):
-        if len(ids) > 1:
-            yield _summed([_weighted(ids, np.arange(len(ids) - 1), counts, _word_of(ids), 1)])
+def _all_pairs(pending: Sequence[Merge]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, chain, counts in _chains(batches, pending, len(pending)):
+            yield _changed(0, part, *_summed(chain, counts, chain.pairs()))
+    return run
 
 
-def _changed_pairs(pending: Sequence[tuple[int, int, int]], batch: Sequence[tuple[int, int, int]]):
+def _step_changes(pending: Sequence[Merge], batch: Sequence[Merge]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, counts in _read(batches, pending):
-            yield _summed(changes_of(ids, counts, batch))
+        merges = [*pending, *batch]
+        table = PairTable(merges)
+        number = dict(zip(table.codes.tolist(), table.numbers.tolist()))
+        for part, chain, counts in _chains(batches, merges, len(pending)):
+            for step, merge in enumerate(batch):
+                pairs, total = changes_of(chain, counts, number[merge[0] << 32 | merge[1]], merge)
+                if len(pairs):
+                    yield _changed(step, part, pairs, total)
     return run
 
 
-def _merged_blocks(pending: Sequence[tuple[int, int, int]]):
+def _merged_blocks(pending: Sequence[Merge]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, counts in _read(batches, pending):
-            yield _block(ids, counts)
+        for part, chain, counts in _chains(batches, pending, len(pending)):
+            yield _block(part, chain.live(), counts)
     return run
 
 
+def _bits(mask: int) -> list[int]:
+    return [part for part in range(PARTS) if mask >> part & 1]
+
+
+class _Words:
+    """The blocks: versions of parts, each part read from the last one that has it."""
+
+    def __init__(self, words: DataFrame, parts: int):
+        self._tables = Tables(words.sparkSession)
+        ranged = words.repartitionByRange(parts, "word").withColumn("part", F.spark_partition_id())
+        blocks = self._tables.replace("blocks", ranged.mapInArrow(_blocks, BLOCK_TABLE), "part")
+        self._versions, self._sizes, self._deltas = [(blocks, (1 << PARTS) - 1)], {}, 0
+        self._measure(blocks)
+
+    def _measure(self, blocks: DataFrame) -> None:
+        self._sizes.update((r["part"], r["size"]) for r in blocks.groupBy("part").agg(F.sum("size").alias("size")).collect())
+
+    def bytes_of(self, mask: int) -> int:
+        return sum(size for part, size in self._sizes.items() if mask >> part & 1)
+
+    def all_parts(self) -> int:
+        return sum(1 << part for part in self._sizes)
+
+    def read(self, mask: int) -> DataFrame:
+        """The blocks of these parts; other folders are not opened."""
+        own = [blocks.where(F.col("part").isin(_bits(mask & held))) for blocks, held in self._versions if mask & held]
+        return reduce(DataFrame.unionByName, own) if own else self._versions[0][0].limit(0)
+
+    def changes(self, mask: int, run) -> DataFrame:
+        """Summed changes, and the parts of each pair as bits."""
+        rows = self.read(mask).select("part", "ids", "counts").mapInArrow(run, CHANGES)
+        bit = F.expr("shiftleft(1L, part % 64)")
+        masks = [F.bit_or(F.when(F.floor(F.col("part") / 64) == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"m{k}") for k in range(PARTS // 64)]
+        return rows.groupBy("step", "left_id", "right_id").agg(F.sum("cnt").alias("cnt"), *masks)
+
+    def apply(self, pending: Sequence[Merge], mask: int) -> None:
+        """Write the parts that hold one of the merged pairs again; most of them, and the others are copied too."""
+        mask &= self.all_parts()
+        whole = 2 * mask.bit_count() > len(self._sizes) or len(self._versions) > 3
+        merged = self.read(self.all_parts() if whole else mask).select("part", "ids", "counts").mapInArrow(_merged_blocks(tuple(pending)), BLOCK_TABLE)
+        if whole:
+            blocks = self._tables.replace("blocks", merged, "part")
+            for number in range(self._deltas):
+                self._tables.drop(f"delta{number}")
+            self._versions, self._deltas = [(blocks, (1 << PARTS) - 1)], 0
+        else:
+            blocks = self._tables.replace(f"delta{self._deltas}", merged, "part")
+            self._versions, self._deltas = [(b, held & ~mask) for b, held in self._versions] + [(blocks, mask)], self._deltas + 1
+        self._measure(blocks)
+
+    def pairs(self, pending: Sequence[Merge]) -> DataFrame:
+        """All pairs, counted in full and written."""
+        return self._tables.replace("pairs", self.changes(self.all_parts(), _all_pairs(tuple(pending))))
+
+    def delete(self) -> None:
+        self._tables.delete()
+
+
 def train(words: DataFrame, vocab_size: int = TARGET_SIZE, initial_alphabet: Sequence[str] = tuple(cd.ALPHABET),
-          min_frequency: int = MIN_FREQUENCY, keep_steps: int = 24) -> BpeModel:
+          min_frequency: int = MIN_FREQUENCY, keep_steps: int = 48) -> BpeModel:
     """Learn merges until the vocabulary is full or no pair occurs ``min_frequency`` times.
 
-    ``words`` is (word, n).  ``keep_steps`` is how many merges may be pending before the blocks are written again with
-    them applied.
+    ``words`` is (word, n).  ``keep_steps`` is how many merges may be pending before the blocks that they change are written
+    again.
     """
     if vocab_size > MAX_SYMBOLS:
         raise ValueError(f"at most {MAX_SYMBOLS} entries fit the symbol range")
+    tables = Tables(words.sparkSession)
+    words = tables.replace("words", words.select("word", F.col("n").cast("bigint").alias("n")))      # read several times
+    size = words.agg(F.sum(F.length("word"))).first()[0] or 0
     model = BpeModel([*SPECIAL_TOKENS, *corpus_alphabet(words, initial_alphabet)])
     known = {t: i for i, t in enumerate(model.tokens)}
-    tables = Tables(words.sparkSession)
-    spread = words.select(to_symbols(F.col("word"), model).alias("word"), F.col("n").cast("bigint").alias("n"))
-    base = tables.replace("blocks", spread.mapInArrow(_blocks, BLOCK_TABLE))
+    held = _Words(words.select(to_symbols(F.col("word"), model).alias("word"), "n"), min(PARTS, max(8, size // PART)))
     ranking = _Ranking()
-    ranking.update(base.mapInArrow(_all_pairs, CHANGES))
-    pending: list[tuple[int, int, int]] = []
+    ranking.load(held.pairs(()))
+    pending: list[Merge] = []
+    stood = 1
+    changed, fresh, reused = 0, True, False    # parts with pending merges; the ranking was just loaded; the last merge gave an old id
     while len(model.tokens) < vocab_size:
-        batch = _certain_merges(ranking, min_frequency, model, known, vocab_size - len(model.tokens))
-        if not batch:
+        most = min(GUESSES, 2 * stood + 2, vocab_size - len(model.tokens))
+        batch = _guessed(ranking, model, known, min_frequency, most)
+        if not batch and (ranking.bound is None or fresh):
             break
-        for left, right, new in batch:
-            if new == len(model.tokens):
+        if not batch or (reused and ranking.bound is not None):   # what is held ranks behind the rest, or pairs in the table may have grown
+            ranking.load(held.pairs(pending))
+            fresh, reused = True, False
+            continue
+        masks = [ranking.parts[left << 32 | right] for left, right, _ in batch]
+        mask = reduce(int.__or__, masks)
+        found = held.changes(mask, _step_changes(tuple(pending), tuple(batch))).toArrow()
+        steps, stood = found["step"].to_numpy(), 0
+        for step, (left, right, new) in enumerate(batch):
+            if step and ranking.head(1, min_frequency) != [left << 32 | right]:
+                break
+            ranking.add(found.filter(pa.array(steps == step)))
+            if left << 32 | right in ranking.counts:
+                raise RuntimeError("pair counts do not shrink: the words changed between two reads")
+            reused = new < len(model.tokens)
+            if not reused:
                 model.tokens.append(model.tokens[left] + model.tokens[right])
+                known[model.tokens[-1]] = new
             model.merges.append((left, right, new))
-        ranking.update(base.mapInArrow(_changed_pairs(tuple(pending), tuple(batch)), CHANGES))
-        if any(merge[:2] in ranking.counts for merge in batch):
-            raise RuntimeError("pair counts do not shrink: the words changed between two reads")
-        pending += batch
+            changed |= masks[step]
+            stood += 1
+        model.rounds.append(Round(stood, (mask & held.all_parts()).bit_count(), held.bytes_of(mask)))
+        pending += batch[:stood]
+        fresh = False
         if len(pending) >= keep_steps:
-            base = tables.replace("blocks", base.mapInArrow(_merged_blocks(tuple(pending)), BLOCK_TABLE))
-            pending = []
+            held.apply(pending, changed)
+            pending, changed = [], 0
+    held.delete()
     tables.delete()
     return model
 
 
 # --- Application ------------------------------------------------------------------------------------------------
-def apply_merges(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Merge neighbours, always the lowest rank first and the leftmost among equals."""
-    n = len(ids)
-    ids, after, before = list(ids), list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(ranks[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks]
-    heapq.heapify(heap)
-    while heap:
-        _, i, pair = heapq.heappop(heap)
-        j = after[i] if ids[i] >= 0 else n
-        if j >= n or (ids[i], ids[j]) != pair:
-            continue
-        ids[i], ids[j], after[i] = ranks[pair][1], -1, after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        for left in (before[i], i):
-            right = after[left] if left >= 0 else n
-            if left >= 0 and right < n and (ids[left], ids[right]) in ranks:
-                found = (ids[left], ids[right])
-                heapq.heappush(heap, (ranks[found][0], left, found))
-    return [i for i in ids if i >= 0]
-
-
-def _encoder(spark: SparkSession, model: BpeModel, kind: str, sizes: Sequence[int] | None = None, limit: int | None = None):
-    """Arrow function from symbol strings: to ids (``ids``), to token counts per vocabulary size (``counts``), or from
-    arrays of strings to token counts (``sizes``).
-
-    Pieces between unknown characters are merged on their own, and a task remembers pieces it has seen, up to
-    ``REMEMBERED`` characters, so the lines that fill much of a corpus cost one lookup.
-    """
-    stages = [model.first(s) for s in sizes] if sizes else [model]
-    tables = spark.sparkContext.broadcast(
-        [{(a, b): (rank, new) for rank, (a, b, new) in reversed(list(enumerate(m.merges)))} for m in stages])
-
-    def encode_text(text: str, ranks: dict, seen: dict, limit: int | None = None) -> list[int]:
-        out: list[int] = []
-        start = 0
-        codes = [ord(c) - SYMBOL_START for c in text]
-        for end in [i for i, c in enumerate(codes) if c < 0] + [len(codes)]:
-            piece = text[start:end]
-            if piece:
-                if piece not in seen:
-                    if seen[""] + len(piece) > REMEMBERED:
-                        seen.clear()
-                        seen[""] = 0
-                    seen[""] += len(piece)
-                    seen[piece] = apply_merges(codes[start:end], ranks)
-                out += seen[piece]
-            if end < len(codes):
-                out.append(UNKNOWN_ID)
-            start = end + 1
-            if limit and len(out) >= limit:           # pieces end where merges end, so the rest changes nothing
-                return out[:limit]
-        return out
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ranks, memory = tables.value, [{"": 0} for _ in tables.value]
-        for texts in batches:
-            if kind == "counts":
-                yield pd.Series([[len(encode_text(t, r, s)) for r, s in zip(ranks, memory)] for t in texts])
-            elif kind == "sizes":
-                yield pd.Series([[len(encode_text(t, ranks[0], memory[0])) for t in row] for row in texts])
+class _Encoder:
+    """Applies a model to many words at a time."""
+
+    def __init__(self, merges: Sequence[Merge]):
+        self.merges, self.table = merges, PairTable(merges)
+        new = [m[2] for m in merges]
+        self._reuses = any(a >= b for a, b in zip(new, new[1:]))
+
+    def encode(self, ids: np.ndarray, lost: Callable[[int, Chain, np.ndarray], None] | None = None) -> np.ndarray:
+        """Always the lowest rank first and the leftmost among equals, in every word.
+
+        Words do not meet, so the lowest rank of all words may go first; a pair made by a merge has a higher rank, unless
+        some merge gave an old id: then a word's places are taken one by one.
+        """
+        chain = Chain(ids, self.table)
+        while chain.waiting:
+            rank = heapq.heappop(chain.waiting)
+            at = chain.merge(rank, self.merges[rank], one_per_word=self._reuses)
+            if lost and len(at):
+                lost(rank, chain, at)
+        return chain.live()
+
+    def lists(self, words: list[str | None], limit: int | None = None) -> Iterator[pa.Array]:
+        for run in _runs(words):
+            ids = self.encode(flat_ids(run))
+            gaps = np.flatnonzero(ids == GAP)
+            sizes = np.diff(np.r_[-1, gaps]) - 1
+            if limit:
+                place = np.arange(len(ids)) - np.repeat(np.r_[0, gaps[:-1] + 1], sizes + 1)
+                ids, sizes = ids[(place < limit) & (ids != GAP)], np.minimum(sizes, limit)
             else:
-                yield pd.Series([encode_text(t, ranks[0], memory[0], limit) for t in texts])
+                ids = ids[ids != GAP]
+            yield pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ids))
+
+    def sizes(self, words: list[str | None]) -> np.ndarray:
+        parts = [np.diff(np.r_[-1, np.flatnonzero(self.encode(flat_ids(run)) == GAP)]) - 1 for run in _runs(words)]
+        return np.concatenate([np.zeros(0, np.int64), *parts])
+
 
-    return F.pandas_udf(run, "array<int>")
+def _encoder(spark: SparkSession, model: BpeModel, kind: str, limit: int | None = None):
+    """Arrow function from symbol strings to ids (``ids``), or from arrays of strings to token counts (``sizes``)."""
+    merges = spark.sparkContext.broadcast(model.merges)
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = _Encoder(merges.value)
+        for column in columns:
+            if kind == "ids":
+                parts = list(encoder.lists(column.to_pylist(), limit))
+                yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+                continue
+            sizes = encoder.sizes(column.flatten().to_pylist()).astype(np.int32)
+            ends = np.cumsum(np.r_[0, column.value_lengths().fill_null(0).to_numpy()]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(sizes))
+
+    return F.arrow_udf(run, "array<int>")
 
 
 def _guarded(text: Column) -> Column:
@@ -431,10 +682,38 @@ def folder_totals(lines: DataFrame, model: BpeModel, column: str = "unicode") ->
 
 
 def size_sweep(words: DataFrame, model: BpeModel, sizes: Sequence[int]) -> DataFrame:
-    """(vocab_size, total_tokens): the corpus under each prefix of the merge list, in one pass over the words."""
+    """(vocab_size, total_tokens): the corpus under each prefix of the merge list, encoded once.
+
+    What each merge takes off the total is added up by rank, so a size's total is known without another encoding; where
+    merges gave old ids, prefixes are encoded one by one.
+    """
     sizes = sorted(sizes)
-    word = to_symbols(_guarded(F.col("word")), model)
-    counted = words.select("n", _encoder(words.sparkSession, model, "counts", sizes)(word).alias("counts"))
-    rows = counted.select("n", F.posexplode("counts").alias("i", "size"))
-    size_of = F.element_at(F.array(*(F.lit(s) for s in sizes)), F.col("i") + 1)
-    return rows.groupBy(size_of.alias("vocab_size")).agg(F.sum(F.col("n") * F.col("size")).alias("total_tokens"))
+    whole = model.first(sizes[-1])
+    merges = [model.first(size).merges for size in sizes] if whole.reuses_ids else [whole.merges]
+    ranks = [len(model.first(size).merges) for size in sizes]
+    shared = words.sparkSession.sparkContext.broadcast(merges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoders = [_Encoder(m) for m in shared.value]
+        lost, before, totals = np.zeros(len(whole.merges) + 1, np.int64), 0, np.zeros(len(sizes), np.int64)
+        for batch in batches:
+            counts, at = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), 0
+            for part in _runs(batch.column(0).to_pylist()):
+                own, ids = counts[at:at + len(part)], flat_ids(part)
+                at += len(part)
+                if len(encoders) > 1:
+                    for i, encoder in enumerate(encoders):
+                        ends = np.flatnonzero(encoder.encode(ids) == GAP)
+                        totals[i] += ((np.diff(np.r_[-1, ends]) - 1) * own).sum()
+                    continue
+                before += (np.array([len(w) for w in part]) * own).sum()
+
+                def take(rank: int, chain: Chain, at: np.ndarray) -> None:
+                    lost[rank + 1] += own[chain.word[at]].sum()
+                encoders[0].encode(ids, take)
+        if len(encoders) == 1:
+            totals = before - np.cumsum(lost)[ranks]
+        yield pa.record_batch({"vocab_size": pa.array(sizes, pa.int32()), "part_tokens": pa.array(totals, pa.int64())})
+
+    symbols = words.select(to_symbols(_guarded(F.col("word")), model).alias("word"), F.col("n").cast("bigint").alias("n"))
+    return symbols.mapInArrow(run, "vocab_size int, part_tokens bigint").groupBy("vocab_size").agg(F.sum("part_tokens").alias("total_tokens"))

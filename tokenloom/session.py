@@ -52,7 +52,16 @@ class Tables:
         df.write.mode("overwrite").partitionBy(*([by] if by else [])).parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, name: str) -> None:
+        """Remove one of them."""
+        for turn in (0, 1):
+            self._remove(f"{self._folder}/{name}-{turn}")
+        self._turn.pop(name, None)
+
     def delete(self) -> None:
         """Remove all of them; for jobs whose result does not read them any more."""
-        path = self._spark._jvm.org.apache.hadoop.fs.Path(self._folder)
+        self._remove(self._folder)
+
+    def _remove(self, folder: str) -> None:
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
