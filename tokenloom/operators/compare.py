@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.operators import lattice
+from tokenloom.session import Tables
 
 
-def baseline_totals(files: DataFrame, by: str = "words") -> DataFrame:
-    """(total_tokens) of a plain baseline tokenizer: blank-separated words or characters."""
+def baseline_totals(files: DataFrame, by: str = "pieces", size: int = 1024) -> DataFrame:
+    """(total_tokens) of a baseline tokenizer: pieces of a unigram vocabulary of about ``size`` entries learned from the files
+    (``lattice``), blank-separated words, or characters."""
+    if by == "pieces":
+        words = Tables(files.sparkSession).replace("words", lattice.word_counts(files))
+        return lattice.total_tokens(words, lattice.learn(words, size))
     content = F.col("content")
     count = {"words": F.regexp_count(content, F.lit(r"\S+")), "characters": F.length(content)}[by]
     return files.agg(F.coalesce(F.sum(count), F.lit(0)).cast("bigint").alias("total_tokens"))

@@ -483,7 +483,7 @@ def running_token_rate(encoded, model):
 
 @over(texts)
 def baseline_token_count(df):
-    return compare.baseline_totals(df, "words")
+    return compare.baseline_totals(df, size=SWEEP[-1])
 
 
 @with_model()
@@ -492,10 +492,10 @@ def vocabulary_sweep(encoded, model):
 
 
 def _compared(fn: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
-    """``fn(series, baseline)``: the sweep, and a tokenizer of blank-separated words with the largest vocabulary."""
+    """``fn(series, baseline)``: the sweep, and a unigram tokenizer with as many pieces as the largest vocabulary."""
     def run(spark: SparkSession, folder: str) -> DataFrame:
         series = Tables(spark).replace("series", _QUERIES["vocabulary_sweep"](spark, folder))       # one row per size
-        baseline = compare.baseline_totals(texts(spark, folder), "words")
+        baseline = compare.baseline_totals(texts(spark, folder), size=SWEEP[-1])
         return fn(series, baseline.select(F.lit(SWEEP[-1]).alias("vocab_size"), "total_tokens"))
     return run
 

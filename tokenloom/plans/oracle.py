@@ -8,7 +8,7 @@ from __future__ import annotations
 from tokenloom.functions import codec as cd
 from tokenloom.functions import lexing as lx
 from tokenloom.functions import text as tx
-from tokenloom.operators import bpe
+from tokenloom.operators import bpe, lattice
 from tokenloom.plans.settings import (BATCH, EXTRA_IDS, MAX_LENGTH, MERGES, REPORT_EVERY, SAMPLE_MERGES, SAMPLE_PERCENT, SHARD_ROWS,
                                       SWEEP, TOP, TRAIN_RATIO)
 from tokenloom.sources import tables as tb
@@ -253,7 +253,7 @@ def _bpe(merges: int = MERGES, kept: str = "lines") -> str:
     first = bpe.SYMBOL_START + len(bpe.SPECIAL_TOKENS) + cd.BASE_SIZE
     spelled = lambda side: f"coalesce((SELECT min(text) FROM recs WHERE sym = {side}(pair, 1)), {side}(pair, 1))"
     return _words(kept).replace("WITH ", "WITH RECURSIVE ", 1) + f""",
-      t(key, word, n, sym, text) USING KEY (key) AS (
+      t(key, word, n, sym, text) USING KEY (key) AS MATERIALIZED (
         SELECT key, word, CAST(n AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM w0
         UNION
         (WITH words AS (SELECT key, word, n FROM recurring.t WHERE key >= 0),
@@ -276,6 +276,46 @@ def _sizes() -> str:
         f"(SELECT CAST(sum(n * length(word)) AS BIGINT) FROM final)) AS total_tokens" for s in SWEEP)
 
 
+def _cheapest(name: str, costs: str) -> str:
+    """Best paths to all places of the distinct words: least cost, fewer pieces, longest last piece."""
+    return f"""
+      {name}(id, word, pos, cost, pieces, start) USING KEY (id, pos) AS (
+        SELECT id, word, 0, CAST(0 AS BIGINT), 0, 0 FROM baseline_words
+        UNION
+        SELECT id, word, pos, b.cost, b.pieces, b.start FROM (
+          SELECT w.id, w.word, w.pos + 1 AS pos, min({{'cost': r.cost + c.cost, 'pieces': r.pieces + 1, 'start': r.pos}}) AS b
+          FROM {name} w JOIN recurring.{name} r ON r.id = w.id AND r.pos > w.pos - {lattice.LONGEST} AND r.pos <= w.pos
+          JOIN {costs} c ON c.piece = substr(w.word, r.pos + 1, w.pos + 1 - r.pos) WHERE w.pos < length(w.word) GROUP BY ALL))"""
+
+
+def _costs(name: str, counts: str) -> str:
+    return f"{name} AS MATERIALIZED (SELECT piece, CAST(floor({lattice.UNIT} * log2(CAST(sum(c) OVER () AS DOUBLE) / c) + 0.5) AS BIGINT) AS cost FROM {counts})"
+
+
+def _baseline(size: int) -> str:
+    """CTEs up to ``baseline(vocab_size, total_tokens)``: pieces by the text that they cover, a pass, and the count after it."""
+    return rf"""
+      baseline_words AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM (SELECT word, count(*) AS n FROM (
+        SELECT unnest(regexp_extract_all(text, '\S+')) AS word FROM documents) GROUP BY word)),
+      substrings AS MATERIALIZED (SELECT substr(word, i, l) AS piece, sum(n) AS c FROM (
+        SELECT word, n, i, unnest(range(1, least({lattice.LONGEST}, length(word) - i + 1) + 1)) AS l FROM (
+          SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM baseline_words)) GROUP BY 1),
+      seeds AS (SELECT piece, c FROM substrings WHERE length(piece) = 1 UNION ALL SELECT piece, c FROM (
+        SELECT piece, c, row_number() OVER (ORDER BY c * length(piece) DESC, piece) AS k FROM substrings WHERE length(piece) > 1)
+        WHERE k <= {size} - (SELECT count(*) FROM substrings WHERE length(piece) = 1)),
+      {_costs("seed_costs", "seeds")}, {_cheapest("seed_paths", "seed_costs")},
+      walked(id, word, pos) AS (
+        SELECT id, word, length(word) FROM baseline_words UNION ALL
+        SELECT w.id, w.word, p.start FROM walked w JOIN seed_paths p ON p.id = w.id AND p.pos = w.pos WHERE p.start > 0),
+      used AS (SELECT substr(w.word, p.start + 1, w.pos - p.start) AS piece, sum(b.n) AS c FROM walked w
+        JOIN seed_paths p ON p.id = w.id AND p.pos = w.pos JOIN baseline_words b ON b.id = w.id GROUP BY 1),
+      kept AS (SELECT piece, greatest(sum(c), 1) AS c FROM (
+        SELECT * FROM used UNION ALL SELECT piece, 0 FROM substrings WHERE length(piece) = 1) GROUP BY piece),
+      {_costs("unigram_costs", "kept")}, {_cheapest("unigram_paths", "unigram_costs")},
+      baseline AS MATERIALIZED (SELECT {size} AS vocab_size, CAST(sum(n * pieces) AS BIGINT) AS total_tokens FROM unigram_paths p
+        JOIN baseline_words b ON b.id = p.id AND p.pos = length(b.word))"""
+
+
 def statements() -> dict[str, str]:
     java, pages = lexed(JAVA), lexed(PAGES)
     files = f"WITH {FILES}"
@@ -296,7 +336,7 @@ def statements() -> dict[str, str]:
     used = f"least(len(ids), {MAX_LENGTH})"
     pad = lambda value: f"list_transform(range({MAX_LENGTH} - {used}), lambda k: {value})"
     joined = lambda expr: f"array_to_string({expr}, ' ')"
-    baseline = rf"baseline AS (SELECT {SWEEP[-1]} AS vocab_size, CAST(sum(len(regexp_extract_all(content, '\S+'))) AS BIGINT) AS total_tokens FROM (SELECT text AS content FROM documents))"
+    baseline = _baseline(SWEEP[-1])
     pairs = f"{_words()}, {pairs_of('w0', 'p0')}"
     sampled = f"(SELECT l.* FROM lines l JOIN (SELECT shard, row_number() OVER (ORDER BY shard) AS rn, count(*) OVER () AS k FROM (SELECT DISTINCT shard FROM encoded)) r USING (shard) WHERE rn <= ceil(k * {SAMPLE_PERCENT} / 100))"
     shown = ", ".join(text(v) for _, _, v in cd.BASE_VOCABULARY)
@@ -402,10 +442,10 @@ def statements() -> dict[str, str]:
         "running_token_rate": f"""{_bpe()}, sized AS (SELECT file_id, line_no, length(f.word) AS size FROM lines JOIN final f ON f.original = lines.unicode),
             running AS (SELECT row_number() OVER o AS lines, sum(size) OVER o AS tokens FROM sized WINDOW o AS (ORDER BY file_id, line_no ROWS UNBOUNDED PRECEDING))
             SELECT lines, CAST(tokens AS BIGINT) AS tokens, CAST(tokens AS DOUBLE) / lines AS tokens_per_line FROM running WHERE lines % {REPORT_EVERY} = 0""",
-        "baseline_token_count": rf"{files} SELECT CAST(sum(len(regexp_extract_all(content, '\S+'))) AS BIGINT) AS total_tokens FROM files",
+        "baseline_token_count": f"WITH RECURSIVE {baseline} SELECT total_tokens FROM baseline",
         "vocabulary_sweep": f"{_bpe()} {_sizes()}",
-        "baseline_improvement": f"{_bpe()}, {baseline}, series AS ({_sizes()}) SELECT s.vocab_size, b.total_tokens - s.total_tokens AS fewer_tokens, CAST(b.total_tokens - s.total_tokens AS DOUBLE) / b.total_tokens * 100 AS improvement_pct FROM series s JOIN baseline b USING (vocab_size)",
-        "nearest_to_baseline": f"{_bpe()}, {baseline}, series AS ({_sizes()}) SELECT s.vocab_size, s.total_tokens, CAST(b.vocab_size - s.vocab_size AS DOUBLE) / b.vocab_size * 100 AS saving_pct FROM series s, baseline b ORDER BY abs(s.total_tokens - b.total_tokens), s.vocab_size LIMIT 1",
+        "baseline_improvement": f"{_bpe()}, {baseline}, series AS MATERIALIZED ({_sizes()}) SELECT s.vocab_size, b.total_tokens - s.total_tokens AS fewer_tokens, CAST(b.total_tokens - s.total_tokens AS DOUBLE) / b.total_tokens * 100 AS improvement_pct FROM series s JOIN baseline b USING (vocab_size)",
+        "nearest_to_baseline": f"{_bpe()}, {baseline}, series AS MATERIALIZED ({_sizes()}) SELECT s.vocab_size, s.total_tokens, CAST(b.vocab_size - s.vocab_size AS DOUBLE) / b.vocab_size * 100 AS saving_pct FROM series s, baseline b ORDER BY abs(s.total_tokens - b.total_tokens), s.vocab_size LIMIT 1",
         "truncation_report": f"{_bpe()}, {tokenized} SELECT count(*) AS files, count(*) FILTER (len(ids) > {MAX_LENGTH}) AS truncated_files, CAST(sum(len(ids)) AS BIGINT) AS tokens, CAST(sum(greatest(len(ids) - {MAX_LENGTH}, 0)) AS BIGINT) AS lost_tokens FROM tokenized",
         "split_content_overlap": f"""{sharded}, sides AS (SELECT content, max(rn <= floor(k * {TRAIN_RATIO})) AS t, max(rn > floor(k * {TRAIN_RATIO})) AS e, count(*) AS n FROM files f JOIN ranks r ON f.shard = r.shard GROUP BY content)
             SELECT count(*) FILTER (t) AS training_texts, count(*) FILTER (e) AS evaluation_texts, count(*) FILTER (t AND e) AS shared_texts, CAST(coalesce(sum(n) FILTER (t AND e), 0) AS BIGINT) AS shared_files FROM sides""",
