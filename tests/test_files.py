@@ -24,6 +24,46 @@ def test_archives(spark, tmp_path):
     assert [r.error for r in filters.unreadable(read).collect()] == ["invalid UTF-8"] * 2
 
 
+def test_archives_that_cannot_be_read(spark, tmp_path):
+    """An archive cut short and an entry with damaged bytes are rows with an error; all else is read."""
+    for k in range(4):
+        with zipfile.ZipFile(tmp_path / f"p{k}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            for i in range(5):
+                z.writestr(f"{i}.java", f"class C{i} {{ {'x' * 500 * i} }}")
+    whole = (tmp_path / "p1.zip").read_bytes()
+    (tmp_path / "p1.zip").write_bytes(whole[:-40])
+    with zipfile.ZipFile(tmp_path / "p2.zip") as z:
+        place = z.getinfo("3.java").header_offset + 40
+    damaged = bytearray((tmp_path / "p2.zip").read_bytes())
+    damaged[place:place + 6] = b"\xff" * 6
+    (tmp_path / "p2.zip").write_bytes(damaged)
+    (tmp_path / "empty.zip").write_bytes(b"")
+    for read in (archives.scan_archives, archives.spark_archives):
+        rows = read(spark, str(tmp_path), ".java").collect()
+        good = {(r.shard, r.path) for r in rows if r.error is None}
+        assert good == {(f"p{k}", f"{i}.java") for k in (0, 2, 3) for i in range(5)} - {("p2", "3.java")}
+        bad = sorted((r.shard, r.path or "", r.error.split(":")[0], r.data) for r in rows if r.error)
+        assert bad == [("empty", "", "archive", None), ("p1", "", "archive", None), ("p2", "3.java", "entry", None)]
+    assert archives.read_archives(spark, str(tmp_path)).count() == 14
+
+
+def test_large_archives_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archives, "PARTITION", 300)
+    rows = [(f"s{i % 3}", f"d/{i}.{'java' if i % 2 else 'txt'}", bytes([i]) * 90) for i in range(60)]
+    made = archives.write_archives(spark.createDataFrame(rows, "shard string, path string, data binary"), f"file:{tmp_path}/z")
+    assert {(r.shard, r.entries) for r in made.collect()} == {("s0", 20), ("s1", 20), ("s2", 20)}
+    reader = archives._ZipReader({"path": str(tmp_path / "z")})
+    parts = reader.partitions()
+    assert len(parts) > 3 and all(len(p.ranges) == 1 for p in parts)
+    found = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted((r["shard"], r["path"], r["data"]) for r in found) == sorted(rows)
+    reader = archives._ZipReader({"path": str(tmp_path / "z"), "suffix": ".txt"})
+    assert {r["path"][-4:] for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()} == {".txt"}
+    assert archives.scan_archives(spark, str(tmp_path / "z"), ".java").count() == 30
+    (tmp_path / "none").mkdir()
+    assert archives.scan_archives(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_text_files_and_lines(spark, tmp_path):
     for shard, name, text in [("processed_part_0000", "a.txt", " x \n\ny"), ("processed_part_0001", "b.txt", "z"), ("other", "c.txt", "n")]:
         (tmp_path / shard).mkdir(exist_ok=True)

@@ -141,16 +141,20 @@ def char_line_to_ids(line: Column) -> Column:
     return F.array_join(F.transform(to_ids(line), lambda i: i.cast("string")), " ")
 
 
+def ids_to_shorts(ids: Column) -> Column:
+    """Ids as big-endian 16-bit records."""
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), 4, "0")), ""))
+
+
 def shorts_to_id_text(data: Column) -> Column:
     """Big-endian 16-bit ids to text, a newline after id 0, a space after the others, stripped."""
-    def one(k: Column) -> Column:
-        raw = F.conv(F.hex(F.substring(data, k * 2 + 1, F.lit(2))), 16, 10).cast("int")
+    def one(digits: Column) -> Column:
+        raw = F.conv(digits, 16, 10).cast("int")
         value = F.when(raw >= 32768, raw - 65536).otherwise(raw)
         return F.concat(value.cast("string"), F.when(value == EOL_ID, "\n").otherwise(" "))
 
-    # Whole pairs only: a stray last byte has no id.
-    count = F.floor(F.length(data) / 2).cast("int")
-    parts = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), one)).otherwise(F.array().cast("array<string>"))
+    # Whole pairs only: a stray last byte has no id.  The records are cut in one pass, so a long file costs its length.
+    parts = F.transform(F.regexp_extract_all(F.hex(data), F.lit("[0-9A-F]{4}"), F.lit(0)), one)
     return tx.trim_control(F.array_join(parts, ""))
 
 

@@ -65,10 +65,12 @@ def files_per_shard(files: DataFrame) -> DataFrame:
 
 
 def shard_ranks(files: DataFrame) -> DataFrame:
-    """(shard, rn, k): rank by name among k shards.  One row per shard, a ten-thousandth of the files."""
-    names = files.select("shard").distinct()
-    return names.select("shard", F.row_number().over(Window.orderBy("shard")).alias("rn"),
-                        F.count("*").over(Window.partitionBy()).alias("k"))
+    """(shard, rn, k): rank by name, null first, among k shards.  Names are numbered in ranges, as rows are, so no task sees
+    them all."""
+    names = files.select(F.coalesce(F.concat(F.lit("v"), F.col("shard")), F.lit("-")).alias("name")).distinct()
+    names = Tables(files.sparkSession).replace("names", names)
+    shard = F.when(F.col("name") != "-", F.substr("name", F.lit(2)))
+    return with_row_index(names, "name").select(shard.alias("shard"), (F.col("row_index") + 1).cast("int").alias("rn"), F.lit(names.count()).alias("k"))
 
 
 def _last_shard(files: DataFrame, how_many: Column) -> Column:

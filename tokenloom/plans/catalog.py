@@ -18,9 +18,9 @@ from tokenloom.operators import (bpe, cleaning, compare, corpus, examples, filte
 from tokenloom.operators import tokens as tk
 from tokenloom.plans import pipeline, progress
 from tokenloom.plans.settings import (BATCH, EXTRA_IDS, MAX_LENGTH, MERGES, REPORT_EVERY, SAMPLE_MERGES, SAMPLE_PERCENT, SHARD_ROWS,
-                                      SWEEP, TOP, TRAIN_RATIO)
+                                      STREAM_FILES, SWEEP, TOP, TRAIN_RATIO)
 from tokenloom.session import Tables
-from tokenloom.sources import sinks, textfiles
+from tokenloom.sources import archives, sinks, textfiles
 from tokenloom.sources import tables as tb
 from tokenloom.streaming import ingest
 
@@ -611,24 +611,93 @@ def stored_model(encoded, model):
     return again.merge_table(spark).select("rank", "left_id", "right_id", "new_id")
 
 
+def _archived(df: DataFrame, bytes_of: Callable[[], Column]) -> str:
+    """Archives of the files in shards of ``SHARD_ROWS``, in a folder; ``bytes_of`` gives an entry's bytes."""
+    folder = Tables(df.sparkSession).folder("archives")
+    rows = sharding.assign_shards(df.drop("shard"), SHARD_ROWS).select("shard", "path", bytes_of().alias("data"))
+    archives.write_archives(rows, folder)
+    return folder
+
+
+@over(texts)
+def archived_files(df):
+    """Written as archives and read entry by entry."""
+    folder = _archived(df, lambda: F.encode("content", "UTF-8"))
+    entries = archives.content_of(archives.read_archives(df.sparkSession, folder, ".java"))
+    return entries.select("shard", "path", F.md5("content").alias("content_md5"))
+
+
+@over(texts)
+def unreadable_entries(df):
+    """Every ninth file ends in a byte that is no UTF-8; the scan goes on and tells which."""
+    planted = F.when(F.col("file_id") % 9 == 0, F.unhex(F.lit("ff"))).otherwise(F.unhex(F.lit("")))
+    folder = _archived(df, lambda: F.concat(F.encode("content", "UTF-8"), planted))
+    entries = archives.scan_archives(df.sparkSession, folder)
+    return filters.unreadable(entries).unionByName(entries.where("error IS NOT NULL").drop("data")).select("shard", "path", "error")
+
+
+@over(texts)
+def archived_ids(df):
+    """The ids of the files as 16-bit records in binary files, read and decoded."""
+    encoded = sharding.assign_shards(pipeline.encoded_files(df).drop("shard"), SHARD_ROWS)
+    joined = F.array_sort(F.collect_list(F.struct("file_id", "unicode")))                # at most SHARD_ROWS files
+    shards = encoded.groupBy("shard").agg(F.array_join(F.transform(joined, lambda x: x["unicode"]), "").alias("unicode"))
+    folder = Tables(df.sparkSession).folder("ids")
+    archives.write_files(shards.select(F.concat("shard", F.lit(".bin")).alias("name"), cd.ids_to_shorts(cd.to_ids(F.col("unicode"))).alias("data")), folder)
+    read = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder)
+    return read.select(F.regexp_extract("path", r"([^/]+)\.bin\z", 1).alias("shard"), cd.shorts_to_id_text(F.col("content")).alias("id_text"))
+
+
+@over(texts)
+def text_files(df):
+    """One file for each text in a folder per shard, read as whole files."""
+    folder = Tables(df.sparkSession).folder("files")
+    name = F.concat(F.lit("processed_"), F.coalesce("shard", F.lit("none")), F.lit("/"), F.col("file_id").cast("string"), F.lit(".txt"))
+    archives.write_files(df.select(name.alias("name"), F.encode("content", "UTF-8").alias("data")), folder)
+    read = textfiles.read_files(df.sparkSession, folder, "processed_*")
+    return read.select("shard", "path", F.md5("content").alias("content_md5"))
+
+
+@over(texts)
+def id_map_file(df):
+    """The extended vocabulary as lines of a file, read as a map."""
+    extended = vocabulary.extended(vocabulary.base_vocabulary(df.sparkSession), ranking.frequencies(ranking.values(df)), EXTRA_IDS)
+    path = _written(extended, lambda d, p: sinks.write_ordered_lines(vocabulary.vocabulary_lines(d), p))
+    return textfiles.read_id_map(df.sparkSession, path)
+
+
+@over(texts)
+def frequency_file(df):
+    """Frequencies of identifiers as lines of a file, read and weighted."""
+    freq = ranking.frequencies_of(ranking.frequencies(ranking.values(df)), "identifiers")
+    path = _written(freq, sinks.write_frequencies)
+    return ranking.weighted(textfiles.read_frequencies(df.sparkSession, path))
+
+
 # --- Streams: the table arrives as a stream, the totals it ends with are returned --------------------------------------
-def _streamed(make: Callable[[DataFrame], DataFrame], source: Callable[[DataFrame], DataFrame]) -> Query:
+def _streamed(make: Callable[[DataFrame], DataFrame], source: Callable[[DataFrame], DataFrame], keys: list[str], value: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        path = f"{folder}/documents.parquet"
-        totals = make(source(ingest.table_stream(spark, path)))
-        tables, last = Tables(spark), {}
+        totals = make(source(ingest.table_stream(spark, f"{folder}/documents.parquet")))
+        kept = Tables(spark)
+        ingest.start_totals(totals, kept.folder("progress"), ingest.changes_to(kept.folder("changes"))).awaitTermination()
+        return ingest.latest(spark, kept.folder("changes"), totals, keys, value)
 
-        def keep(batch: DataFrame, _: int) -> None:
-            last["totals"] = tables.replace("totals", batch)
+    return run
 
-        ingest.start_totals(totals, tables.folder("progress"), keep, mode="complete").awaitTermination()
-        return last["totals"] if last else spark.createDataFrame([], totals.schema)
 
-    return run
+_QUERIES["streamed_category_counts"] = _streamed(ingest.running_categories, tb.java_files, ["category"], "n")
+_QUERIES["streamed_frequencies"] = _streamed(ingest.running_frequencies, tb.from_documents, ["kind", "item"], "cnt")
 
 
-_QUERIES["streamed_category_counts"] = _streamed(ingest.running_categories, tb.java_files)
-_QUERIES["streamed_frequencies"] = _streamed(ingest.running_frequencies, tb.from_documents)
+@over(java)
+def restarted_ingest(df):
+    """The files arrive in parts; the stream stops after its first batch and goes on from its checkpoint."""
+    spark, kept = df.sparkSession, Tables(df.sparkSession)
+    source, out, progress = (kept.folder(n) for n in ("arrived", "ingested", "progress"))
+    df.repartition(STREAM_FILES, "file_id").write.parquet(source)
+    ingest.ingest(spark, source, out, progress, files_per_trigger=1, batches=1).awaitTermination()
+    ingest.ingest(spark, source, out, progress, files_per_trigger=STREAM_FILES // 2).awaitTermination()
+    return spark.read.parquet(out).select("file_id", "shard", F.md5("unicode").alias("unicode_md5"))
 
 
 def queries() -> dict[str, Query]:

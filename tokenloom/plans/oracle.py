@@ -345,7 +345,9 @@ def statements() -> dict[str, str]:
                   f"UNION ALL SELECT unicode(sym) - {bpe.SYMBOL_START}, min(text) FROM merged GROUP BY sym)")
     each = lambda expr: f"list_transform(string_split(token, ''), lambda c: {expr})"
     number = f"unicode(c) - {cd.PUA_START}"
-    return {
+    ingested = (f"files AS (SELECT u.file_id, u.shard, CAST(NULL AS VARCHAR) AS path, c.content FROM ({clean} SELECT file_id, {LAYOUT} AS content FROM kept GROUP BY file_id) c "
+                f"JOIN ({JUDGED} SELECT file_id, shard FROM judged WHERE balanced AND has_type AND NOT hashed) u USING (file_id))")
+    found = {
         # Sources, files, names
         "scan_source_files": f"{files} SELECT file_id, path, content FROM files",
         "suffix_filter": f"{files} SELECT file_id, path FROM files WHERE path LIKE '%.java'",
@@ -466,5 +468,15 @@ def statements() -> dict[str, str]:
         "written_values": f"{java}, {FREQ} SELECT kind, item AS value, cnt AS n FROM freq",
         "written_encoded": f"{enc} SELECT shard, shard || '/' || regexp_extract(path, '\\A((?:[\\s\\S]*/)?)[^/]*\\z', 1) || replace(regexp_extract(path, '([^/]*)\\z', 1), '.java', '') || '_unicode.txt' AS file_path, md5(unicode) AS unicode_md5 FROM encoded",
         "written_corpus": f"{files}, {lines} SELECT line, count(*) AS n FROM lines GROUP BY line",
+        "archived_files": f"{files} SELECT shard, path, md5(content) AS content_md5 FROM (SELECT * REPLACE ({label} AS shard) FROM files) WHERE path LIKE '%.java'",
+        "unreadable_entries": f"{files} SELECT shard, path, 'invalid UTF-8' AS error FROM (SELECT * REPLACE ({label} AS shard) FROM files) WHERE file_id % 9 = 0",
+        "archived_ids": f"""{enc}, listed AS (SELECT {label} AS shard, file_id, list_transform(list_filter(string_split(unicode, ''), lambda c: c <> chr(10)), lambda c: unicode(c) - {cd.PUA_START}) AS ids FROM encoded)
+            SELECT shard, regexp_replace(string_agg(array_to_string(list_transform(ids, lambda i: i || CASE WHEN i = 0 THEN chr(10) ELSE ' ' END), ''), '' ORDER BY file_id), {_TRIM}, '', 'g') AS id_text FROM listed GROUP BY shard""",
+        "text_files": f"{files} SELECT 'processed_' || coalesce(shard, 'none') AS shard, file_id || '.txt' AS path, md5(content) AS content_md5 FROM files",
+        "frequency_file": f"{lexed(FILES)}, {FREQ} SELECT item, cnt, length(item) * cnt AS weight FROM freq WHERE kind = 'identifiers'",
+        "restarted_ingest": f"{encoded(ingested)} SELECT file_id, shard, md5(unicode) AS unicode_md5 FROM encoded",
         "training_examples": f"{_bpe()}, {tokenized} SELECT file_id, {joined(f'list_concat(ids[1:{MAX_LENGTH}], {pad(bpe.PAD_ID)})')} AS input_ids, {joined(f'list_concat(list_transform(ids[1:{MAX_LENGTH}], lambda x: 1), {pad(0)})')} AS attention_mask, {joined(f'list_concat(ids[1:{MAX_LENGTH}], {pad(-100)})')} AS labels FROM tokenized",
     }
+    escaped = "replace(value, chr(10), chr(92) || 'n')"
+    found["id_map_file"] = f"SELECT CAST(token_id AS VARCHAR) AS token_id, rtrim({escaped}, {_STRIP}) AS text FROM ({found['extended_vocabulary']})"
+    return found

@@ -10,8 +10,9 @@ BATCH = 32
 TOP = 50
 EXTRA_IDS = 40
 MERGES = 256
-SAMPLE_MERGES = 64
+SAMPLE_MERGES = MERGES
 _FIRST = len(bpe.SPECIAL_TOKENS) + cd.BASE_SIZE
 SWEEP = [_FIRST + 16, _FIRST + 64, _FIRST + 128, _FIRST + 256]
 MAX_LENGTH = 1536
 REPORT_EVERY = 1000
+STREAM_FILES = 6

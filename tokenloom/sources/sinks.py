@@ -69,6 +69,11 @@ def write_ordered_lines(lines: DataFrame, path: str) -> None:
     lines.select("line").coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_frequencies(freq: DataFrame, path: str) -> None:
+    """Lines ``item: count``, by all tasks; an item must not hold a line end."""
+    freq.select(F.concat_ws(": ", "item", F.col("cnt").cast("string")).alias("line")).write.mode("overwrite").text(path)
+
+
 def write_dataset_size(files: DataFrame, path: str) -> None:
     size = stats.dataset_size(files)
     text = F.concat(F.lit("Total files: "), F.col("files"), F.lit("\nTotal bytes: "), F.col("total_bytes"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tokenloom.operators import ranking
 from tokenloom.plans import pipeline
@@ -34,8 +37,10 @@ def new_files(spark: SparkSession, folder: str, files_per_trigger: int | None =
     return reader.parquet(folder).withColumn("shard", shard)
 
 
-def ingest(spark: SparkSession, folder: str, output: str, checkpoint: str, files_per_trigger: int | None = None) -> StreamingQuery:
-    """Clean and encode what is new in ``folder`` by the batch functions and write it to ``output``, then stop.
+def ingest(spark: SparkSession, folder: str, output: str, checkpoint: str, files_per_trigger: int | None = None,
+           batches: int | None = None) -> StreamingQuery:
+    """Clean and encode what is new in ``folder`` by the batch functions and write it to ``output``, then stop, at the latest
+    after so many ``batches``; another call with the same checkpoint goes on from there.
 
     Every file is taken once.  A batch is a folder of its own, so one that is repeated after a failure replaces itself.
     """
@@ -43,8 +48,19 @@ def ingest(spark: SparkSession, folder: str, output: str, checkpoint: str, files
         encoded = pipeline.encoded_files(pipeline.cleaned_files(batch))
         encoded.write.mode("overwrite").partitionBy("shard").parquet(f"{output}/batch={number}")
 
-    return (new_files(spark, folder, files_per_trigger).writeStream.option("checkpointLocation", checkpoint)
-            .foreachBatch(write).trigger(availableNow=True).start())
+    writer = new_files(spark, folder, files_per_trigger).writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    if batches is None:
+        return writer.trigger(availableNow=True).start()
+    query = writer.start()
+    while query.isActive and not _done(query, batches):
+        time.sleep(0.05)
+    query.stop()                            # a batch under way is repeated by the next call
+    return query
+
+
+def _done(query: StreamingQuery, batches: int) -> bool:
+    last, status = query.lastProgress, query.status
+    return bool(last) and (last["batchId"] + 1 >= batches or not (status["isDataAvailable"] or status["isTriggerActive"]))
 
 
 def running_categories(files: DataFrame) -> DataFrame:
@@ -68,3 +84,20 @@ def start_totals(totals: DataFrame, checkpoint: str, on_batch, mode: str = "upda
     all (``complete``) totals."""
     return (totals.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(on_batch)
             .trigger(availableNow=True).start())
+
+
+def changes_to(path: str):
+    """For ``start_totals``: a batch writes the totals that it changed and no others, into a folder of its own."""
+    def write(changed: DataFrame, number: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    return write
+
+
+def latest(spark: SparkSession, path: str, totals: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The totals so far: of each key what the last batch that changed it wrote.  ``totals`` gives the columns."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):         # no batch yet
+        return spark.createDataFrame([], totals.schema)
+    columns = totals.columns
+    changes = spark.read.schema(StructType([*totals.schema.fields, StructField("batch", LongType())])).parquet(path)
+    return changes.groupBy(*keys).agg(F.max_by(value, "batch").alias(value)).select(*columns)
