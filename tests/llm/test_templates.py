@@ -119,3 +119,16 @@ def test_lines_without_constants_and_short_lines(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     found = {r["_id"]: r["text"].split("\n") for r in templates.without_recurring(spark, docs).collect()}
     assert found == {i: [line for n, line in enumerate(t.split("\n")) if n not in (2, 7)] for i, t in enumerate(texts)}
+
+
+def test_documents_of_very_many_lines(spark):
+    """A text is split once, so the time grows with its lines."""
+    import time
+    rows = [(i, "\n".join([f"own {i} line {k} of {chr(97 + k % 26)} {chr(97 + i)}" if k % 2 else "the very same line" for k in range(60_000)])) for i in range(5)]
+    docs = spark.createDataFrame([*rows, (9, "\nthe very same line\n")], "doc_id bigint, text string")
+    start = time.perf_counter()
+    found = {r["_id"]: r for r in templates.without_recurring(spark, docs).collect()}
+    assert time.perf_counter() - start < 120
+    assert (found[9]["text"], found[9]["n_lines"], found[9]["n_dropped"]) == ("\n", 3, 1)
+    assert all("the very same line" not in found[i]["text"] and found[i]["n_lines"] == 60_000 for i in range(5))
+    assert all(len(found[i]["text"].split()) / 8 <= 60_000 - found[i]["n_dropped"] for i in range(5))

@@ -140,6 +140,14 @@ def without_recurring(spark: SparkSession, docs: DataFrame, documents: int = 5,
     gone = drop.distinct().groupBy("key").agg(F.collect_list("line").alias("gone"))          # no more than a document's lines
     joined = rows.join(gone, "key", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     lines = F.split("text", "\n", -1)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(lines, i))
-    return joined.select("_id", F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+    gone = F.array_sort("gone")
+
+    def between(own: Column) -> Column:
+        """The runs of lines between those that go; the text is split once and each line taken once."""
+        before, after = F.concat(F.array(F.lit(-1)), gone), F.concat(gone, F.array(F.size(own)))
+        runs = F.zip_with(before, after, lambda a, b: F.struct((a + 2).alias("first"), (b - a - 1).alias("n")))
+        return F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(own, r["first"], r["n"]))), "\n")
+
+    kept = F.get(F.transform(F.array(lines), between), F.lit(0))
+    return joined.select("_id", F.when(F.size("gone") == 0, F.col("text")).otherwise(kept).alias("text"),
                          F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("n_lines"), F.size("gone").cast("bigint").alias("n_dropped"))
