@@ -43,12 +43,13 @@ def test_archives_that_cannot_be_read(spark, tmp_path):
         good = {(r.shard, r.path) for r in rows if r.error is None}
         assert good == {(f"p{k}", f"{i}.java") for k in (0, 2, 3) for i in range(5)} - {("p2", "3.java")}
         bad = sorted((r.shard, r.path or "", r.error.split(":")[0], r.data) for r in rows if r.error)
-        assert bad == [("empty", "", "archive", None), ("p1", "", "archive", None), ("p2", "3.java", "entry", None)]
+        empty = [("empty", "", "archive", None)] if read is archives.scan_archives else []       # Spark's readers skip empty files
+        assert bad == [*empty, ("p1", "", "archive", None), ("p2", "3.java", "entry", None)]
     assert archives.read_archives(spark, str(tmp_path)).count() == 14
 
 
 def test_large_archives_are_read_in_ranges(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(archives, "PARTITION", 300)
+    monkeypatch.setattr(archives, "PARTITION", 100)
     rows = [(f"s{i % 3}", f"d/{i}.{'java' if i % 2 else 'txt'}", bytes([i]) * 90) for i in range(60)]
     made = archives.write_archives(spark.createDataFrame(rows, "shard string, path string, data binary"), f"file:{tmp_path}/z")
     assert {(r.shard, r.entries) for r in made.collect()} == {("s0", 20), ("s1", 20), ("s2", 20)}

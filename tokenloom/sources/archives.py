@@ -167,7 +167,7 @@ def _unzip(suffix: str | None):
 
 
 def spark_archives(spark: SparkSession, folder: str, suffix: str | None = None) -> DataFrame:
-    """The same rows from any storage that Spark reads; a task holds a whole archive."""
+    """The same rows from any storage that Spark reads, which leaves out empty files; a task holds a whole archive."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[zZ][iI][pP]").option("recursiveFileLookup", "true").load(folder)
     return files.select("path", "content").mapInArrow(_unzip(suffix), ENTRY)
 
