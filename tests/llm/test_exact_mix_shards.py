@@ -91,14 +91,53 @@ def test_mix(spark):
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({r["_id"]: r["copies"] for r in found if r["copies"]})
 
 
+def chances(rows, rest):
+    """Inclusion chances of (weight, size) rows whose expected words are ``rest``; certain ones, one by one, by weight."""
+    order, p = sorted(range(len(rows)), key=lambda i: -rows[i][0]), [0.0] * len(rows)
+    mass = sum(w * s for w, s in rows)
+    while order and rows[order[0]][0] * rest >= mass:
+        i = order.pop(0)
+        p[i], rest, mass = 1.0, rest - rows[i][1], mass - rows[i][0] * rows[i][1]
+    for i in order:
+        p[i] = rest * rows[i][0] / mass
+    return p
+
+
+@pytest.mark.parametrize(("column", "weights"), [(None, (19, 20)), ("quality", (2, 3))])
+def test_inclusion_rates(spark, column, weights):
+    """Copies of each weight class against their chances, within four standard deviations; certain documents always."""
+    lengths = [1, 3, 20, 100, 700]
+    rows = [(i, "w " * lengths[i % 5], "a" if i < 6000 else "b", [0.0, 1.0, 2.0, 4.5, 60.0][i * 7 // 5 % 5]) for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, quality double")
+    found = {r["_id"]: r for r in mixing.mixed_rows(spark, docs, weights=weights, weight_column=column).collect()}
+    certain = 0
+    for source in "ab":
+        own = [r for r in rows if r[2] == source]
+        target, size = found[own[0][0]]["target"], found[own[0][0]]["source_size"]
+        whole = int(target / size)
+        weighted = [(r[3] if column else found[r[0]]["size"].bit_length(), found[r[0]]["size"]) for r in own]
+        p = chances(weighted, target - whole * size)
+        classes = defaultdict(list)
+        for r, pair, chance in zip(own, weighted, p):
+            classes[pair, chance].append(found[r[0]]["copies"] - whole)
+        for (_, chance), taken in classes.items():
+            deviation = (chance * (1 - chance) * len(taken)) ** 0.5
+            assert abs(sum(taken) - chance * len(taken)) <= 4 * deviation + 1
+            certain += chance == 1
+        assert len({round(chance, 6) for _, chance in classes}) > 3
+        assert abs(sum(found[r[0]]["taken"] for r in own) - target) <= 350
+    assert certain
+
+
 def test_mix_of_weighted_documents_and_of_nothing(spark):
-    rows = [(i, "w " * 10, "a" if i < 1000 else "b", 5.0 if i % 2 else None) for i in range(3000)]
+    rows = [(i, "w " * 10, "a" if i < 1000 else "b", [None, 5.0, float("nan"), -3.0][i % 4]) for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, quality double")
     found = mixing.mixed_rows(spark, docs, weights=(1, 8), weight_column="quality").collect()
     own = [r for r in found if r["_id"] < 1000]
     assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 10
-    good, other = (sum(r["taken"] for r in own if r["_id"] % 2 == k) for k in (1, 0))
-    assert good > 2 * other
+    assert all(r["copies"] == 0 for r in own if r["_id"] % 4 > 1)
+    good, other = (sum(r["taken"] for r in own if r["_id"] % 4 == k) for k in (1, 0))
+    assert good > 1.5 * other
     assert mixing.mixed_rows(spark, docs.limit(0)).collect() == []
     assert mixing.mixture(spark, docs.limit(0)).collect() == []
     empty = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id bigint, text string, source string")

@@ -113,15 +113,33 @@ SQL: dict[str, str] = {
         copies AS (
             SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::INT AS whole FROM targets),
         rests AS (SELECT *, greatest(target - whole * source_size, 0) AS rest FROM copies),
-        ranked AS (
-            SELECT doc_id, size, sized.source, source_size, target, whole, rest,
-                   (u / (1 - u)) / nullif(least(rest / nullif(source_size, 0), 1 - 1 / 1099511627776.0::DOUBLE)
-                       / (1 - least(rest / nullif(source_size, 0), 1 - 1 / 1099511627776.0::DOUBLE)), 0) AS q
-            FROM sized JOIN rests ON sized.source IS NOT DISTINCT FROM rests.source),
+        -- Classes of one weight, heaviest first: certain as long as the chance of the next one would reach 1.
+        classes AS (
+            SELECT source, rest, length(bin(size)) AS w, sum(size)::DOUBLE AS words, sum(length(bin(size)) * size)::DOUBLE AS mass
+            FROM sized JOIN rests USING (source) WHERE size > 0 AND rest > 0 GROUP BY ALL
+            UNION ALL
+            SELECT NULL, rest, length(bin(size)), sum(size)::DOUBLE, sum(length(bin(size)) * size)::DOUBLE
+            FROM sized JOIN rests ON sized.source IS NULL AND rests.source IS NULL WHERE size > 0 AND rest > 0 GROUP BY ALL),
+        tried AS (
+            SELECT *, w * (rest - coalesce(sum(words) OVER above, 0)) >= sum(mass) OVER (PARTITION BY source) - coalesce(sum(mass) OVER above, 0) AS over
+            FROM classes WINDOW above AS (PARTITION BY source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        judged AS (SELECT *, bool_and(over) OVER (PARTITION BY source ORDER BY w DESC) AS certain FROM tried),
+        shared AS (
+            SELECT source, min(w) FILTER (certain) AS certain_from, max(rest) - coalesce(sum(words) FILTER (certain), 0) AS left_over,
+                   coalesce(sum(mass) FILTER (NOT certain), 0) AS left_mass
+            FROM judged GROUP BY source),
+        chances AS (
+            SELECT doc_id, size, u, sized.source, source_size, target, whole, left_over,
+                   coalesce(size > 0 AND length(bin(size)) >= certain_from, FALSE) AS certain,
+                   least(left_over * length(bin(size)) / nullif(left_mass, 0), 1 - 1 / 1099511627776.0::DOUBLE) AS p
+            FROM sized JOIN rests ON sized.source IS NOT DISTINCT FROM rests.source
+            LEFT JOIN shared ON sized.source IS NOT DISTINCT FROM shared.source),
         ordered AS (
-            SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, CAST(doc_id AS BIGINT)) AS until FROM ranked)
+            SELECT *, sum(CASE WHEN certain THEN 0 ELSE size END) OVER (
+                       PARTITION BY source, certain ORDER BY (u / (1 - u)) / nullif(p / (1 - p), 0), CAST(doc_id AS BIGINT)) AS until
+            FROM chances)
         SELECT doc_id, size::BIGINT AS size, source_size, target,
-               (size * (whole + (rest > 0 AND size > 0 AND until - size / 2 <= rest)::INT))::BIGINT AS taken
+               (size * (whole + (certain OR coalesce(left_over > 0 AND size > 0 AND until - size / 2 <= left_over, FALSE))::INT))::BIGINT AS taken
         FROM ordered""",
     "op10_sharding": f"""
         WITH hashed AS (
