@@ -21,15 +21,12 @@ def brute_force(rows, documents, bodies):
     owner = {}
     for leaf, counts in leaves.items():
         left = dict(counts)
-        for _ in range(templates.ROUNDS):
-            if left:
-                leader = max(left, key=lambda t: (left[t], bodies[" ".join(t)]))
-                joined = [t for t in left if sum(a == b for a, b in zip(t, leader)) >= templates.AGREE * len(t)]
-                for t in joined:
-                    owner[t] = leader
-                    del left[t]
-        for t in left:
-            owner[t] = t
+        while left:
+            leader = max(left, key=lambda t: (left[t], bodies[" ".join(t)]))
+            joined = [t for t in left if sum(a == b for a, b in zip(t, leader)) >= templates.AGREE * len(t)]
+            for t in joined:
+                owner[t] = leader
+                del left[t]
     seen = defaultdict(set)
     for key, _, tokens in lines:
         seen[owner[tokens]].add(key)
@@ -132,3 +129,31 @@ def test_documents_of_very_many_lines(spark):
     assert (found[9]["text"], found[9]["n_lines"], found[9]["n_dropped"]) == ("\n", 3, 1)
     assert all("the very same line" not in found[i]["text"] and found[i]["n_lines"] == 60_000 for i in range(5))
     assert all(len(found[i]["text"].split()) / 8 <= 60_000 - found[i]["n_dropped"] for i in range(5))
+
+
+def test_parts_of_large_leaves(spark, monkeypatch):
+    """The same lines go whether leaves are cut into parts or not."""
+    rng = random.Random(11)
+    words = [["w" + c for c in "abcdefghijklmnopqrst"[:n]] for n in (2, 3, 8, 20)]
+    lines = [" ".join(["log", "from", "host", *(rng.choice(words[(p + size) % 4]) for p in range(size))])
+             for size in (0, 1, 2, 3, 6, 9, 25) for _ in range(150)]
+    docs = spark.createDataFrame([(i, "\n".join(lines[i::40])) for i in range(40)], "doc_id bigint, text string")
+    found = []
+    for leaders in (60, 100_000):
+        monkeypatch.setattr(templates, "LEADERS", leaders)
+        found.append(sorted((tuple(r) for r in templates.without_recurring(spark, docs).collect())))
+    assert found[0] == found[1] and 0 < sum(r[3] for r in found[0]) < len(lines)
+
+
+def test_many_unlike_lines_take_few_rounds(spark, monkeypatch):
+    """100,000 unlike lines, and 2,000 templates of five lines each, in one leaf."""
+    rng, rounds, leaders_of = random.Random(5), [], templates._leaders
+    name = lambda n: "".join(chr(97 + (n // 26 ** i) % 26) for i in range(5))     # noqa: E731
+    lines = [f"log from host {i} " + " ".join(name(rng.randrange(26 ** 5)) for _ in range(5)) for i in range(100_000)]
+    kinds = [[name(rng.randrange(26 ** 5)) for _ in range(4)] for _ in range(2_000)]
+    rows = [(i, "\n".join(lines[i::50] + [f"log from host {i} {' '.join(k)} {name(rng.randrange(26 ** 5))}" for k in (kinds if i < 5 else [])]))
+            for i in range(50)]
+    monkeypatch.setattr(templates, "_leaders", lambda bodies: rounds.append(1) or leaders_of(bodies))
+    found = templates.without_recurring(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(rounds) <= 5
+    assert {r["_id"]: r["n_dropped"] for r in found} == {i: 2_000 if i < 5 else 0 for i in range(50)}

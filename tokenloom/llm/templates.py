@@ -4,14 +4,18 @@ A line's tokens (runs of non-space characters) that hold a digit are fields from
 depth: the first level is the number of tokens, the next ones the ``DEPTH`` leading tokens.  In a leaf the line that occurs
 most becomes a template, and lines that agree with it in at least ``AGREE`` of their places, one of them after the leading
 ones, and have a constant in common with it, join it; where they differ the template has a field too.  A line of fields alone
-(numbers, ids, links) says nothing about its form: it is a leaf of its own, unmasked, and recurs only as the same line.  This repeats on the lines that are left until a leaf has fewer than ``documents`` of them,
-which cannot recur; each of these is a template of its own, without further fields.  Lines whose template occurs in at
-least ``documents`` documents are dropped, all others stay.
+(numbers, ids, links) says nothing about its form: it is a leaf of its own, unmasked, and recurs only as the same line.
+This repeats on the lines that are left until fewer than ``documents`` of them could meet, which cannot recur; each of these
+is a template of its own, without further fields.  Lines whose template occurs in at least ``documents`` documents are
+dropped, all others stay.
 
 A leaf is never gathered: the first ``LEADERS`` of its distinct lines, which tasks cut to so many each, give several
-templates at a time, in the same order as one by one, and the others are joined to them.  A round's lines are written, so
-a leaf with many unlike lines takes as many rounds as it needs; each compares what is left with ``LEADERS`` lines.  Leaves with fewer lines than ``documents`` cannot hold a recurring template, so their lines go no further than
-that count.  Texts move once, when the lines to drop meet their document.
+templates at a time, in the same order as one by one, and the others are joined to them; a round's lines are written.
+Where a leaf has more distinct lines than that, it is first cut into parts that have nothing to do with each other, so unlike
+lines take no rounds and unlike templates share them: of two lines that agree in enough places, the rarest places of each
+(all but as many as must agree, plus two) have two (place, token) in common, and the parts are the components of lines with
+a pair in common.  Rounds grow with the templates of the largest part.  Leaves and parts with fewer lines than ``documents``
+cannot hold a recurring template, so their lines go no further.  Texts move once, when the lines to drop meet their document.
 
 Defined cases: null text stays null and has no lines; blank lines stay; a line that repeats within a document counts
 once; repeated rows are one document, and each is returned; the dropped lines' line ends go with them; null ids are told
@@ -23,12 +27,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tokenloom.llm.graph import components
 from tokenloom.llm.skew import join_groups
 from tokenloom.session import Tables
 
 DEPTH, AGREE = 3, 0.6
-LEADERS = 64                  # most templates of a leaf that are found in one round; the number of rounds is not bounded
-ROUNDS = 10_000               # no bound of the operator; references that loop over templates stop when none is left
+LEADERS = 64                  # most templates of a part that are found in one round
+PAIRED = 24                   # lines of up to so many tokens are told apart by pairs of places, longer ones by single places
 FIELD = "<*>"
 FEW_LEAVES = 1_000_000        # leaf keys of 8 bytes that are broadcast; more are joined by a shuffle
 
@@ -64,16 +69,54 @@ def _joins(body: Column, tokens: Column, leader: Column) -> Column:
 
 
 def _leaders(bodies: DataFrame) -> DataFrame:
-    """The next templates of each leaf: of its ``LEADERS`` most frequent bodies those that join none before them, in order.
+    """The next templates of each part: of its ``LEADERS`` most frequent bodies those that join none before them, in order.
     These bodies come before all others, so the others change nothing about which of them lead."""
-    order = Window.partitionBy("leaf").orderBy(F.desc("n"), F.desc("body"))
+    order = Window.partitionBy("part").orderBy(F.desc("n"), F.desc("body"))
     top = bodies.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LEADERS)
-    top = top.groupBy("leaf").agg(F.first("_n").alias("_n"), F.array_sort(F.collect_list(
+    top = top.groupBy("part").agg(F.first("_n").alias("_n"), F.array_sort(F.collect_list(
         F.struct("rank", "body", F.split("content", " ").alias("tokens")))).alias("top"))
-    return top.select("leaf", "_n", F.aggregate("top", F.slice("top", 1, 0), lambda held, x: F.when(
+    return top.select("part", "_n", F.aggregate("top", F.slice("top", 1, 0), lambda held, x: F.when(
         F.exists(held, lambda y: _joins(x["body"], x["tokens"], y)), held).otherwise(F.concat(held, F.array(x)))).alias("leaders"))
 
 
+def _common_keys(places: DataFrame) -> DataFrame:
+    """``body``, ``key``: bodies of a leaf that join each other have a key in common.  ``places`` has a row for each place after
+    the leading ones: ``leaf``, ``body``, ``size`` (all places of the body), ``place``, ``token``."""
+    counts = places.groupBy("leaf", "place", "token").agg(F.count("*").alias("_n"))
+    item = F.xxhash64("leaf", "place", "token")
+    ranked = join_groups(places.withColumn("item", item), counts.select(item.alias("item"), "_n").groupBy("item").agg(F.sum("_n").alias("_n")),
+                         "item", "_n")
+    items = ranked.groupBy("leaf", "body", "size").agg(F.array_sort(F.collect_list(F.struct("_n", "item"))).alias("items"))
+    # Of the places after the leading ones so many agree, at least one.
+    least = F.greatest(F.ceil(AGREE * F.col("size")).cast("int") - DEPTH, F.lit(1))
+    paired = (least > 1) & (F.col("size") <= PAIRED)
+    rarest = F.slice(F.col("items.item"), 1, F.size("items") - least + F.when(paired, 2).otherwise(1))
+    items = items.select("body", paired.alias("paired"), rarest.alias("rarest"))
+    pairs = F.flatten(F.transform("rarest", lambda x, i: F.transform(
+        F.slice("rarest", i + 2, F.size("rarest")), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
+    return items.select("body", F.explode(F.when(F.col("paired"), pairs).otherwise(F.col("rarest"))).alias("key"))
+
+
+def _parts(tables: Tables, bodies: DataFrame) -> DataFrame:
+    """Add ``part``: bodies that could join each other are in one part.  Of leaves with few bodies it is the leaf."""
+    leaves = bodies.groupBy("leaf").agg(F.count("*").alias("_n"))
+    large = tables.replace("large", leaves.where(F.col("_n") > LEADERS))
+    if large.isEmpty():
+        return bodies.withColumn("part", F.col("leaf"))
+    inside = join_groups(bodies, large, "leaf", "_n").select("leaf", "body", F.split("content", " ").alias("tokens"))
+    places = inside.select("leaf", "body", F.size("tokens").alias("size"), F.posexplode(
+        F.slice("tokens", DEPTH + 1, F.greatest(F.size("tokens") - DEPTH, F.lit(0)))).alias("place", "token"))
+    keys = tables.replace("keys", _common_keys(tables.replace("places", places)))
+    first = keys.groupBy("key").agg(F.min("body").alias("b"), F.count("*").alias("_n")).where("_n > 1")
+    links = join_groups(keys, first, "key", "_n").select(F.col("body").alias("a"), "b")
+    # A body that is the smallest of its component or has no links is a part by itself until others join it.
+    found = components(tables, links, "parts").select(F.col("a").alias("body"), F.col("b").alias("_b"))
+    # Lines without places after the leading ones are equal in all places of their leaf, or in none of them.
+    of_large = inside.where(F.size("tokens") > DEPTH).select("body").join(found, "body", "left")
+    of_large = of_large.select("body", F.xxhash64(F.lit("part"), F.coalesce("_b", "body")).alias("_part"))
+    return bodies.join(of_large, "body", "left").withColumn("part", F.coalesce("_part", "leaf")).drop("_part")
+
+
 def recurring_lines(spark: SparkSession, rows: DataFrame, documents: int) -> tuple[DataFrame, DataFrame]:
     """``rows`` has ``key`` and ``text``.  The lines to drop (``key``, ``line``), and the recurring templates (``leaf``,
     ``template``, ``documents``, ``text``)."""
@@ -86,11 +129,11 @@ def recurring_lines(spark: SparkSession, rows: DataFrame, documents: int) -> tup
     lines = tables.replace("lines", lines.select("leaf", "body", "key", "line", F.array_join("tokens", " ").alias("content")))
     bodies = tables.replace("bodies", lines.groupBy("leaf", "body").agg(F.count("*").alias("n"), F.min("content").alias("content")))
 
-    # A leaf is open while its lines without a template could still recur; all others' are templates of their own.
-    rest, number = bodies, 0
+    # A part is open while its lines without a template could still recur; all others' are templates of their own.
+    rest, number = _parts(tables, bodies), 0
     while True:
-        totals = tables.replace("totals", rest.groupBy("leaf").agg(F.sum("n").alias("lines"), F.count("*").alias("_n")))
-        rest = tables.replace("rest", join_groups(rest, totals, "leaf", "_n"))
+        totals = tables.replace("totals", rest.groupBy("part").agg(F.sum("n").alias("lines"), F.count("*").alias("_n")))
+        rest = tables.replace("rest", join_groups(rest, totals, "part", "_n"))
         alone = rest.where(F.col("lines") < documents).select("leaf", "body", F.col("body").alias("template"), F.col("content").alias("text"),
                                                                F.array().cast("array<boolean>").alias("same"))
         still = rest.where(F.col("lines") >= documents)
@@ -98,7 +141,7 @@ def recurring_lines(spark: SparkSession, rows: DataFrame, documents: int) -> tup
             break
         alone.write.parquet(f"{tables.folder('found')}/round={number}")
         leaders = tables.replace("leaders", _leaders(still))
-        joined = join_groups(still.drop("_n", "lines"), leaders, "leaf", "_n").drop("_n")
+        joined = join_groups(still.drop("_n", "lines"), leaders, "part", "_n").drop("_n")
         joined = joined.withColumn("tokens", F.split("content", " "))
         joined = joined.withColumn("leader", F.get(F.filter("leaders", lambda x: _joins(F.col("body"), F.col("tokens"), x)), 0))
         joined = tables.replace("joined", joined.drop("leaders", "tokens"))
@@ -106,7 +149,7 @@ def recurring_lines(spark: SparkSession, rows: DataFrame, documents: int) -> tup
         joined.where("leader IS NOT NULL").select(
             "leaf", "body", F.col("leader.body").alias("template"), F.array_join(of_leader, " ").alias("text"),
             F.zip_with(tokens, of_leader, lambda x, y: x == y).alias("same")).write.parquet(f"{tables.folder('found')}/round={number + 1}")
-        rest, number = joined.where("leader IS NULL").select("leaf", "body", "n", "content"), number + 2
+        rest, number = joined.where("leader IS NULL").select("leaf", "part", "body", "n", "content"), number + 2
     alone.write.parquet(f"{tables.folder('found')}/round={number}")
     found = spark.read.schema(alone.schema).parquet(tables.folder("found")).drop("round")
 
