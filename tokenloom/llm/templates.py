@@ -79,14 +79,19 @@ def _leaders(bodies: DataFrame) -> DataFrame:
         F.exists(held, lambda y: _joins(x["body"], x["tokens"], y)), held).otherwise(F.concat(held, F.array(x)))).alias("leaders"))
 
 
-def _common_keys(places: DataFrame) -> DataFrame:
-    """``body``, ``key``: bodies of a leaf that join each other have a key in common.  ``places`` has a row for each place after
-    the leading ones: ``leaf``, ``body``, ``size`` (all places of the body), ``place``, ``token``."""
-    counts = places.groupBy("leaf", "place", "token").agg(F.count("*").alias("_n"))
-    item = F.xxhash64("leaf", "place", "token")
-    ranked = join_groups(places.withColumn("item", item), counts.select(item.alias("item"), "_n").groupBy("item").agg(F.sum("_n").alias("_n")),
-                         "item", "_n")
-    items = ranked.groupBy("leaf", "body", "size").agg(F.array_sort(F.collect_list(F.struct("_n", "item"))).alias("items"))
+def _common_keys(inside: DataFrame) -> DataFrame:
+    """``body``, ``key``: bodies of a leaf that join each other have a key in common.  ``inside`` has ``leaf``, ``_n`` (its
+    bodies), ``body`` and ``tokens``.  Any order of (place, token) would do; here the tokens that one in ``LEADERS`` bodies of
+    the leaf has in a place come last, by frequency.  Rows meet one row per leaf."""
+    own = F.slice("tokens", DEPTH + 1, F.greatest(F.size("tokens") - DEPTH, F.lit(0)))
+    counts = inside.select("leaf", "_n", F.posexplode(own).alias("place", "token")).groupBy("leaf", "place", "token").agg(
+        F.count("*").alias("n"), F.first("_n").alias("_n"))
+    often = counts.groupBy("leaf", "place").agg(F.first("_n").alias("_n"), F.collect_list(
+        F.when(F.col("n") * LEADERS >= F.col("_n"), F.struct("token", "n"))).alias("often"))         # at most LEADERS
+    often = often.groupBy("leaf").agg(F.first("_n").alias("_m"), F.array_sort(F.collect_list(F.struct("place", "often"))).alias("often"))
+    items = join_groups(inside.drop("_n"), often, "leaf", "_m").select("body", F.size("tokens").alias("size"), F.array_sort(F.transform(
+        own, lambda x, i: F.struct(F.coalesce(F.get(F.filter(F.get("often", i)["often"], lambda y: y["token"] == x), F.lit(0))["n"], F.lit(0)).alias("n"),
+                                   F.xxhash64("leaf", i, x).alias("item")))).alias("items"))
     # Of the places after the leading ones so many agree, at least one.
     least = F.greatest(F.ceil(AGREE * F.col("size")).cast("int") - DEPTH, F.lit(1))
     paired = (least > 1) & (F.col("size") <= PAIRED)
@@ -103,10 +108,9 @@ def _parts(tables: Tables, bodies: DataFrame) -> DataFrame:
     large = tables.replace("large", leaves.where(F.col("_n") > LEADERS))
     if large.isEmpty():
         return bodies.withColumn("part", F.col("leaf"))
-    inside = join_groups(bodies, large, "leaf", "_n").select("leaf", "body", F.split("content", " ").alias("tokens"))
-    places = inside.select("leaf", "body", F.size("tokens").alias("size"), F.posexplode(
-        F.slice("tokens", DEPTH + 1, F.greatest(F.size("tokens") - DEPTH, F.lit(0)))).alias("place", "token"))
-    keys = tables.replace("keys", _common_keys(tables.replace("places", places)))
+    inside = tables.replace("inside", join_groups(bodies, large, "leaf", "_n").select(
+        "leaf", "_n", "body", F.split("content", " ").alias("tokens")))
+    keys = tables.replace("keys", _common_keys(inside))
     first = keys.groupBy("key").agg(F.min("body").alias("b"), F.count("*").alias("_n")).where("_n > 1")
     links = join_groups(keys, first, "key", "_n").select(F.col("body").alias("a"), "b")
     # A body that is the smallest of its component or has no links is a part by itself until others join it.
