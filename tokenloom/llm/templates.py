@@ -11,7 +11,8 @@ dropped, all others stay.
 
 A leaf is never gathered: the first ``LEADERS`` of its distinct lines, which tasks cut to so many each, give several
 templates at a time, in the same order as one by one, and the others are joined to them; a round's lines are written.
-Where a leaf has more distinct lines than that, it is first cut into parts that have nothing to do with each other, so unlike
+Where a leaf has more distinct lines than that left after the first round, which takes in the lines of its most frequent
+templates, it is cut into parts that have nothing to do with each other, so unlike
 lines take no rounds and unlike templates share them: of two lines that agree in enough places, the rarest places of each
 (all but as many as must agree, plus two) have two (place, token) in common, and the parts are the components of lines with
 a pair in common.  Rounds grow with the templates of the largest part.  Leaves and parts with fewer lines than ``documents``
@@ -134,7 +135,7 @@ def recurring_lines(spark: SparkSession, rows: DataFrame, documents: int) -> tup
     bodies = tables.replace("bodies", lines.groupBy("leaf", "body").agg(F.count("*").alias("n"), F.min("content").alias("content")))
 
     # A part is open while its lines without a template could still recur; all others' are templates of their own.
-    rest, number = _parts(tables, bodies), 0
+    rest, number = bodies.withColumn("part", F.col("leaf")), 0
     while True:
         totals = tables.replace("totals", rest.groupBy("part").agg(F.sum("n").alias("lines"), F.count("*").alias("_n")))
         rest = tables.replace("rest", join_groups(rest, totals, "part", "_n"))
@@ -153,7 +154,10 @@ def recurring_lines(spark: SparkSession, rows: DataFrame, documents: int) -> tup
         joined.where("leader IS NOT NULL").select(
             "leaf", "body", F.col("leader.body").alias("template"), F.array_join(of_leader, " ").alias("text"),
             F.zip_with(tokens, of_leader, lambda x, y: x == y).alias("same")).write.parquet(f"{tables.folder('found')}/round={number + 1}")
-        rest, number = joined.where("leader IS NULL").select("leaf", "part", "body", "n", "content"), number + 2
+        rest = joined.where("leader IS NULL").select("leaf", "part", "body", "n", "content")
+        if number == 0:
+            rest = _parts(tables, rest.drop("part"))
+        number += 2
     alone.write.parquet(f"{tables.folder('found')}/round={number}")
     found = spark.read.schema(alone.schema).parquet(tables.folder("found")).drop("round")
 
