@@ -11,12 +11,13 @@ dropped, all others stay.
 
 A leaf is never gathered: the first ``LEADERS`` of its distinct lines, which tasks cut to so many each, give several
 templates at a time, in the same order as one by one, and the others are joined to them; a round's lines are written.
-Where a leaf has more distinct lines than that left after the first round, which takes in the lines of its most frequent
-templates, it is cut into parts that have nothing to do with each other, so unlike
-lines take no rounds and unlike templates share them: of two lines that agree in enough places, the rarest places of each
-(all but as many as must agree, plus two) have two (place, token) in common, and the parts are the components of lines with
-a pair in common.  Rounds grow with the templates of the largest part.  Leaves and parts with fewer lines than ``documents``
-cannot hold a recurring template, so their lines go no further.  Texts move once, when the lines to drop meet their document.
+Where a leaf has more distinct lines than that left after the first round, which takes in the lines of its most
+frequent templates, it is cut into parts that have nothing to do with each other, so unlike lines take no rounds and
+unlike templates share them: of two lines that agree in enough places, the rarest places of each (all but as many as
+must agree, plus two) have two (place, token) in common, and the parts are the components of lines with a pair in
+common.  Rounds grow with the templates of the largest part.  Leaves and parts with fewer lines than ``documents``
+cannot hold a recurring template, so their lines go no further.  Texts move once, when the lines to drop meet their
+document.
 
 Defined cases: null text stays null and has no lines; blank lines stay; a line that repeats within a document counts
 once; repeated rows are one document, and each is returned; the dropped lines' line ends go with them; null ids are told
