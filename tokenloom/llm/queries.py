@@ -1,8 +1,7 @@
 """The queries of this package, each over its whole table, and their SQL where DuckDB can express it.
 
-Without SQL are the operators whose results rest on learned models (2, 7) or on eigenvectors (13), on set similarity over all documents (4),
-or on word windows against all items (9), and those whose point is a file, template or token round trip (1, 5, 6, 11); their tests
-compare them with brute force.
+Without SQL are the operators whose results rest on learned models (2, 7) or on eigenvectors (13), on set similarity over
+all documents (4), on templates (1), and on a tokenizer's merges (11); their tests compare them with brute force.
 """
 
 from __future__ import annotations
@@ -146,5 +145,8 @@ SQL: dict[str, str] = {
             SELECT doc_id, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15)) AS BIGINT) % {len(_OWNERS)} AS slot
             FROM documents)
         SELECT doc_id, slot::INT AS slot, ({_OWNERS})[slot + 1]::INT AS shard FROM hashed""",
+    "op5_warc": statements.WARC,
+    "op6_chat_windows": statements.chat_windows(),
+    "op9_decontaminate": statements.decontamination(),
     "op12_merkle_manifest": statements.MERKLE_MANIFEST,
 }
