@@ -42,6 +42,35 @@ def test_index_persists_over_batches(spark, tmp_path):
     assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
+def test_index_grows_and_compacts(spark, tmp_path, monkeypatch):
+    """More buckets with more digests, few files a bucket; an attempt that was interrupted counts for nothing."""
+    monkeypatch.setattr(digests, "PER_BUCKET", 10)
+    monkeypatch.setattr(digests, "FILES", 2)
+    folder, seen = tmp_path / "index", {}
+    for batch in range(5):
+        rows = [(100 * batch + i, f"text {(17 * batch + i) % 60}") for i in range(30)]
+        if batch == 3:
+            (folder / "000099-2").mkdir()                    # no _SUCCESS
+        index = digests.DigestIndex(spark, str(folder), buckets=2)
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        found = {r["_id"]: (r["keep_id"], r["kept"]) for r in digests.mark_copies(spark, docs, index).collect()}
+        for doc, text in rows:
+            seen.setdefault(text, doc)
+        assert found == {doc: (seen[text], seen[text] == doc) for doc, text in rows}
+        assert index.rows().count() == len(seen) <= index.buckets * digests.PER_BUCKET
+        assert [x.name for x in folder.iterdir() if (x / "_SUCCESS").exists()] == [index._generation]
+    assert index.buckets == 16 and len(index.rows().inputFiles()) <= digests.FILES * index.buckets
+    index.delete()
+    assert not folder.exists()
+
+
+def test_own_index_leaves_nothing(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    found = digests.mark_copies(spark, spark.createDataFrame([(1, "a"), (2, "A")], "doc_id bigint, text string"))
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert sorted((r["_id"], r["kept"]) for r in found.collect()) == [(1, False), (2, True)]
+
+
 def filled(sizes, weights):
     """Water-filling by resharing the excess again and again."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
