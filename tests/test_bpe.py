@@ -249,3 +249,30 @@ def test_whole_preparation(spark):
     assert cleaned.count() == 40
     made = pipeline.prepare(cleaned, vocab_size=236, sample_percent=50, ratio=0.75, max_length=32)
     assert len(made.model.tokens) == 236 and made.training.count() == 30 and made.evaluation.count() == 10
+
+
+def test_fragments_lose_no_kept_pair():
+    """Cut at rare pairs; of what stays every pair has its count, and equal fragments are one row."""
+    words = [[2, 3, 2, 3, 4], [4, 2, 3], [5], [], [2, 3, 2, 3]]
+    ids = np.array([x for word in words for x in [*word, bpe.GAP]], np.int32)
+    kept = bpe.PairTable([(2, 3, 0), (3, 2, 0)])
+    found = bpe.fragments_of(ids, np.array([1, 10, 100, 1000, 10000]), kept).to_pydict()
+    assert {tuple(np.frombuffer(i, ">i4").tolist()): n for i, n in zip(found["ids"], found["n"])} == {(2, 3, 2, 3): 10001, (2, 3): 10}
+    whole = bpe.fragments_of(ids, np.array([1, 10, 100, 1000, 10000]), None).to_pydict()
+    assert sorted(whole["n"]) == [1, 10, 10000]
+
+
+def test_rounds_read_fragments_instead_of_the_corpus(spark):
+    """Lines are all unlike, yet a round reads little of them; equal lines may be one row or many."""
+    rnd = random.Random(7)
+    alphabet = cd.ALPHABET[:40]
+    names = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(2, 4))) for _ in range(60)]
+    lines = ["".join(rnd.choices(names, [1 / (i + 1) for i in range(60)], k=60)) for _ in range(500)]
+    df = spark.createDataFrame([(x,) for x in lines], "unicode string")
+    model = bpe.train(bpe.words_of(df), 2 + 40 + 40, alphabet)
+    assert {t: i for i, t in enumerate(model.tokens)} == library(lines, 82, alphabet).get_vocab()
+    assert max(r.bytes for r in model.rounds) < 4 * sum(map(len, lines)) / 2
+    alphabet, lines = corpus_of(3, 2)
+    df = spark.createDataFrame([(x,) for x in lines * 3], "unicode string")
+    once, often = (bpe.train(words(df), 2 + 2 + 40, alphabet) for words in (bpe.word_counts, bpe.words_of))
+    assert once == often and {t: i for i, t in enumerate(once.tokens)} == library(lines * 3, 44, alphabet).get_vocab()
