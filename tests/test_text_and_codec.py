@@ -95,3 +95,23 @@ def test_stripping(evaluate):
     assert evaluate(lambda c: tx.stripped_lines(c), " a\u00a0\r\n\x0b b \u2028\n c") == ["a", "b", "c"]
     assert evaluate(tx.compact_text, "\t a \r b\n\n") == "a\nb\n"
     assert evaluate(tx.utf16_length, "a\U0001F600é") == 4
+
+
+def test_texts_are_spelled_as_tokens_are(spark):
+    """Nulls, control characters, astral ones, model tokens; texts longer than a run; the columns that a filter sees."""
+    texts = ["ab\n_~", "", None, "\x01a", "\x01é", "a\U0001F600é\n", cd.MARKER + "a\x7fb", cd.EOL + "\nx", "�€", "xy" * (cd.RUN // 2)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    rows = df.select("t", cd.spell(F.col("t")).alias("token"), cd.spell_texts(F.col("t")).alias("text")).collect()
+    assert all(r.token == r.text for r in rows) and len(rows) == len(texts)
+    shown = {r.t: r.text for r in rows}
+    assert shown["a\U0001F600é\n"] == ids(cd.ID_OF["a"], *[cd.ID_OF["_"]] * 3) + "\n" and shown[None] is None
+
+
+def test_a_token_is_cleaned_once(spark):
+    """The plan names the cleaning of a token once, not once for each branch that looks at it."""
+    from tokenloom.operators import tokens as tk
+    pieces = spark.createDataFrame([(1, 0, "foo"), (1, 1, " "), (1, 2, "\ue0e1\u00e9"), (1, 3, "\n")], "file_id int, pos int, text string")
+    encoded = tk.encoded_tokens(pieces)
+    plan = encoded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\ufffd") == 1
+    assert {r.pos: r.encoded for r in encoded.collect()} == {0: ids(225, *(cd.ID_OF[c] for c in "foo")), 2: ids(225, *[cd.ID_OF["_"]] * 2), 3: cd.EOL + "\n"}

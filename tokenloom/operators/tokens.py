@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import codec as cd
 from tokenloom.functions import lexing as lx
+from tokenloom.operators.filters import where_once
 
 
 def token_types(spark: SparkSession) -> DataFrame:
@@ -96,14 +97,14 @@ def neighbours(df: DataFrame) -> DataFrame:
 
 def encoded_tokens(df: DataFrame) -> DataFrame:
     """(file_id, pos, text, encoded): the encoded form of each token that has one."""
-    return (df.withColumn("encoded", cd.encode_token(F.col("text"))).where(F.col("encoded") != "")
-            .select("file_id", "pos", "text", "encoded"))
+    kept = where_once(df.withColumn("encoded", cd.unspelled(F.col("text"))), F.col("encoded") != "")
+    return kept.select("file_id", "pos", "text", cd.spell(F.col("encoded")).alias("encoded"))
 
 
 def encoded_lines(files: DataFrame) -> DataFrame:
     """(file_id, line_no, unicode): the encoded text cut after its end-of-line tokens.  No exchange."""
-    return files.select("file_id", F.posexplode(F.split(cd.encode_file(F.col("content")), "\n")).alias("line_no", "unicode")
-                        ).where(F.col("unicode") != "")
+    encoded = files.select("file_id", cd.encode_file(F.col("content")).alias("unicode"))
+    return encoded.select("file_id", F.posexplode(F.split("unicode", "\n")).alias("line_no", "unicode")).where(F.col("unicode") != "")
 
 
 def retokenized(files: DataFrame) -> DataFrame:
