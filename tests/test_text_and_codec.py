@@ -115,3 +115,18 @@ def test_a_token_is_cleaned_once(spark):
     plan = encoded._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("\ufffd") == 1
     assert {r.pos: r.encoded for r in encoded.collect()} == {0: ids(225, *(cd.ID_OF[c] for c in "foo")), 2: ids(225, *[cd.ID_OF["_"]] * 2), 3: cd.EOL + "\n"}
+
+
+def test_ids_of_many_texts(spark):
+    """Null and empty texts, texts without an id, ids of one to three digits, texts longer than a run; the way back by records."""
+    texts = [None, "", "z\u00e9\n", ids(0, 9, 10, 99, 100, 225), "z" + ids(7) + "\U0001F600", ids(5) * (cd.RUN // 3), ids(0, 225), ids(*range(226)) * 10000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    columns = [cd.char_line_to_ids(F.col("t")).alias("ids"), cd.to_ids(F.col("t")).alias("list"), cd.shorts_to_id_text(cd.ids_to_shorts(cd.to_ids(F.col("t")))).alias("again")]
+    rows = df.select("t", *columns).collect()
+    plain = [t if t is None else [ord(c) - cd.PUA_START for c in t if c in cd.ALPHABET] for t in texts]
+    assert [r.list for r in rows] == plain
+    assert [r.ids for r in rows] == [p if p is None else " ".join(map(str, p)) for p in plain]
+    assert [r.again for r in rows] == [p if p is None else "".join(f"{i}\n" if i == 0 else f"{i} " for i in p).strip() for p in plain]
+    plan = df.select(*columns)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "regexp" not in plan
+    assert df.select(F.explode(cd.to_ids(F.col("t"))).alias("id")).where("id = 99").count() == 10001
