@@ -276,3 +276,13 @@ def test_rounds_read_fragments_instead_of_the_corpus(spark):
     df = spark.createDataFrame([(x,) for x in lines * 3], "unicode string")
     once, often = (bpe.train(words(df), 2 + 2 + 40, alphabet) for words in (bpe.word_counts, bpe.words_of))
     assert once == often and {t: i for i, t in enumerate(once.tokens)} == library(lines * 3, 44, alphabet).get_vocab()
+
+
+def test_pairs_of_words(spark):
+    """Overlaps, astral characters, words of one character, none at all; no pair is a row of its own before it is counted."""
+    words = [("aaa", 2), ("ab\U0001F600", 3), ("x", 5), ("", 7), ("aab", 1)]
+    df = spark.createDataFrame(words, "word string, n bigint").coalesce(1)
+    pairs = bpe.pair_counts(df)
+    assert {r.pair: r.cnt for r in pairs.collect()} == {"aa": 5, "ab": 4, "b\U0001F600": 3}
+    assert "Generate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert bpe.pair_counts(df.limit(0)).count() == 0
