@@ -50,8 +50,8 @@ def _weight(column: str | None, size: Column) -> Column:
     """A decimal, whose sums don't depend on the order of rows."""
     if column is None:
         return length_weight(size)
-    given = F.coalesce(F.col(column).cast("double"), F.lit(1.0))
-    return F.when(given > 0, F.nanvl(F.least(given, F.lit(1e9)), F.lit(0.0))).otherwise(0.0).cast("decimal(16,6)")
+    given = F.nanvl(F.coalesce(F.col(column).cast("double"), F.lit(1.0)), F.lit(0.0))      # NaN is above all numbers in Spark
+    return F.least(F.greatest(given, F.lit(0.0)), F.lit(1e9)).cast("decimal(16,6)")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
