@@ -286,3 +286,39 @@ def test_pairs_of_words(spark):
     assert {r.pair: r.cnt for r in pairs.collect()} == {"aa": 5, "ab": 4, "b\U0001F600": 3}
     assert "Generate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
     assert bpe.pair_counts(df.limit(0)).count() == 0
+
+
+def test_pairs_are_found_by_a_grid_or_by_search(monkeypatch):
+    rnd = random.Random(4)
+    for grid in (1 << 20, 0):
+        monkeypatch.setattr(bpe, "GRID", grid)
+        for _ in range(50):
+            merges = [(rnd.randrange(9), rnd.randrange(9), 9 + i) for i in range(rnd.randrange(6))]
+            ids = np.array([rnd.choice([bpe.GAP, bpe.DEAD, *range(20)]) for _ in range(60)], np.int32)
+            numbers = {}
+            for number, (left, right, _) in enumerate(merges):
+                numbers.setdefault((left, right), number)
+            found, own = bpe.PairTable(merges).find(ids[:-1], ids[1:])
+            pairs = list(zip(ids.tolist(), ids[1:].tolist()))
+            assert dict(zip(found.tolist(), own.tolist())) == {i: numbers[p] for i, p in enumerate(pairs) if p in numbers}
+
+
+def test_training_reads_the_words_once(spark):
+    """The letters come from the pass that spells the words; only letters that were not given take another one."""
+    alphabet, lines = corpus_of(3, 5)
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    words = spark.createDataFrame([(x, 1) for x in lines], "word string, n bigint").mapInArrow(counted, "word string, n bigint")
+    given = bpe.train(words, 2 + 5 + 8, alphabet)
+    assert reads.value == len(lines)
+    found = bpe.train(words, 2 + 5 + 8, alphabet[:2])
+    assert reads.value == 3 * len(lines)
+    used = {c for line in lines for c in line} | set(alphabet[:2])
+    assert found.alphabet == sorted(used)
+    if used == set(alphabet):
+        assert given == found

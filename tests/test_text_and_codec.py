@@ -130,3 +130,17 @@ def test_ids_of_many_texts(spark):
     plan = df.select(*columns)._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "regexp" not in plan
     assert df.select(F.explode(cd.to_ids(F.col("t"))).alias("id")).where("id = 99").count() == 10001
+
+
+def test_encoding_of_texts_full_of_blanks(spark):
+    """Blanks are passed over before they are pieces; the code is that of all pieces, one by one."""
+    from tokenloom.functions import lexing as lx
+    rnd = random.Random(9)
+    parts = [" ", "  ", "\t", "\f", "\r", "\n", " \n ", "a", "class", "'", '"', '"x y"', "// c d", "/* e */", "0x1", ".", "...", "non-sealed", "é", "\\", "1.5 "]
+    texts = ["", " ", "\n", " \t ", "a  ", *("".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 30))) for _ in range(300))]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    pieces = lx.lex_after_blanks(F.col("t"))
+    one_by_one = F.array_join(F.transform(lx.lex(cd.without_model_tokens(F.col("t"))), cd.encode_token), "")
+    for r in df.select("t", pieces.alias("pieces"), cd.encode(F.col("t")).alias("got"), one_by_one.alias("expected")).collect():
+        assert r.got == r.expected
+        assert not any(p and not p.strip(" \t\r\f") for p in r.pieces)
