@@ -322,3 +322,13 @@ def test_training_reads_the_words_once(spark):
     assert found.alphabet == sorted(used)
     if used == set(alphabet):
         assert given == found
+
+
+def test_guesses_go_on_from_merges_of_the_same_round(spark):
+    """Pairs of ids that a round gives are guessed in that round."""
+    words = spark.createDataFrame([("abcdefghijklmnop", 5), ("abcdabcd", 3), ("aaaaaaa", 2)], "word string, n bigint")
+    model = bpe.train(words, 2 + 16 + 18, "abcdefghijklmnop")
+    assert len(model.merges) >= 15 and len(model.rounds) <= 4
+    assert sum(r.merges for r in model.rounds) == len(model.merges)
+    lines = [w for w, n in (("abcdefghijklmnop", 5), ("abcdabcd", 3), ("aaaaaaa", 2)) for _ in range(n)]
+    assert {t: i for i, t in enumerate(model.tokens)} == library(lines, 2 + 16 + 18, "abcdefghijklmnop").get_vocab()

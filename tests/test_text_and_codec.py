@@ -140,7 +140,7 @@ def test_encoding_of_texts_full_of_blanks(spark):
     texts = ["", " ", "\n", " \t ", "a  ", *("".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 30))) for _ in range(300))]
     df = spark.createDataFrame([(x,) for x in texts], "t string")
     pieces = lx.lex_after_blanks(F.col("t"))
-    one_by_one = F.array_join(F.transform(lx.lex(cd.without_model_tokens(F.col("t"))), cd.encode_token), "")
+    one_by_one = F.array_join(F.transform(lx.lex(cd.without_model_tokens(F.col("t"))), lambda t: cd.encode_token(t)), "")
     for r in df.select("t", pieces.alias("pieces"), cd.encode(F.col("t")).alias("got"), one_by_one.alias("expected")).collect():
         assert r.got == r.expected
         assert not any(p and not p.strip(" \t\r\f") for p in r.pieces)
