@@ -4,6 +4,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from tokenloom.operators import cleaning, corpus, filters, ranking, sharding, stats, vocabulary
+from tokenloom.plans import pipeline
 from tokenloom.sources import archives, sinks, tables, textfiles
 
 SOURCE = tables.SOURCE_FILES
@@ -145,6 +146,18 @@ def test_garbage(spark):
     assert ids(filters.drop_empty(files)) == [1, 2, 3, 5, 6]
 
 
+def test_usable_files_are_cut_into_tokens_once(spark, tmp_path):
+    unit = "@A(x = 1) void f(int a) { g(a); } // no\r\n"
+    texts = ["head\r\npackage a;\r\nclass C {" + unit * n + "}\n\n" for n in range(4)]
+    texts += ["class U {", "@A", None, "", "enum E {}", "x", "@interface I {}"]
+    spark.createDataFrame([(i, "s", f"d/A{i}.java", t) for i, t in enumerate(texts)], SOURCE).write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    cleaned = pipeline.cleaned_files(files)
+    assert cleaned._jdf.queryExecution().optimizedPlan().toString().count("non-sealed|[") == 1
+    apart = files.transform(filters.keep_usable).transform(cleaning.clean).select("file_id", "shard", "path", "content")
+    assert sorted(cleaned.collect()) == sorted(apart.collect()) and cleaned.count() == 5
+
+
 def test_row_numbers_do_not_depend_on_ranges(spark):
     keys = [(k * k * 37 % 100_003,) for k in range(1, 3000)]
     df = spark.createDataFrame(keys, "file_id bigint").distinct()

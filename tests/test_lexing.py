@@ -82,6 +82,19 @@ def test_long_literals_do_not_exhaust_the_stack(evaluate):
         assert evaluate(lambda c: F.size(lx.lex(c)), text) == 1
 
 
+def test_comments_and_text_blocks_end_where_the_lazy_rule_ends(spark):
+    """The JVM form tries no end at each character; a comment of a megabyte is one step of a loop for each star."""
+    assert "*?" not in lx.TOKEN_PATTERN
+    draw = random.Random(11)
+    texts = ["".join(draw.choice(["/*", "*/", "*", "/", "**", '"', '""', '"""', '"""\n', "\r", " ", "a", "é", "\\"]) for _ in range(40))
+             for _ in range(1500)] + ["/**/x/***/y/*/", '"""\n""""', '"""\n"" """"', "/*" + "* " * 500_000 + "*/z", '"""\n' + '"" ' * 300_000 + '"""z']
+    lazy = lx.TOKEN_PATTERN.replace(lx._POSSESSIVE["COMMENT"], lx.RULES["COMMENT"]).replace(lx._POSSESSIVE["TEXT_BLOCK"], lx.RULES["TEXT_BLOCK"])
+    assert lazy.count("*?") == 2
+    cut = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        lx.lex(F.col("t")).alias("ours"), F.regexp_extract_all("t", F.lit(lazy), F.lit(0)).alias("theirs"))
+    assert cut.count() == len(texts) and cut.where("ours <=> theirs").count() == len(texts)
+
+
 def test_types_of_awkward_tokens(spark):
     text = 'x = 0x1F + 0b11 + 017 + 1_000L + 1.5e3f + 0x1.8p1 + 09.5; s = "a//b\\""; c = \'\\\'\'; t = """\n x """; don\'t >>>= a.b'
     rows = tk.tokens(spark.createDataFrame([(1, text)], "file_id bigint, content string")).orderBy("pos").collect()

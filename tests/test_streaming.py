@@ -28,6 +28,19 @@ def test_ingest_equals_batch_and_takes_each_file_once(spark, tmp_path):
     assert got.exceptAll(batch).count() == 0
 
 
+def test_a_part_file_of_one_row_group_is_taken_by_all_cores(spark, tmp_path):
+    source, out = str(tmp_path / "in"), tmp_path / "out"
+    files = java(spark)
+    files.coalesce(1).write.parquet(f"{source}/a")
+    ingest.ingest(spark, source, str(out), str(tmp_path / "progress")).awaitTermination()
+    tasks = {p.name.split("-")[1] for p in out.rglob("part-*.parquet")}
+    assert len(tasks) == spark.sparkContext.defaultParallelism
+    got = spark.read.parquet(str(out)).select("file_id", "shard", "path", "unicode")
+    batch = pipeline.encoded_files(pipeline.cleaned_files(files)).select("file_id", "shard", "path", "unicode")
+    assert got.count() == batch.count() > 0
+    assert got.exceptAll(batch).count() == 0
+
+
 def test_streams_of_a_table_that_is_a_folder(spark, tmp_path):
     documents = tables.read_table(spark, SMALL, "documents")
     documents.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))

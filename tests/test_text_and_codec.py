@@ -63,6 +63,14 @@ def test_header(evaluate):
     assert strip("class A\n \n") == "class A\n "
 
 
+def test_line_ends_after_a_header(evaluate):
+    strip = lambda t: evaluate(tx.strip_header, t)
+    for tail in ("", "\n", "\n\n\n", "\n\nx", "\n\nx\n", "\n \n\n", "\r\n"):
+        assert strip("h\nclass A" + tail) == ("class A" + tail).rstrip("\n")
+    assert strip("class A" + "\n" * 200_000 + "x" + "\n" * 200_000) == "class A" + "\n" * 200_000 + "x"
+    assert strip("\n\n") == "" and strip(None) in (None, "")
+
+
 def test_names(spark):
     rows = [(1, "src/a/Foo.java"), (2, "Foo.java"), (3, "src/a-b.java"), (4, "x/Größe.java"), (5, "x/" + "a" * 32 + ".java")]
     df = spark.createDataFrame(rows, "id bigint, path string").select(tx.file_name(F.col("path"), F.col("id")).alias("n"))

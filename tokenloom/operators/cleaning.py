@@ -78,10 +78,9 @@ def _fate(shape: Column, annotations: bool) -> Column:
 
 def _laid_out(files: DataFrame, annotations: bool) -> DataFrame:
     """(columns of files, content): one space between tokens, a line end after ``;``, ``{`` and ``}`` outside brackets;
-    files without a token that stays vanish."""
-    others = [c for c in files.columns if c != "content"]
-    tokens = F.filter(F.transform(lx.lex(F.col("content")), lambda t: F.struct(t.alias("text"), lx.shape_of(t).alias("c"))), lambda x: x["c"] != "")
-    lexed = files.select(*others, tokens.alias("_tokens"))
+    files without a token that stays vanish.  Texts that are cut already (``_tokens``) are not cut again."""
+    others = [c for c in files.columns if c not in ("content", "_tokens")]
+    lexed = files if "_tokens" in files.columns else files.select(*others, lx.significant(F.col("content")).alias("_tokens"))
     judged = lexed.select(*others, F.col("_tokens.text").alias("_texts"), _fate(F.array_join("_tokens.c", ""), annotations).alias("_fate"))
     kept = filters.where_once(judged, F.col("_fate").rlike("[io]"))
     ends = lambda text, fate: (fate == "o") & text.isin(";", "{", "}")

@@ -13,6 +13,8 @@ from tokenloom.operators import ranking
 from tokenloom.plans import pipeline
 from tokenloom.sources.tables import SOURCE_FILES
 
+RANGES_PER_CORE = 4          # a batch with as many ranges of files is not spread
+
 
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table, one file or a folder of part files, as a stream of its files."""
@@ -37,6 +39,14 @@ def new_files(spark: SparkSession, folder: str, files_per_trigger: int | None =
     return reader.parquet(folder).withColumn("shard", shard)
 
 
+def spread_batch(batch: DataFrame) -> DataFrame:
+    """The rows of a batch over all cores.  A part file is cut into ranges, but all rows of a row group are read with one of
+    them, so there may be far fewer tasks with rows than partitions.  Only a batch with several ranges of full size for each
+    core is left alone."""
+    cores, ranges = batch.sparkSession.sparkContext.defaultParallelism, batch.rdd.getNumPartitions()
+    return batch if ranges >= RANGES_PER_CORE * cores else batch.repartition(max(cores, ranges), "file_id", "path")
+
+
 def ingest(spark: SparkSession, folder: str, output: str, checkpoint: str, files_per_trigger: int | None = None,
            batches: int | None = None) -> StreamingQuery:
     """Clean and encode what is new in ``folder`` by the batch functions and write it to ``output``, then stop, at the latest
@@ -45,7 +55,7 @@ def ingest(spark: SparkSession, folder: str, output: str, checkpoint: str, files
     Every file is taken once.  A batch is a folder of its own, so one that is repeated after a failure replaces itself.
     """
     def write(batch: DataFrame, number: int) -> None:
-        encoded = pipeline.encoded_files(pipeline.cleaned_files(batch))
+        encoded = pipeline.encoded_files(pipeline.cleaned_files(spread_batch(batch)))
         encoded.write.mode("overwrite").partitionBy("shard").parquet(f"{output}/batch={number}")
 
     writer = new_files(spark, folder, files_per_trigger).writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
