@@ -40,11 +40,12 @@ def new_files(spark: SparkSession, folder: str, files_per_trigger: int | None =
 
 
 def spread_batch(batch: DataFrame) -> DataFrame:
-    """The rows of a batch over all cores.  A part file is cut into ranges, but all rows of a row group are read with one of
-    them, so there may be far fewer tasks with rows than partitions.  Only a batch with several ranges of full size for each
-    core is left alone."""
+    """The rows of a batch over all cores, as many parts for each.  A part file is cut into ranges, but all rows of a row group
+    are read with one of them, so there may be far fewer tasks with rows than partitions.  Only a batch with several ranges
+    of full size for each core is left alone."""
     cores, ranges = batch.sparkSession.sparkContext.defaultParallelism, batch.rdd.getNumPartitions()
-    return batch if ranges >= RANGES_PER_CORE * cores else batch.repartition(max(cores, ranges), "file_id", "path")
+    waves = max(1, -(-ranges // cores))
+    return batch if ranges >= RANGES_PER_CORE * cores else batch.repartition(waves * cores, "file_id", "path")
 
 
 def ingest(spark: SparkSession, folder: str, output: str, checkpoint: str, files_per_trigger: int | None = None,
