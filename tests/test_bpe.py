@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -332,3 +333,40 @@ def test_guesses_go_on_from_merges_of_the_same_round(spark):
     assert sum(r.merges for r in model.rounds) == len(model.merges)
     lines = [w for w, n in (("abcdefghijklmnop", 5), ("abcdabcd", 3), ("aaaaaaa", 2)) for _ in range(n)]
     assert {t: i for i, t in enumerate(model.tokens)} == library(lines, 2 + 16 + 18, "abcdefghijklmnop").get_vocab()
+
+
+def test_large_rows_are_written_a_few_at_a_time(spark):
+    """Rows of the corpus have megabytes: row groups and pages hold few of them, so that no task needs buffers for all."""
+    import pyarrow.parquet as pq
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")          # a word is a row
+    try:
+        words = spark.createDataFrame([("ab" * 50, 1)] * 30, "word string, n bigint").coalesce(1)
+        corpus = bpe._Corpus(words, "ab")
+        corpus.merge([(2, 3, 4)])
+        blocks = bpe._Words(corpus.fragments(None), 1)
+        written = [corpus._corpus, blocks.read(blocks.all_parts())]
+        groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for df in written for f in df.inputFiles()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [m.row_group(g).num_rows for m in groups for g in range(m.num_row_groups)]
+    assert sum(rows) >= 30 and max(rows) <= 4
+    assert not any("DICTIONARY" in e for m in groups for e in m.row_group(0).column(0).encodings)
+    corpus.delete()
+    blocks.delete()
+
+
+def test_written_tables_send_little_to_python_at_a_time(spark):
+    """A batch has a few megabytes and not a whole partition of long texts; outside the session's setting stays."""
+    from tokenloom import session
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch({"size": pa.array([batch.nbytes])})
+
+    texts = spark.range(40, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    before = spark.conf.get(session.ARROW_BYTES)
+    tables = session.Tables(spark)
+    found = [r["size"] for r in tables.replace("sizes", texts.mapInArrow(sizes, "size bigint")).collect()]
+    assert sum(found) >= 40 << 20 and max(found) <= 6 << 20
+    assert spark.conf.get(session.ARROW_BYTES) == before
+    tables.delete()
