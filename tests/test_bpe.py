@@ -370,3 +370,14 @@ def test_written_tables_send_little_to_python_at_a_time(spark):
     assert sum(found) >= 40 << 20 and max(found) <= 6 << 20
     assert spark.conf.get(session.ARROW_BYTES) == before
     tables.delete()
+
+
+def test_examples_do_not_send_whole_partitions_to_python(spark):
+    """The ids are a written table: the plan of the padded columns has no Python in it, and the rows are those of the encoding."""
+    alphabet, lines = corpus_of(5, 4)
+    model = bpe.train(bpe.word_counts(spark.createDataFrame([(x,) for x in lines], "unicode string")), 2 + 4 + 8, alphabet)
+    files = spark.createDataFrame([(i, f"{x}\n{x}") for i, x in enumerate(lines)] + [(99, " \n")], "file_id bigint, unicode string")
+    built = examples.build(files, model, 12)
+    assert "ArrowEvalPython" not in built._jdf.queryExecution().executedPlan().toString()
+    whole = {r.file_id: r.ids for r in examples.encoded_files(files, model).collect()}
+    assert {r.file_id: [x for x in r.labels if x != examples.IGNORED_LABEL] for r in built.collect()} == {k: v[:12] for k, v in whole.items()}
